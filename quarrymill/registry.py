@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import page_queries
+
+MODULES = [page_queries]
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.Q.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.S.items()}
