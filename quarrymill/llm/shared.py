@@ -76,9 +76,9 @@ def numbered(df: DataFrame, by: list[str], within: str | None = None) -> DataFra
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """Connected components: a row (node, component) for each node that has an edge to another.
+    """Connected components: a row (node, component) for each node that reaches a smaller one.
 
-    ``component`` is the smallest node reachable. Alternates large-star and small-star
+    ``component`` is the smallest node reachable; a node that isn't named is its own. Alternates large-star and small-star
     rounds until the edges are stars around the smallest nodes; every round is a grouped
     minimum and a join, whose hot keys Spark can split. Null ends and loops are ignored.
     """
