@@ -12,11 +12,11 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 
 
 def lower(x: Dual) -> Dual:
-    return Dual(F.lower(x.column), f"lower({x.sql})")
+    return Dual(lambda: F.lower(x.column), f"lower({x.sql})")
 
 
 def concat(*parts: Dual) -> Dual:
-    return Dual(F.concat(*[p.column for p in parts]), "(" + " || ".join(p.sql for p in parts) + ")")
+    return Dual(lambda: F.concat(*[p.column for p in parts]), "(" + " || ".join(p.sql for p in parts) + ")")
 
 
 def host(url: str = "url") -> Dual:
@@ -29,12 +29,12 @@ def origin(url: str = "url") -> Dual:
     whole = lower(first(r"^([Hh][Tt][Tt][Pp][Ss]?://[^/?#]+)", 1, url))
     bare = replaced(replaced(whole, r"^(http://[^:]*):80$", r"$1"), r"^(https://[^:]*):443$", r"$1")
     sql = f"regexp_replace(regexp_replace({whole.sql}, '^(http://[^:]*):80$', '\\1'), '^(https://[^:]*):443$', '\\1')"
-    return Dual(F.when(bare.column != "", bare.column).otherwise(F.col(url)), f"CASE WHEN {sql} <> '' THEN {sql} ELSE {url} END")
+    return Dual(lambda: F.when(bare.column != "", bare.column).otherwise(F.col(url)), f"CASE WHEN {sql} <> '' THEN {sql} ELSE {url} END")
 
 
 def path(url: str = "url") -> Dual:
     found = first(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1, url)
-    return Dual(F.when(found.column == "", "/").otherwise(found.column), f"CASE WHEN {found.sql} = '' THEN '/' ELSE {found.sql} END")
+    return Dual(lambda: F.when(found.column == "", "/").otherwise(found.column), f"CASE WHEN {found.sql} = '' THEN '/' ELSE {found.sql} END")
 
 
 def normalized(url: str = "url") -> Dual:
@@ -45,7 +45,7 @@ def normalized(url: str = "url") -> Dual:
     whole = concat(origin(url), p)
     short = replaced(whole, "/$", "")
     is_web = test(r"(?i)^https?://[^/?#]+", url)
-    column = F.when(~is_web.column, F.col(url)).when(F.length(p.column) > 1, short.column).otherwise(whole.column)
+    column = lambda: F.when(~is_web.column, F.col(url)).when(F.length(p.column) > 1, short.column).otherwise(whole.column)
     return Dual(column, f"CASE WHEN NOT {is_web.sql} THEN {url} WHEN length({p.sql}) > 1 THEN {short.sql} ELSE {whole.sql} END")
 
 
@@ -58,7 +58,7 @@ def is_non_doc(url: str = "url") -> Dual:
     """Whether path or extension never lead to documentation."""
     p = lower(path(url))
     pattern = "|".join([*NON_DOC_PATHS, NON_DOC_EXTENSIONS])
-    return Dual(p.column.rlike(pattern), f"regexp_matches({p.sql}, {quoted(pattern)})")
+    return Dual(lambda: p.column.rlike(pattern), f"regexp_matches({p.sql}, {quoted(pattern)})")
 
 
 def scope_prefix(url: str = "url") -> Dual:
@@ -71,7 +71,7 @@ def label(url: str = "url") -> Dual:
     h = host(url)
     cut = replaced(h, r"\.[^.]*$", "")
     many = f"length({h.sql}) - length(replace({h.sql}, '.', '')) >= 2"
-    column = F.when(F.length(h.column) - F.length(F.replace(h.column, F.lit("."), F.lit(""))) >= 2, h.column).otherwise(cut.column)
+    column = lambda: F.when(F.length(h.column) - F.length(F.replace(h.column, F.lit("."), F.lit(""))) >= 2, h.column).otherwise(cut.column)
     return Dual(column, f"CASE WHEN {many} THEN {h.sql} ELSE {cut.sql} END")
 
 
@@ -79,8 +79,8 @@ def project_name(url: str = "url") -> Dual:
     """The host less its last label if it has more than two, else its first; ``project`` where there is none."""
     h = host(url)
     cut, head = replaced(h, r"\.[^.]*$", ""), replaced(h, r"\..*$", "")
-    dots = F.length(h.column) - F.length(F.replace(h.column, F.lit("."), F.lit("")))
-    column = F.when(h.column == "", "project").when(dots >= 2, cut.column).otherwise(head.column)
+    dots = lambda: F.length(h.column) - F.length(F.replace(h.column, F.lit("."), F.lit("")))
+    column = lambda: F.when(h.column == "", "project").when(dots() >= 2, cut.column).otherwise(head.column)
     many = f"length({h.sql}) - length(replace({h.sql}, '.', '')) >= 2"
     return Dual(column, f"CASE WHEN {h.sql} = '' THEN 'project' WHEN {many} THEN {cut.sql} ELSE {head.sql} END")
 
@@ -88,7 +88,7 @@ def project_name(url: str = "url") -> Dual:
 def page_slug(url: str = "url") -> Dual:
     """Where a converted page is stored: the path without slashes at its ends, ``index`` for the root."""
     p = replaced(replaced(path(url), "^/+", ""), "/+$", "")
-    return Dual(F.when(p.column == "", "index").otherwise(p.column), f"CASE WHEN {p.sql} = '' THEN 'index' ELSE {p.sql} END")
+    return Dual(lambda: F.when(p.column == "", "index").otherwise(p.column), f"CASE WHEN {p.sql} = '' THEN 'index' ELSE {p.sql} END")
 
 
 def is_external(href: str) -> Dual:
@@ -103,7 +103,7 @@ def image_url(src: str, page: str) -> Dual:
     """An image's address as checked: absolute, protocol-relative, from the root, or appended to the page's own."""
     root = origin(page)
     tail = replaced(named(page), "/+$", "")
-    column = F.when(F.col(src).rlike("^https?://"), F.col(src)).when(F.col(src).startswith("//"), F.concat(F.lit("https:"), src)).when(F.col(src).startswith("/"), F.concat(root.column, F.col(src))).otherwise(F.concat(tail.column, F.lit("/"), F.col(src)))
+    column = lambda: F.when(F.col(src).rlike("^https?://"), F.col(src)).when(F.col(src).startswith("//"), F.concat(F.lit("https:"), src)).when(F.col(src).startswith("/"), F.concat(root.column, F.col(src))).otherwise(F.concat(tail.column, F.lit("/"), F.col(src)))
     sql = f"CASE WHEN regexp_matches({src}, '^https?://') THEN {src} WHEN starts_with({src}, '//') THEN 'https:' || {src} WHEN starts_with({src}, '/') THEN {root.sql} || {src} ELSE {tail.sql} || '/' || {src} END"
     return Dual(column, sql)
 

@@ -26,13 +26,13 @@ def title() -> Dual:
     has = test(r"(?i)<h1[^>]*>[\s\S]*?</h1>")
     strip = lambda d: replaced(replaced(d, "<[^>]+>", ""), r"^\s+|\s+$", "")
     a, b = strip(h1), strip(tag)
-    return Dual(F.when(has.column, a.column).otherwise(b.column), f"CASE WHEN {has.sql} THEN {a.sql} ELSE {b.sql} END")
+    return Dual(lambda: F.when(has.column, a.column).otherwise(b.column), f"CASE WHEN {has.sql} THEN {a.sql} ELSE {b.sql} END")
 
 
 def generator() -> Dual:
     ahead = first(r"""(?i)<meta[^>]+name=["']generator["'][^>]+content=["']([^"']+)["']""")
     behind = first(r"""(?i)<meta[^>]+content=["']([^"']+)["'][^>]+name=["']generator["']""")
-    return Dual(F.when(ahead.column != "", ahead.column).otherwise(behind.column), f"CASE WHEN {ahead.sql} <> '' THEN {ahead.sql} ELSE {behind.sql} END")
+    return Dual(lambda: F.when(ahead.column != "", ahead.column).otherwise(behind.column), f"CASE WHEN {ahead.sql} <> '' THEN {ahead.sql} ELSE {behind.sql} END")
 
 
 def platform() -> Dual:
@@ -49,20 +49,20 @@ def platform() -> Dual:
 
 def matching(items: Dual, pattern: str, keep: bool = True) -> Dual:
     """Those of a list of strings in which ``pattern`` occurs, or doesn't."""
-    column = F.filter(items.column, lambda x: x.rlike(pattern) if keep else ~x.rlike(pattern))
+    column = lambda: F.filter(items.column, lambda x: x.rlike(pattern) if keep else ~x.rlike(pattern))
     return Dual(column, f"list_filter({items.sql}, lambda x: {'' if keep else 'NOT '}regexp_matches(x, {quoted(pattern)}))")
 
 
 def size(items: Dual) -> Dual:
-    return Dual(F.size(items.column), f"len({items.sql})")
+    return Dual(lambda: F.size(items.column), f"len({items.sql})")
 
 
 def lowered(items: Dual) -> Dual:
-    return Dual(F.transform(items.column, lambda x: F.lower(x)), f"list_transform({items.sql}, lambda x: lower(x))")
+    return Dual(lambda: F.transform(items.column, lambda x: F.lower(x)), f"list_transform({items.sql}, lambda x: lower(x))")
 
 
 def whole(n: Dual) -> Dual:
-    return Dual(n.column.cast("long"), f"CAST({n.sql} AS BIGINT)")
+    return Dual(lambda: n.column.cast("long"), f"CAST({n.sql} AS BIGINT)")
 
 
 IFRAME = r"""(?i)<iframe[^>]+src=["']([^"']+)["']"""
@@ -105,12 +105,12 @@ def stage1() -> dict[str, Dual]:
 
 
 def distinct_in_order(name: str) -> Dual:
-    return Dual(F.array_distinct(F.col(name)), f"list_filter({name}, lambda x, i: list_position({name}, x) = i)")
+    return Dual(lambda: F.array_distinct(F.col(name)), f"list_filter({name}, lambda x, i: list_position({name}, x) = i)")
 
 
 def stage2() -> dict[str, Dual]:
     """What follows from the first stage's columns."""
-    words = Dual(F.when(F.col("plain") == "", 0).otherwise(F.size(F.split("plain", " "))).cast("long"), "CAST(CASE WHEN plain = '' THEN 0 ELSE len(string_split(plain, ' ')) END AS BIGINT)")
+    words = Dual(lambda: F.when(F.col("plain") == "", 0).otherwise(F.size(F.split("plain", " "))).cast("long"), "CAST(CASE WHEN plain = '' THEN 0 ELSE len(string_split(plain, ' ')) END AS BIGINT)")
     variant = {}
     earlier: list[str] = []
     for name, pattern in P.VARIANTS.items():
@@ -124,24 +124,24 @@ def stage2() -> dict[str, Dual]:
         rest = matching(rest, e, keep=False)
     variant["callout_note"] = whole(size(rest))
     external = Dual(
-        F.size(F.filter("image_srcs", lambda s: s.startswith("http") & (F.lower(F.regexp_extract(s, r"^(https?://[^/?#]+)", 1)) != F.col("origin")))).cast("long"),
+        lambda: F.size(F.filter("image_srcs", lambda s: s.startswith("http") & (F.lower(F.regexp_extract(s, r"^(https?://[^/?#]+)", 1)) != F.col("origin")))).cast("long"),
         "CAST(len(list_filter(image_srcs, lambda s: starts_with(s, 'http') AND lower(regexp_extract(s, '^(https?://[^/?#]+)', 1)) <> origin)) AS BIGINT)",
     )
     outside = Dual(
-        F.filter("link_urls", lambda s: F.lower(F.regexp_extract(s, r"^(https?://[^/?#]+)", 1)) != F.col("origin")),
+        lambda: F.filter("link_urls", lambda s: F.lower(F.regexp_extract(s, r"^(https?://[^/?#]+)", 1)) != F.col("origin")),
         "list_filter(link_urls, lambda s: lower(regexp_extract(s, '^(https?://[^/?#]+)', 1)) <> origin)",
     )
     downloads = matching(lowered(named("hrefs")), DOWNLOAD)
-    extensions = Dual(F.array_sort(F.array_distinct(F.transform(downloads.column, lambda x: F.regexp_extract(x, DOWNLOAD, 1)))), f"list_sort(list_distinct(list_transform({downloads.sql}, lambda x: regexp_extract(x, {quoted(DOWNLOAD)}, 1))))")
+    extensions = Dual(lambda: F.array_sort(F.array_distinct(F.transform(downloads.column, lambda x: F.regexp_extract(x, DOWNLOAD, 1)))), f"list_sort(list_distinct(list_transform({downloads.sql}, lambda x: regexp_extract(x, {quoted(DOWNLOAD)}, 1))))")
     iframes = matching(every(IFRAME), P.NOT_PLAIN_IFRAME, keep=False)
-    specs = Dual(F.array_distinct(F.concat("spec_links", "spec_files")), "list_filter(list_concat(spec_links, spec_files), lambda x, i: list_position(list_concat(spec_links, spec_files), x) = i)")
+    specs = Dual(lambda: F.array_distinct(F.concat("spec_links", "spec_files")), "list_filter(list_concat(spec_links, spec_files), lambda x, i: list_position(list_concat(spec_links, spec_files), x) = i)")
     refs = Dual(
-        F.when(F.array_contains("api_refs_found", next(iter(P.API_REFS))), F.array_remove("api_refs_found", list(P.API_REFS)[1])).otherwise(F.col("api_refs_found")),
+        lambda: F.when(F.array_contains("api_refs_found", next(iter(P.API_REFS))), F.array_remove("api_refs_found", list(P.API_REFS)[1])).otherwise(F.col("api_refs_found")),
         f"CASE WHEN list_contains(api_refs_found, {quoted(next(iter(P.API_REFS)))}) THEN list_filter(api_refs_found, lambda x: x <> {quoted(list(P.API_REFS)[1])}) ELSE api_refs_found END",
     )
     url_playground = test(P.PLAYGROUND_PATH, "path")
     endpoints = Dual(
-        F.slice(F.array_distinct(F.transform(F.regexp_extract_all(F.col("plain"), F.lit(ENDPOINT), F.lit(0)), lambda x: F.regexp_replace(x, " +", " "))), 1, 50),
+        lambda: F.slice(F.array_distinct(F.transform(F.regexp_extract_all(F.col("plain"), F.lit(ENDPOINT), F.lit(0)), lambda x: F.regexp_replace(x, " +", " "))), 1, 50),
         f"list_slice(list_filter(regexp_extract_all(plain, {quoted(ENDPOINT)}), lambda x, i: list_position(regexp_extract_all(plain, {quoted(ENDPOINT)}), x) = i), 1, 50)",
     )
     return variant | {
