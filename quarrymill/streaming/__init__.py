@@ -1 +1 @@
-"""streaming of the engine."""
+"""Streaming forms of the operators."""
