@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .linecrf import fold, labelled_sample
 from .shared import slices, whole
 
-SAMPLE = 4000
+SAMPLE = 12_000
 INSULT, THREAT, TARGET, NOT, SAID, OTHER = "insult", "threat", "target", "not", "said", "other"
 LEXICON = {
     INSULT: "idiot idiots idiotic moron morons moronic stupid loser losers worthless pathetic disgusting scum trash clown clowns imbecile imbeciles dimwit halfwit dumbass jackass asshole assholes bastard bastards bitch bitches scumbag scumbags lowlife vermin parasite parasites degenerate degenerates cretin cretins filth filthy freak freaks retard retarded coward cowards idiotisch idiotin abschaum dummkopf arschloch trottel idiota idiotas imbécil estúpido estúpida basura escoria imbécile crétin connard salaud ordure débile",
@@ -208,19 +209,25 @@ def base_classes() -> dict[str, str]:
     return {w: c for c in (SAID, NOT, TARGET, THREAT, INSULT) for w in LEXICON[c].split()}
 
 
-def learn(rows: list[tuple[str, int]], least: int = 6, ratio: float = 30.0, rounds: int = 100, l2: float = 0.3) -> Model:
+def family(words: set[str]) -> tuple[int, ...]:
+    """The two lowest hashes of a text's long words: near copies share them, so a text that was copied often counts once; one word that many texts share doesn't make them a family."""
+    return tuple(sorted(zlib.crc32(w.encode()) for w in words if len(w) >= 6)[:2]) or (zlib.crc32(" ".join(sorted(words)).encode()),)
+
+
+def learn(rows: list[tuple[str, int]], least: int = 5, ratio: float = 30.0, rounds: int = 100, l2: float = 0.3) -> Model:
     """Insults that the fixed list lacks, by how much likelier they are in toxic rows; then the clause weights by logistic regression.
 
-    A word is added if at least ``least`` toxic rows hold it and its smoothed rate there is ``ratio`` times that elsewhere.
+    A word is added if at least ``least`` families of toxic rows hold it and its smoothed rate there is ``ratio`` times that elsewhere.
     """
     classes = base_classes()
-    toxic, clean = Counter(), Counter()
-    n_toxic = sum(1 for _, y in rows if y)
-    n_clean = len(rows) - n_toxic
+    groups: tuple[dict, dict] = ({}, {})
     for text, y in rows:
-        (toxic if y else clean).update({w for w in plain_words(text) if len(w) >= 4})
+        words = {w for w in plain_words(text) if len(w) >= 4}
+        groups[int(bool(y))].setdefault(family(words), set()).update(words)
+    n_toxic, n_clean = sum(1 for _, y in rows if y), sum(1 for _, y in rows if not y)
+    clean, toxic = (Counter(w for words in g.values() for w in words) for g in groups)
     for w, k in toxic.items():
-        rate, other = (k + 0.1) / (n_toxic + 1), (clean[w] + 0.1) / (n_clean + 1)
+        rate, other = (k + 0.1) / (len(groups[1]) + 1), (clean[w] + 0.1) / (len(groups[0]) + 1)
         if k >= least and rate >= ratio * other and w not in classes:
             classes[w] = INSULT
     model = Model(classes)
@@ -244,9 +251,9 @@ def learn(rows: list[tuple[str, int]], least: int = 6, ratio: float = 30.0, roun
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Learn from at most ``sample`` labelled rows whose fold isn't ``held``. Their clause features and words are gathered text by text, up to ``most`` characters at once.
+    """Learn from at most ``sample`` labelled rows whose fold isn't ``held``.
 
-    Without labelled rows the fixed lexicon and weights hold.
+    The driver holds the sample's texts, no more than ``sample`` at any size of the corpus. Without labelled rows the fixed lexicon and weights hold.
     """
     rows = labelled_sample(docs, labels, label, fold(F.col(id_col), folds) != held, sample, id_col, text_col)
     return learn(sorted((r["text"], r["label"]) for r in rows.collect()))
