@@ -262,7 +262,7 @@ class Writer:
             run.clear()
 
         for c in node.children:
-            if isinstance(c, Node) and (c.tag in BLOCK_TAGS or any(d.tag in BLOCK_TAGS for d in c.walk()) and c.tag not in ("a", "x-done")):
+            if isinstance(c, Node) and (c.tag in BLOCK_TAGS or c.tag == "img" and node.tag not in FLOWING or any(d.tag in BLOCK_TAGS for d in c.walk()) and c.tag != "a"):
                 flush()
                 text = self.block(c)
                 if text.strip():
@@ -300,12 +300,14 @@ class Writer:
             return self.store.put(made) if made else ""
         if t in self.config.preserve:
             return self.store.put(node.html())
-        if t == "p":
-            return self.children(node)
-        return self.children(node)
+        if t == "x-done":
+            return "".join(map(str, node.children))
+        return self.image(node) if t == "img" else self.children(node)
 
 
-BLOCK_TAGS = set("address article aside blockquote body details dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html iframe li main nav ol p pre section table ul".split())
+BLOCK_TAGS = set("address article aside blockquote body details dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html iframe li main nav ol p pre section table ul x-done".split())
+#: Where an image stands among words.
+FLOWING = set("p a li td th span b strong em i h1 h2 h3 h4 h5 h6 figcaption".split())
 
 
 # --- cleaning ---------------------------------------------------------------------------------

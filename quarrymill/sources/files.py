@@ -30,22 +30,22 @@ def walk(files: DataFrame, rule: str = "fix", extensions: tuple[str, ...] = (".m
 
 def markdown(spark: SparkSession, root: str, rule: str = "fix", extensions: tuple[str, ...] = (".mdx",), file: str | None = None) -> DataFrame:
     """(path, content) of the documents under ``root`` (or of one ``file``), paths relative to it; a row per file, read in parallel."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    raw = reader.text(file or root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    reader = spark.read.option("recursiveFileLookup", True)
+    raw = reader.text(file or root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     prefix = f"^.*?{root.rstrip('/').rsplit('/', 1)[-1]}/"
     return walk(raw.select(F.regexp_replace("path", prefix, "").alias("path"), "content"), rule, extensions)
 
 
 def document_json(spark: SparkSession, path: str) -> str:
     """The text of one JSON document, such as a site's navigation."""
-    return spark.read.option("wholetext", True).text(path).first()["value"]
+    return spark.read.text(path, wholetext=True).first()["value"]
 
 
 def url_list(spark: SparkSession, path: str | None = None, urls: tuple[str, ...] = ()) -> DataFrame:
     """(url) given and from a JSON array, each once."""
     given = spark.createDataFrame([(u,) for u in urls], "url string")
     if path:
-        listed = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "array<string>")).alias("url"))
+        listed = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("url"))
         given = given.unionByName(listed)
     return given.distinct()
 
@@ -54,7 +54,7 @@ def link_report(spark: SparkSession, path: str) -> DataFrame:
     """Failures of a links report (path, line, kind, href, anchor, new_anchor, status), as the anchor rewriter takes them."""
     each = "source:struct<filePath:string,lineNumber:bigint,rawHref:string,linkType:string>,anchor:string,actualHeadingAnchor:string,status:string"
     read = F.from_json("value", f"results_by_file map<string, array<struct<{each}>>>")["results_by_file"]
-    rows = spark.read.option("wholetext", True).text(path).select(F.explode(read).alias("path", "r")).select("path", F.explode("r").alias("r"))
+    rows = spark.read.text(path, wholetext=True).select(F.explode(read).alias("path", "r")).select("path", F.explode("r").alias("r"))
     return rows.select("path", F.col("r.source.lineNumber").alias("line"), F.col("r.source.linkType").alias("kind"), F.col("r.source.rawHref").alias("href"), "r.anchor", F.col("r.actualHeadingAnchor").alias("new_anchor"), "r.status")
 
 
