@@ -1 +1,97 @@
-ORACLES: dict[str, str] = {}
+"""SQL for DuckDB that gives the same rows as the queries SQL can express, written apart from them.
+
+The others are held against brute force, public libraries or held-out labels in tests/llm.
+"""
+
+from __future__ import annotations
+
+from . import decontaminate as d
+from . import secretscan as s
+from . import urlfilter as u
+
+
+def text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def redirects() -> str:
+    after = "CASE WHEN instr({0}, '://') > 0 THEN substr({0}, instr({0}, '://') + 3) ELSE '' END"
+    host = lambda x: f"translate(regexp_extract({after.format(x)}, '^[^/?#]*'), '{u.UPPER}', '{u.LOWER}')"
+    path = lambda x: f"regexp_extract({after.format(x)}, '^[^/?#]*([^?#]*)', 1)"
+    node = lambda x: f"CASE WHEN {host(x)} <> '' THEN {host(x)} || regexp_extract({after.format(x)}, '^[^/?#]*([^#]*)', 1) END"
+    rules = sorted(u.RULES, key=lambda r: -len(r[1]))
+
+    def decided(h: str, p: str, give: int) -> str:
+        cases = []
+        for rule in rules:
+            name, slash, rest = rule[1].partition("/")
+            cases.append(f"WHEN ({h} = {text(name)} OR ends_with({h}, {text('.' + name)})) AND starts_with({p}, {text(slash + rest)}) THEN {text(rule[give])}")
+        return "CASE " + " ".join(cases) + " END"
+
+    link = r"""(?is)<link\b[^>]*>"""
+    meta = r"""(?is)<meta\b[^>]*>"""
+    href = r"""(?is)\shref\s*=\s*["']?\s*([^"'>]*?)\s*["'>]"""
+    refresh = r"""(?is)url\s*=\s*["']?\s*([^"'>\s]+)"""
+    is_link, is_meta = r"""(?is)\srel\s*=\s*["']?\s*canonical\b""", r"""(?is)\shttp-equiv\s*=\s*["']?\s*refresh\b"""
+    root = f"regexp_extract(url, '^[^:]*') || '://' || regexp_extract({after.format('url')}, '^[^/?#]*')"
+    folder = f"CASE WHEN regexp_replace({path('url')}, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace({path('url')}, '[^/]*$', '') END"
+    return f"""WITH RECURSIVE found AS (
+      SELECT url, unnest(list_concat(
+        list_transform(list_filter(regexp_extract_all(coalesce(html, ''), {text(link)}), lambda t: regexp_matches(t, {text(is_link)})), lambda t: regexp_extract(t, {text(href)}, 1)),
+        list_transform(list_filter(regexp_extract_all(coalesce(html, ''), {text(meta)}), lambda t: regexp_matches(t, {text(is_meta)})), lambda t: regexp_extract(t, {text(refresh)}, 1)))) AS href
+      FROM pages),
+    full_urls AS (SELECT url AS a, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^[^:]*') || ':' || href
+        WHEN starts_with(href, '/') THEN {root} || href WHEN starts_with(href, '?') THEN {root} || {path('url')} || href
+        WHEN starts_with(href, '#') OR regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL ELSE {root} || {folder} || href END AS b FROM found WHERE href <> ''),
+    e AS (SELECT {node('a')} AS a, {node('b')} AS b FROM full_urls), both_ways AS (SELECT a, b FROM e WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM e WHERE a IS NOT NULL AND b IS NOT NULL),
+    reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, x.b FROM reach r JOIN both_ways x ON x.a = r.other),
+    said AS (SELECT node, {decided(host("('x://' || other)"), path("('x://' || other)"), 0)} AS v FROM reach),
+    blocked AS (SELECT node FROM said GROUP BY node HAVING bool_or(v = 'block') AND NOT coalesce(bool_or(v = 'allow'), FALSE)),
+    p AS (SELECT page_id, {host('url')} AS host, {path('url')} AS path, {node('url')} AS node FROM (SELECT page_id, coalesce(url, '') AS url FROM pages))
+    SELECT page_id, host, path, {decided('host', 'path', 1)} AS rule, coalesce({decided('host', 'path', 0)}, CASE WHEN node IN (SELECT node FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM p"""
+
+
+def secrets() -> str:
+    kinds = [(s.ASSIGN, r"\2"), (s.ACCESS, ""), (s.HEX, ""), (s.CANDIDATE, "")]
+    each = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, string_split(regexp_replace(t, {text(p)}, chr(1) || '\\0' || chr(2) || '{g}' || chr(1), 'g'), chr(1)) AS pieces FROM docs" for k, (p, g) in enumerate(kinds))
+    allowed = "|".join(f"(?:{a})" for a in s.ALLOWED)
+    most = "CASE " + " ".join(f"WHEN regexp_matches(x, {text(p)}) THEN {s.ceiling(b)}" for _, p, b in s.CLASSES) + " ELSE -1 END"
+    terms = "[" + ", ".join(str(s.term(n)) for n in range(s.WINDOW + 1)) + "]"
+    name = "CASE k " + " ".join(f"WHEN {k} THEN {text(n)}" for k, n in enumerate(s.KINDS)) + " END || ':' || a || ':' || b"
+    return f"""WITH docs AS (SELECT doc_id, replace(replace(coalesce(text, ''), chr(1), chr(3)), chr(2), chr(3)) AS t FROM documents),
+    p AS (SELECT doc_id, k, unnest(pieces) AS piece, unnest(range(len(pieces))) AS i FROM ({each})),
+    q AS (SELECT *, CASE WHEN contains(piece, chr(2)) THEN instr(piece, chr(2)) - 1 ELSE length(piece) END AS n FROM p),
+    m AS (SELECT doc_id, k, CAST(sum(n) OVER (PARTITION BY doc_id, k ORDER BY i) - n AS BIGINT) AS a, n, length(piece) - n - 1 AS inner_n, substr(piece, 1, n) AS x, contains(piece, chr(2)) AS hit FROM q),
+    base AS (SELECT doc_id, k, a, a + n AS b FROM m WHERE hit AND (k = 0 AND inner_n >= 6 OR k IN (1, 2))),
+    runs AS (SELECT doc_id, a, x, {most} AS most FROM m WHERE hit AND k = 3 AND NOT regexp_matches(x, {text(allowed)})),
+    win AS (SELECT doc_id, a, most, w, string_split(substr(x, CAST(w + 1 AS INTEGER), {s.WINDOW}), '') AS c FROM (SELECT *, unnest(range(0, length(x) - {s.WINDOW} + 1)) AS w FROM runs)),
+    good AS (SELECT doc_id, a, w FROM win WHERE list_sum(list_transform(list_distinct(c), lambda y: {terms}[len(list_filter(c, lambda z: z = y)) + 1])) <= most),
+    extra AS (SELECT doc_id, 3 AS k, a + min(w) AS a, a + max(w) + {s.WINDOW} AS b FROM good GROUP BY doc_id, a),
+    fresh AS (SELECT * FROM extra e WHERE NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = e.doc_id AND x.a < e.b AND e.a < x.b)),
+    spans AS (SELECT * FROM base UNION ALL SELECT * FROM fresh),
+    said AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, coalesce(string_agg({name}, ',' ORDER BY a, k, b) FILTER (k < 3), '') AS base_text, string_agg({name}, ',' ORDER BY a, k, b) AS spans FROM spans GROUP BY doc_id)
+    SELECT o.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base_text, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM documents o LEFT JOIN said ON said.doc_id = o.doc_id"""
+
+
+def templates() -> str:
+    units = ", ".join(text(x) for x in d.UNITS)
+
+    def windows(table: str, key: str) -> str:
+        words = f"SELECT {key} AS key, unnest(w) AS word, unnest(range(len(w))) AS i, len(w) AS n FROM (SELECT {key}, list_filter(string_split_regex(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}.!?%€$]+'), lambda x: length(rtrim(x, '.!?')) > 0) AS w FROM (SELECT DISTINCT {key}, text FROM {table} WHERE {key} IS NOT NULL))"
+        before = f"SELECT *, lag(word) OVER (PARTITION BY key ORDER BY i) AS prior, lower(rtrim(word, '.!?')) AS low FROM ({words})"
+        number = "{0} >= '0' AND {0} < ':'"
+        kind = f"CASE WHEN {number.format('word')} THEN '{d.NUMBER}' WHEN prior IS NOT NULL AND {number.format('prior')} AND low IN ({units}) THEN '{d.UNIT}' WHEN word[1] <> lower(word[1]) AND prior IS NOT NULL AND rtrim(prior, '.!?') = prior THEN '{d.NAME}' ELSE low END"
+        kinds = f"SELECT key, n, list(t ORDER BY i) AS t, list(CASE WHEN t IN ('{d.NUMBER}', '{d.UNIT}', '{d.NAME}') THEN t || low END ORDER BY i) AS v FROM (SELECT *, {kind} AS t FROM ({before})) GROUP BY key, n"
+        return f"SELECT key, n, place, array_to_string(list_slice(t, place, place + {d.WINDOW - 1}), ' ') AS template, list_filter(list_slice(v, place, place + {d.WINDOW - 1}), lambda x: x IS NOT NULL) AS slots FROM (SELECT *, unnest(range(1, greatest(n - {d.WINDOW} + 1, 1) + 1)) AS place FROM ({kinds}))"
+
+    return f"""WITH theirs AS (SELECT * FROM ({windows('benchmark', 'item_id')}) WHERE least({d.WINDOW}, n) - len(slots) >= least({d.LITERALS}, n)), totals AS (SELECT key, count(*) AS item_windows FROM theirs GROUP BY key),
+    met AS (SELECT m.key AS doc_id, t.key AS item_id, m.place - t.place AS diagonal, t.place, t.slots AS theirs, m.slots AS mine FROM ({windows('documents', 'doc_id')}) m JOIN theirs t ON t.template = m.template),
+    pairs AS (SELECT DISTINCT doc_id, item_id, diagonal, unnest(theirs) AS a, unnest(mine) AS b FROM met),
+    odd AS (SELECT doc_id, item_id, diagonal, bool_and(a = b) AS exact, count(*) = count(DISTINCT a) AS agree FROM pairs GROUP BY ALL),
+    occ AS (SELECT m.doc_id, m.item_id, m.diagonal, count(DISTINCT m.place) AS n, coalesce(any_value(o.exact), TRUE) AS exact, coalesce(any_value(o.agree), TRUE) AS agree FROM met m LEFT JOIN odd o ON o.doc_id = m.doc_id AND o.item_id = m.item_id AND o.diagonal = m.diagonal GROUP BY ALL),
+    best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, exact DESC) AS r FROM occ WHERE agree)
+    SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_windows, CAST(item_windows AS BIGINT) AS item_windows, exact FROM best JOIN totals ON totals.key = item_id WHERE r = 1 AND n >= item_windows * {d.COVERAGE}"""
+
+
+ORACLES: dict[str, str] = {"op2_redirect_equivalence": redirects(), "op5_entropy_secrets": secrets(), "op6_template_decontamination": templates()}
