@@ -90,8 +90,8 @@ def test_transducer_equals_library(codec, reference):
     for warm in (1, 4):
         codec.encoder.clear()
         codec.encoder.warm = warm
-        codec.words.known.clear()
-        codec.words.known.older = {}
+        codec.pretokens.clear()
+        codec.pretokens.older = {}
         codec.chunks.known.older = {}
         codec.chunks.known.clear()
         for t, ids in zip(texts, codec.encode(texts), strict=True):
