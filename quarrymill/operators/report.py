@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..sources.shared import numbered
 
 #: Column by the name of the component kind that a page may hold.
 KINDS = {
@@ -44,11 +45,12 @@ def totals(pages: DataFrame) -> DataFrame:
 
 
 def ranked(counts: DataFrame, n: str, first_seen: str, limit: int | None) -> DataFrame:
-    """Most first, ties by first appearance. The window runs over distinct values, after a limit where there is one."""
+    """Most first, ties by first appearance. With a limit the window runs over so many rows; without, rows are numbered where they lie."""
     order = [F.desc(n), F.asc(first_seen)]
     if limit:
-        counts = counts.orderBy(*order).limit(limit)
-    return counts.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("long"))
+        return counts.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("long"))
+    placed = numbered(counts.withColumn("_down", -F.col(n)), "_down", first_seen)
+    return placed.withColumn("rank", (F.col("slot") + 1).cast("long")).drop("slot", "_down")
 
 
 def value_counts(pages: DataFrame, column: str, out: str, limit: int | None = None) -> DataFrame:

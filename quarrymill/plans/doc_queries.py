@@ -54,8 +54,8 @@ Q["doc_list"] = lambda spark, sf_dir: indexed(spark, sf_dir).groupBy("language")
 S["doc_list"] = "SELECT lang AS language, CAST(count(*) AS BIGINT) AS docs, min('docs/' || doc_id) AS first_path FROM documents GROUP BY 1"
 
 
-def text_query(name: str, parts: dict[str, Dual], source: str = "SELECT doc_id, substr(text, 1, 120) AS t FROM documents") -> None:
-    Q[name] = lambda spark, sf_dir: documents(spark, sf_dir).select("doc_id", F.substring("text", 1, 120).alias("t")).select("doc_id", *[d.column.alias(n) for n, d in parts.items()])
+def text_query(name: str, parts: dict[str, Dual], source: str = "SELECT doc_id, text AS t FROM documents") -> None:
+    Q[name] = lambda spark, sf_dir: documents(spark, sf_dir).select("doc_id", F.col("text").alias("t")).select("doc_id", *[d.column.alias(n) for n, d in parts.items()])
     S[name] = f"SELECT doc_id, {', '.join(f'{d.sql} AS {n}' for n, d in parts.items())} FROM ({source})"
 
 

@@ -62,12 +62,13 @@ def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Q["sitemap_urls"] = sitemap_urls
 S["sitemap_urls"] = f"WITH RECURSIVE d AS ({values_sql('url, body', SITEMAPS)}), l AS (SELECT url, contains(body, '<sitemapindex') AS idx, unnest(regexp_extract_all(body, '<loc>\\s*([^<\\s]+)\\s*</loc>', 1)) AS loc FROM d), r AS (SELECT '/sitemap.xml' AS url, 0 AS n UNION SELECT l.loc, r.n + 1 FROM r JOIN l ON l.url = r.url AND l.idx WHERE r.n < 3) SELECT DISTINCT l.loc AS url FROM r JOIN l ON l.url = r.url AND NOT l.idx"
-Q["link_report_markdown"] = lambda spark, sf_dir: sinks.link_markdown(mdx_links.validated(mdx_docs(spark, sf_dir)).filter("path like 'docs/3/%'"))
-S["link_report_markdown"] = f"""WITH v AS (SELECT * FROM {V} WHERE path LIKE 'docs/3/%'), b AS (SELECT path, '\n## ' || path || '\n\n' || string_agg('- line ' || line || ': `' || href || '`', '\n' ORDER BY line, href) || '\n' AS s FROM v WHERE status <> 'success' GROUP BY path)
-SELECT '# Link report\n\n- Total: ' || (SELECT count(*) FROM v) || '\n- Success: ' || (SELECT count(*) FROM v WHERE status = 'success') || '\n- Failure: ' || (SELECT count(*) FROM v WHERE status = 'failure') || '\n- Error: ' || (SELECT count(*) FROM v WHERE status = 'error') || '\n' || (SELECT string_agg(s, '' ORDER BY path) FROM b) AS report"""
+Q["link_report_markdown"] = lambda spark, sf_dir: sinks.link_markdown(mdx_links.validated(mdx_docs(spark, sf_dir)))
+S["link_report_markdown"] = f"""WITH v AS (SELECT * FROM {V})
+SELECT '' AS path, '# Link report\n\n- Total: ' || count(*) || '\n- Success: ' || count(*) FILTER (status = 'success') || '\n- Failure: ' || count(*) FILTER (status = 'failure') || '\n- Error: ' || count(*) FILTER (status = 'error') || '\n' || CASE WHEN count(*) FILTER (status <> 'success') = 0 THEN '\nAll links are valid.\n' ELSE '' END AS section FROM v
+UNION ALL SELECT path, '\n## ' || path || '\n\n' || string_agg('- line ' || line || ': `' || href || '`', '\n' ORDER BY line, href) || '\n' FROM v WHERE status <> 'success' GROUP BY path"""
 Q["parse_summary"] = lambda spark, sf_dir: sinks.parse_summary(rewrite.lint(mdx_docs(spark, sf_dir)))
-CHANGED = "SELECT path, replace(content, '<br>', '<br />') AS content FROM (" + MDX_DOCS + ") WHERE contains(content, '<br>') AND path LIKE 'docs/2/%'"
-Q["changed_documents"] = lambda spark, sf_dir: sinks.write_changed(mdx_docs(spark, sf_dir), mdx_docs(spark, sf_dir).select("path", F.when(F.col("path").like("docs/2/%"), F.replace("content", F.lit("<br>"), F.lit("<br />"))).otherwise(F.col("content")).alias("content")), "", dry_run=True)
+CHANGED = "SELECT path, replace(content, '<br>', '<br />') AS content FROM (" + MDX_DOCS + ") WHERE contains(content, '<br>')"
+Q["changed_documents"] = lambda spark, sf_dir: sinks.write_changed(mdx_docs(spark, sf_dir), mdx_docs(spark, sf_dir).select("path", F.replace("content", F.lit("<br>"), F.lit("<br />")).alias("content")), "", dry_run=True)
 S["changed_documents"] = CHANGED
 SLUGS = [("a.md", '---\nslug: "/x"\nid: y\n---\n'), ("b.md", "---\nid: z\n---\n"), ("c.md", "no"), ("d.md", "---\ntitle: t\n---\n")]
 SLUG_OF = [rf"""(?ms)^---\n.*?^{k}\s*:\s*["']?([^"'\n]+)["']?\s*$""" for k in ("slug", "id")]

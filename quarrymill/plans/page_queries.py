@@ -267,19 +267,18 @@ def crawl_frontier_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q["crawl_frontier_union"] = crawl_frontier_union
 S["crawl_frontier_union"] = f"SELECT DISTINCT {urls.normalized().sql} AS url FROM (SELECT url FROM pages UNION ALL SELECT target AS url FROM ({LINKS})) WHERE NOT ({urls.is_non_doc().sql})"
 
-STEP = "SELECT source, CASE WHEN n % 5 = 0 THEN source || '/deep' ELSE target END AS target FROM (SELECT source, target, page_id AS n FROM l)"
 
 
 def crawl_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import frontier
 
     edges = link_edges(spark, sf_dir).select("source", "target").unionByName(link_edges(spark, sf_dir).select(F.col("target").alias("source"), F.concat("target", F.lit("/more")).alias("target")))
-    seeds = pages(spark, sf_dir).filter("page_id < 40").select(urls.normalized().column.alias("url"))
+    seeds = pages(spark, sf_dir).select(urls.normalized().column.alias("url"))
     return frontier.reachable(seeds, edges, most_depth=4)
 
 
 Q["crawl_reachable"] = crawl_reachable
-S["crawl_reachable"] = f"WITH RECURSIVE l AS (SELECT source, target FROM ({LINKS})), e AS (SELECT source, target FROM l UNION SELECT target, target || '/more' FROM l), r AS (SELECT {urls.normalized().sql} AS url, 0 AS depth FROM pages WHERE page_id < 40 UNION SELECT e.target, r.depth + 1 FROM r JOIN e ON e.source = r.url WHERE r.depth < 4) SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY 1"
+S["crawl_reachable"] = f"WITH RECURSIVE l AS (SELECT source, target FROM ({LINKS})), e AS (SELECT source, target FROM l UNION SELECT target, target || '/more' FROM l), r AS (SELECT {urls.normalized().sql} AS url, 0 AS depth FROM pages UNION SELECT e.target, r.depth + 1 FROM r JOIN e ON e.source = r.url WHERE r.depth < 4) SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY 1"
 
 META = r"""(?i)<meta[^>]+(?:property|name|itemprop)=["']([\w:-]+)["'][^>]*\scontent=["']([^"']*)["']"""
 
@@ -337,21 +336,27 @@ def probe_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 NORMAL = urls.normalized().sql
 
 
-@add("resume_antijoin", f"SELECT DISTINCT {NORMAL} AS url FROM pages WHERE {NORMAL} NOT IN (SELECT {NORMAL} FROM pages WHERE page_id % 10 IN (1, 2, 4))")
+AGAIN = "CASE page_id % 7 WHEN 0 THEN 500 WHEN 3 THEN NULL ELSE 200 END"
+OK = "BETWEEN 200 AND 399"
+
+
+@add("resume_antijoin", f"SELECT DISTINCT {NORMAL} AS url FROM pages WHERE {NORMAL} NOT IN (SELECT {NORMAL} FROM pages WHERE {PROBE} {OK})")
 def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left to check after a first round of probes."""
     from ..operators import resume
 
-    all_pages = probes(spark, sf_dir)
-    return resume.to_check(all_pages.select("url"), all_pages.filter("page_id % 10 in (1, 2, 4)").select("url"))
+    probed = probes(spark, sf_dir)
+    return resume.to_check(probed.select("url"), probed.filter(F.col("status").between(200, 399)).select("url"))
 
 
-@add("resume_merge", f"WITH p AS (SELECT page_id, {NORMAL} AS url, {PROBE} AS status FROM pages), old AS (SELECT url, max(500) AS status FROM p WHERE page_id % 2 = 0 GROUP BY 1), new AS (SELECT url, min(coalesce(status, -1)) AS status FROM p WHERE page_id % 3 = 0 GROUP BY 1) SELECT coalesce(n.url, o.url) AS url, CAST(CASE WHEN n.url IS NOT NULL THEN n.status ELSE o.status END AS BIGINT) AS status FROM old o FULL OUTER JOIN new n ON o.url = n.url WHERE NOT coalesce(n.status BETWEEN 200 AND 399, FALSE)")
+@add("resume_merge", f"WITH p AS (SELECT {NORMAL} AS url, {PROBE} AS one, {AGAIN} AS two FROM pages), old AS (SELECT url, max(coalesce(one, -1)) AS status FROM p WHERE NOT coalesce(one {OK}, FALSE) GROUP BY 1), new AS (SELECT url, min(coalesce(two, -1)) AS status FROM p GROUP BY 1) SELECT coalesce(n.url, o.url) AS url, CAST(CASE WHEN n.url IS NOT NULL THEN n.status ELSE o.status END AS BIGINT) AS status FROM old o FULL OUTER JOIN new n ON o.url = n.url WHERE NOT coalesce(n.status {OK}, FALSE)")
 def resume_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The failures of a first round after a second one over all pages."""
     from ..operators import resume
 
-    p = probes(spark, sf_dir)
-    old = p.filter("page_id % 2 = 0").groupBy("url").agg(F.max(F.lit(500)).alias("status"))
-    new = p.filter("page_id % 3 = 0").groupBy("url").agg(F.min(F.coalesce("status", F.lit(-1))).alias("status"))
+    p = pages(spark, sf_dir).select(urls.normalized().column.alias("url"), F.expr(PROBE).alias("one"), F.expr(AGAIN).alias("two"))
+    old = p.filter(~F.coalesce(F.col("one").between(200, 399), F.lit(False))).groupBy("url").agg(F.max(F.coalesce("one", F.lit(-1))).alias("status"))
+    new = p.groupBy("url").agg(F.min(F.coalesce("two", F.lit(-1))).alias("status"))
     return resume.merge_failures(old, new).select("url", F.col("status").cast("long").alias("status"))
 
 

@@ -48,7 +48,7 @@ MDX_SQL = """
 SELECT concat('docs/', CAST(doc_id % 7 AS STRING), '/page-', CAST(doc_id AS STRING), CASE WHEN doc_id % 11 = 0 THEN '/index' ELSE '' END, '.mdx') AS path,
        concat('---\\ntitle: "Page ', CAST(doc_id AS STRING), '"\\nlang: ', lang, '\\n---\\n\\n',
               CASE WHEN doc_id % 3 = 0 THEN concat('# Page ', CAST(doc_id AS STRING), '\\n\\n') ELSE '' END,
-              '## Setup\\n\\n', substr(text, 1, 200), '\\n\\n## Usage & Notes\\n\\n## Setup\\n\\n',
+              '## Setup\\n\\n', text, '\\n\\n## Usage & Notes\\n\\n## Setup\\n\\n',
               'See [next](/docs/', CAST((doc_id + 1) % 7 AS STRING), '/page-', CAST(doc_id + 1 AS STRING), ') and [setup](./page-', CAST(doc_id + 7 AS STRING), '#setup).\\n',
               'Also [gone](/docs/missing-', CAST(doc_id AS STRING), ') or <a href="../1/page-1#usage-notes">notes</a>, ![alt](/img/', CAST(doc_id % 5 AS STRING), '.png) and [out](https://example.org/x).\\n',
               '<Card title="Go" href="/docs/0/page-0/index">c</Card> <Button href="#setup">b</Button><br><hr>\\n\\n',

@@ -16,11 +16,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def numbered(df: DataFrame, by: str) -> DataFrame:
-    """Add ``slot``, gapless from 0 in order of ``by``."""
+def numbered(df: DataFrame, *by: str) -> DataFrame:
+    """Add ``slot``, gapless from 0 in order of ``by``: rows are dealt by range, and one count for each partition reaches the driver."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marked = cut(df.repartitionByRange(n, by).sortWithinPartitions(by).withColumn("_at", F.monotonically_increasing_id()))
+    marked = cut(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
     marked = marked.withColumn("_part", F.shiftright("_at", 33)).withColumn("_own", F.col("_at").bitwiseAND((1 << 33) - 1))
     at, shifts = 0, []
     for r in sorted(marked.groupBy("_part").agg(F.count("*").alias("n")).collect()):

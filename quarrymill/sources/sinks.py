@@ -24,14 +24,16 @@ def write_documents(docs: DataFrame, path: str) -> None:
 
 
 def link_markdown(results: DataFrame) -> DataFrame:
-    """One row (report): a links report as markdown, from a row per file that failed; files in order, so the text is the same every time."""
-    totals = results.agg(F.count("*").alias("t"), F.count_if(F.col("status") == "success").alias("s"), F.count_if(F.col("status") == "failure").alias("f"), F.count_if(F.col("status") == "error").alias("e"))
-    head = F.concat(F.lit("# Link report\n\n- Total: "), "t", F.lit("\n- Success: "), "s", F.lit("\n- Failure: "), "f", F.lit("\n- Error: "), "e", F.lit("\n"))
-    bad = results.filter("status <> 'success'").select("path", F.concat(F.lit("- line "), "line", F.lit(": `"), "href", F.lit("`")).alias("row"), "line", "href")
-    files = bad.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "href", "row"))), lambda x: x["row"]), "\n").alias("rows"))
-    body = files.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "rows"))), lambda x: F.concat(F.lit("\n## "), x["path"], F.lit("\n\n"), x["rows"], F.lit("\n"))), "").alias("body"))
-    text = F.concat(head, F.when(F.col("body") == "", F.lit("\nAll links are valid.\n")).otherwise(F.col("body")))
-    return totals.crossJoin(body).select(text.alias("report"))  # one row by one row
+    """(path, section): a links report as markdown, a row per file that failed and one (path empty) at the head; in order of path they are the report."""
+    count = lambda s: F.count_if(F.col("status") == s).cast("string")
+    head = results.agg(
+        F.lit("").alias("path"),
+        F.concat(F.lit("# Link report\n\n- Total: "), F.count("*").cast("string"), F.lit("\n- Success: "), count("success"), F.lit("\n- Failure: "), count("failure"), F.lit("\n- Error: "), count("error"), F.lit("\n"), F.when(F.count_if(F.col("status") != "success") == 0, "\nAll links are valid.\n").otherwise("")).alias("section"),
+    )
+    bad = results.filter("status <> 'success'").select("path", "line", "href", F.concat(F.lit("- line "), "line", F.lit(": `"), "href", F.lit("`")).alias("row"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "href", "row"))), lambda x: x["row"]), "\n")
+    files = bad.groupBy("path").agg(listed.alias("rows")).select("path", F.concat(F.lit("\n## "), "path", F.lit("\n\n"), "rows", F.lit("\n")).alias("section"))
+    return head.unionByName(files)
 
 
 def parse_summary(results: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def test_sinks(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("b", "3")]
     assert json.loads(sinks.fallback_markdown(before.limit(1)).first()["report"].split("\n")[1]) == {"path": "a", "content": "1"}
     none = spark.createDataFrame([], "path string, line long, href string, status string")
-    assert "All links are valid." in sinks.link_markdown(none).first()["report"]
+    assert "All links are valid." in sinks.link_markdown(none).first()["section"]
 
 
 def test_navigation(spark):
