@@ -28,6 +28,8 @@ from .shared import cut, partitions, slices, whole
 
 LIMIT, STEP, BLOCK_IDS = 16, 256, 1 << 18
 HEAD = "<4sIIQQ"
+#: Stands for a missing id in a block.
+NO_ID = -(1 << 63)
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -129,10 +131,10 @@ def unpack(data: bytes, n: int, marks: np.ndarray, table: tuple[np.ndarray, np.n
     return out.T.reshape(-1)[:n]
 
 
-def write_block(docs: list[int], sizes: list[int], ids: np.ndarray, first: int, codes: np.ndarray, lengths: np.ndarray) -> bytes:
+def write_block(docs: list[int | None], sizes: list[int], ids: np.ndarray, first: int, codes: np.ndarray, lengths: np.ndarray) -> bytes:
     data, bits, marks = pack(ids, codes, lengths)
     return b"".join(
-        (struct.pack(HEAD, b"CHF1", len(docs), len(ids), bits, first), np.array(docs, "<i8").tobytes(), np.array(sizes, "<u4").tobytes(), marks.astype("<u8").tobytes(), data)
+        (struct.pack(HEAD, b"CHF1", len(docs), len(ids), bits, first), np.array([NO_ID if d is None else d for d in docs], "<i8").tobytes(), np.array(sizes, "<u4").tobytes(), marks.astype("<u8").tobytes(), data)
     )
 
 
@@ -240,7 +242,7 @@ def encode_blocks(ids: DataFrame, lengths: np.ndarray, width: int, block_ids: in
 
         lengths, codes = sent.value
         part, seq, first = TaskContext.get().partitionId(), 0, 0
-        docs: list[int] = []
+        docs: list[int | None] = []
         held: list[np.ndarray] = []
 
         def flush():
@@ -282,7 +284,7 @@ def decode_blocks(blocks: DataFrame, lengths: np.ndarray, row: Callable[[np.ndar
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([part] * len(docs), pa.int32()),
-                        pa.array(docs, pa.int64()),
+                        pa.array(docs, pa.int64(), mask=docs == NO_ID),
                         pa.array(ends - sizes + first, pa.int64()),
                         pa.array(sizes.astype(np.int64), pa.int64()),
                         pa.array([row(ids[e - s : e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)], kind),
@@ -313,7 +315,7 @@ def shared_folder(spark: SparkSession) -> str:
 def write_ids(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
     """Tokenise, code and write all documents; the written blocks, read from their files, and the code lengths.
 
-    Rows without an id can't be placed in order of id and fail the write; repeated ids stand beside each other.
+    Rows without an id come first, in no certain order; repeated ids stand beside each other.
     Empty texts are the end id alone; an empty table is no block.
     """
     spark, width = docs.sparkSession, id_width(tokenizer_path)

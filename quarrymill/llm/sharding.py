@@ -112,8 +112,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard), a row for each row of ``docs``.
 
     Size is the text's UTF-8 bytes (null: none) plus 1; null and empty texts are one group.
-    Groups are ordered by smallest id (rows without an id first); a group whose ids are all
-    null goes first. An empty table gives an empty result. Repeated rows each get a slot.
+    Groups are ordered by smallest id; those whose ids are all null aren't told apart and
+    stay together in the first shard, whatever its capacity. An empty table gives an empty result. Repeated rows each get a slot.
     """
     text = F.encode(whole(text_col), "UTF-8")
     narrow = cut(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("_group")))

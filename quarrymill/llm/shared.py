@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -110,6 +109,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         last = now
     raise RuntimeError(f"components did not settle within {most_rounds} rounds")
 
-
-def hash_any(columns: list[Column]) -> Column:
-    return reduce(lambda x, y: F.concat(x, F.lit("\u0000"), y), columns)
