@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .linecrf import fold, labelled_sample
 from .shared import slices, whole
 
-SAMPLE = 12_000
+SAMPLE = 8_000
 INSULT, THREAT, TARGET, NOT, SAID, OTHER = "insult", "threat", "target", "not", "said", "other"
 LEXICON = {
     INSULT: "idiot idiots idiotic moron morons moronic stupid loser losers worthless pathetic disgusting scum trash clown clowns imbecile imbeciles dimwit halfwit dumbass jackass asshole assholes bastard bastards bitch bitches scumbag scumbags lowlife vermin parasite parasites degenerate degenerates cretin cretins filth filthy freak freaks retard retarded coward cowards idiotisch idiotin abschaum dummkopf arschloch trottel idiota idiotas imbécil estúpido estúpida basura escoria imbécile crétin connard salaud ordure débile",
@@ -222,7 +223,7 @@ def learn(rows: list[tuple[str, int]], least: int = 5, ratio: float = 30.0, roun
     classes = base_classes()
     groups: tuple[dict, dict] = ({}, {})
     for text, y in rows:
-        words = {w for w in plain_words(text) if len(w) >= 4}
+        words = {sys.intern(w) for w in plain_words(text) if len(w) >= 4}
         groups[int(bool(y))].setdefault(family(words), set()).update(words)
     n_toxic, n_clean = sum(1 for _, y in rows if y), sum(1 for _, y in rows if not y)
     clean, toxic = (Counter(w for words in g.values() for w in words) for g in groups)
