@@ -43,11 +43,14 @@ def slots_of(words: Column) -> Column:
     return F.transform(words, one)
 
 
-def windows(texts: DataFrame, key: str, window: int) -> DataFrame:
-    """(key, at, n, hash, slots): each window of template words; a shorter text is one window of its own. ``slots`` joins the values."""
+def windows(texts: DataFrame, key: str, window: int, literal: bool = False) -> DataFrame:
+    """(key, at, n, hash, slots): each window of template words; a shorter text is one window of its own. ``slots`` joins the values.
+
+    If ``literal``, words stand for themselves in lower case, whatever their kind.
+    """
     bare = lambda w: F.lower(F.rtrim(w, F.lit(".!?")))
     read = texts.select(key, words_of(F.col("_text")).alias("w")).filter(F.size("w") > 0)
-    read = read.select(key, "w", slots_of(F.col("w")).alias("t"))
+    read = read.select(key, "w", F.transform("w", bare).alias("t") if literal else slots_of(F.col("w")).alias("t"))
     read = read.select(
         key, F.size("w").alias("n"),
         F.transform("t", lambda t: F.xxhash64(t)).alias("h"),
@@ -63,21 +66,23 @@ def windows(texts: DataFrame, key: str, window: int) -> DataFrame:
     return read.select(key, "n", F.inline(each))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE, literal: bool = False) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, exact): the items that a text holds.
 
     Its best occurrence covers at least ``coverage`` of the item's windows with agreeing slots;
     ``exact`` if every slot value is the item's own. Items shorter than a window are matched
     whole, inside longer texts only where the text has just these words. Null and empty texts
     and items match nothing; rows without an id are passed over; repeated rows count once.
+    If ``literal``, words are compared as they are in lower case: the case of a text, which tells
+    names, then doesn't matter.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("_text")).filter("item_id is not null and _text is not null").distinct()
-    theirs = windows(items, "item_id", window).select("item_id", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), F.col("n").alias("item_n"))
+    theirs = windows(items, "item_id", window, literal).select("item_id", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), F.col("n").alias("item_n"))
     filled = F.when(F.col("item_slots") == "", 0).otherwise(F.size(F.split("item_slots", "\u0001")))
     theirs = cut(theirs.filter(F.least(F.lit(window), F.col("item_n")) - filled >= F.least(F.lit(literals), F.col("item_n"))).drop("item_n"))
     totals = theirs.groupBy("item_id").agg(F.count("*").alias("item_windows"))
     few = theirs.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    mine = windows(docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("_text")).filter("doc_id is not null"), "doc_id", window).drop("n")
+    mine = windows(docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("_text")).filter("doc_id is not null"), "doc_id", window, literal).drop("n")
     met = mine.join(F.broadcast(theirs) if few else theirs, "hash").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "slots", "item_slots").distinct()
     pairs = F.arrays_zip(F.split("item_slots", "\u0001").alias("theirs"), F.split("slots", "\u0001").alias("mine"))
     occurrence = met.groupBy("doc_id", "item_id", "diagonal").agg(F.countDistinct("item_at").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(F.when(F.col("item_slots") == "", F.array().cast("array<struct<theirs:string,mine:string>>")).otherwise(pairs)))).alias("values"))
@@ -87,3 +92,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     best = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "exact")).alias("best"))
     joined = best.join(F.broadcast(totals) if few else totals, "item_id")
     return joined.select("doc_id", "item_id", F.col("best.n_windows").alias("n_windows"), "item_windows", F.col("best.exact").alias("exact")).filter(F.col("n_windows") >= F.col("item_windows") * coverage)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of all items that a text holds as a template, or word for word in any case."""
+    found = [contaminated(docs, benchmark, literal=literal).select("doc_id", "item_id") for literal in (False, True)]
+    return found[0].unionByName(found[1]).distinct()
