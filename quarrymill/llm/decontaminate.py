@@ -43,14 +43,26 @@ def slots_of(words: Column) -> Column:
     return F.transform(words, one)
 
 
-def windows(texts: DataFrame, key: str, window: int, literal: bool = False) -> DataFrame:
+def runs_joined(words: Column, kinds: Column) -> Column:
+    """(word, kind) with each run of number words or of name words as one, its words joined."""
+    told = F.array_join(F.zip_with(words, kinds, lambda w, t: F.concat(t, F.lit("\u0002"), w)), "\u0003")
+    for kind in (NUMBER, NAME):
+        told = F.regexp_replace(told, f"(?<=(?:^|\u0003){kind}\u0002[^\u0003]{{1,80}})\u0003{kind}\u0002", " ")
+    return F.transform(F.filter(F.split(told, "\u0003"), lambda x: x != ""), lambda x: F.struct(F.substring_index(x, "\u0002", -1).alias("word"), F.substring_index(x, "\u0002", 1).alias("kind")))
+
+
+def windows(texts: DataFrame, key: str, window: int, literal: bool = False, merged: bool = False) -> DataFrame:
     """(key, at, n, hash, slots): each window of template words; a shorter text is one window of its own. ``slots`` joins the values.
 
-    If ``literal``, words stand for themselves in lower case, whatever their kind.
+    If ``literal``, words stand for themselves in lower case, whatever their kind. If ``merged``, digit groups
+    are one number and runs of numbers or names one placeholder, so slots may differ in their count of words.
     """
     bare = lambda w: F.lower(F.rtrim(w, F.lit(".!?")))
-    read = texts.select(key, words_of(F.col("_text")).alias("w")).filter(F.size("w") > 0)
+    text = F.regexp_replace("_text", r"(?<=[0-9])[,'\u202f\u00a0 ](?=[0-9]{3}(?![0-9]))", "") if merged else F.col("_text")
+    read = texts.select(key, words_of(text).alias("w")).filter(F.size("w") > 0)
     read = read.select(key, "w", F.transform("w", bare).alias("t") if literal else slots_of(F.col("w")).alias("t"))
+    if merged:
+        read = read.select(key, runs_joined(F.col("w"), F.col("t")).alias("_r")).select(key, F.col("_r.word").alias("w"), F.col("_r.kind").alias("t"))
     read = read.select(
         key, F.size("w").alias("n"),
         F.transform("t", lambda t: F.xxhash64(t)).alias("h"),
@@ -66,7 +78,7 @@ def windows(texts: DataFrame, key: str, window: int, literal: bool = False) -> D
     return read.select(key, "n", F.inline(each))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE, literal: bool = False) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE, literal: bool = False, merged: bool = False, spread: int = 0) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, exact): the items that a text holds.
 
     Its best occurrence covers at least ``coverage`` of the item's windows with agreeing slots;
@@ -74,18 +86,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     whole, inside longer texts only where the text has just these words. Null and empty texts
     and items match nothing; rows without an id are passed over; repeated rows count once.
     If ``literal``, words are compared as they are in lower case: the case of a text, which tells
-    names, then doesn't matter.
+    names, then doesn't matter. If ``merged``, see `windows`. Windows on up to ``spread`` diagonals
+    to either side of one are added up, too, as words put in or left out shift what follows.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("_text")).filter("item_id is not null and _text is not null").distinct()
-    theirs = windows(items, "item_id", window, literal).select("item_id", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), F.col("n").alias("item_n"))
+    theirs = windows(items, "item_id", window, literal, merged).select("item_id", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), F.col("n").alias("item_n"))
     filled = F.when(F.col("item_slots") == "", 0).otherwise(F.size(F.split("item_slots", "\u0001")))
     theirs = cut(theirs.filter(F.least(F.lit(window), F.col("item_n")) - filled >= F.least(F.lit(literals), F.col("item_n"))).drop("item_n"))
     totals = theirs.groupBy("item_id").agg(F.count("*").alias("item_windows"))
     few = theirs.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    mine = windows(docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("_text")).filter("doc_id is not null"), "doc_id", window, literal).drop("n")
+    mine = windows(docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("_text")).filter("doc_id is not null"), "doc_id", window, literal, merged).drop("n")
     met = mine.join(F.broadcast(theirs) if few else theirs, "hash").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "slots", "item_slots").distinct()
+    near = F.lit(False).alias("wide")
+    if spread:
+        wide = F.explode(F.sequence(F.col("diagonal") - spread, F.col("diagonal") + spread)).alias("diagonal")
+        met = met.select("*", near).unionByName(met.select("doc_id", "item_id", wide, "item_at", "slots", "item_slots", F.lit(True).alias("wide")))
+    else:
+        met = met.select("*", near)
     pairs = F.arrays_zip(F.split("item_slots", "\u0001").alias("theirs"), F.split("slots", "\u0001").alias("mine"))
-    occurrence = met.groupBy("doc_id", "item_id", "diagonal").agg(F.countDistinct("item_at").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(F.when(F.col("item_slots") == "", F.array().cast("array<struct<theirs:string,mine:string>>")).otherwise(pairs)))).alias("values"))
+    occurrence = met.groupBy("doc_id", "item_id", "diagonal", "wide").agg(F.countDistinct("item_at").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(F.when(F.col("item_slots") == "", F.array().cast("array<struct<theirs:string,mine:string>>")).otherwise(pairs)))).alias("values"))
     values = F.col("values")
     agree = F.size(F.array_distinct(F.transform(values, lambda v: v["theirs"]))) == F.size(values)
     kept = occurrence.select("doc_id", "item_id", "n_windows", F.forall(values, lambda v: v["theirs"] == v["mine"]).alias("exact"), agree.alias("agree")).filter("agree")
@@ -94,7 +113,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return joined.select("doc_id", "item_id", F.col("best.n_windows").alias("n_windows"), "item_windows", F.col("best.exact").alias("exact")).filter(F.col("n_windows") >= F.col("item_windows") * coverage)
 
 
+#: Words put in or left out within an item, all in all to either side, that its occurrence in the pipeline may have.
+SPREAD = 3
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id) of all items that a text holds as a template, or word for word in any case."""
-    found = [contaminated(docs, benchmark, literal=literal).select("doc_id", "item_id") for literal in (False, True)]
-    return found[0].unionByName(found[1]).distinct()
+    """(doc_id, item_id) of all items that a text holds: as a template, with slots of other lengths or words put in or left out, or word for word in any case."""
+    ways = [{}, {"merged": True, "spread": SPREAD}, {"literal": True, "spread": SPREAD}]
+    found = [contaminated(docs, benchmark, **way).select("doc_id", "item_id") for way in ways]
+    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()

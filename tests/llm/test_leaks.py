@@ -15,3 +15,18 @@ def found(spark, texts, items):
 def test_any_case(spark):
     texts = [prose(1, 60) + " " + ITEM.upper() + " " + prose(2, 60), "so " + ITEM.lower(), (prose(3, 20) + " " + ITEM).upper(), prose(4, 80).upper()]
     assert found(spark, texts, [ITEM]) == {(0, 0), (1, 0), (2, 0)}
+
+
+def test_slots_of_other_lengths_and_words_put_in(spark):
+    item = "once Tom bought 12 boxes of pencils at the corner shop and then Tom sold 30 of them to the school next door before the long summer holiday began"
+    other = item.replace("12", "1,200").replace("30", "4,400").replace("Tom sold", "Mary Ann sold").replace("Tom bought", "Mary Ann bought")
+    put_in = item.replace("and then Tom", "and just then Tom")
+    texts = [prose(1, 40) + " " + other + " " + prose(2, 40), prose(3, 40) + " " + put_in, prose(5, 90)]
+    assert found(spark, texts, [item]) == {(0, 0), (1, 0)}
+    assert {r["doc_id"] for r in decontaminate.contaminated(docs_frame(spark, list(enumerate(texts))), spark.createDataFrame([(0, item)], "item_id long, text string")).collect()} == set()
+
+
+def test_runs_are_joined(spark):
+    row = spark.createDataFrame([(1, "then Mary Ann Smith paid 1,200 to Bob. Carl left 3 4 5 km off")], "k long, _text string")
+    made = decontaminate.windows(row, "k", 8, merged=True).orderBy("at").first()
+    assert made["n"] == 11 and made["slots"] == "<name>mary ann smith\u0001<number>1200\u0001<name>bob"
