@@ -10,6 +10,8 @@ is found, and a chance mixture isn't. All on DataFrame functions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,5 +122,9 @@ SPREAD = 3
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id) of all items that a text holds: as a template, with slots of other lengths or words put in or left out, or word for word in any case."""
     ways = [{}, {"merged": True, "spread": SPREAD}, {"literal": True, "spread": SPREAD}]
-    found = [contaminated(docs, benchmark, **way).select("doc_id", "item_id") for way in ways]
-    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
+    found = [contaminated(docs, benchmark, **way) for way in ways]
+    # Items shorter than a window are met by windows of their own length, of which there are few.
+    size = F.size(words_of(whole("text")))
+    for (n,) in sorted(benchmark.select(size.alias("n")).filter(F.col("n").between(1, WINDOW - 1)).distinct().collect()):
+        found.append(contaminated(docs, benchmark.filter(size == n), window=n, literal=True))
+    return reduce(DataFrame.unionByName, [f.select("doc_id", "item_id") for f in found]).distinct()

@@ -30,3 +30,9 @@ def test_runs_are_joined(spark):
     row = spark.createDataFrame([(1, "then Mary Ann Smith paid 1,200 to Bob. Carl left 3 4 5 km off")], "k long, _text string")
     made = decontaminate.windows(row, "k", 8, merged=True).orderBy("at").first()
     assert made["n"] == 11 and made["slots"] == "<name>mary ann smith\u0001<number>1200\u0001<name>bob"
+
+
+def test_short_and_dense_items(spark):
+    items = ["why is water wet today", "Natalia sold clips to many of her friends", "Add 1 2 3 4 5 6 7 8 9 10 now"]
+    texts = [f"{prose(k, 30)} {item}, {prose(k + 50, 30)}" for k, item in enumerate(items)] + [prose(9, 80)]
+    assert found(spark, texts, items) == {(0, 0), (1, 1), (2, 2)}
