@@ -199,11 +199,11 @@ ASCII_SPACES = "".join(chr(i) if chr(i).isalpha() else " " for i in range(128))
 
 
 def any_trigger(lowered: str, triggers: frozenset) -> bool:
-    """Whether a trigger word may stand in the text; punctuation beyond ASCII is settled by the clause."""
+    """Whether a trigger word stands in the text; marks beyond ASCII end words as the grammar has it."""
     words = lowered.translate(SEPARATORS).split()
     if not triggers.isdisjoint(words):
         return True
-    return not lowered.isascii() and any(c in lowered for c in "’‘“”«»…—–¿¡") and not triggers.isdisjoint(WORD.findall(lowered))
+    return not lowered.isascii() and not triggers.isdisjoint(WORD.findall(lowered))
 
 
 def base_classes() -> dict[str, str]:
