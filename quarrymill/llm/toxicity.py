@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .linecrf import fold, labelled_sample
 from .shared import slices, whole
@@ -271,3 +272,16 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.7, folds: int =
     held_out = F.coalesce(fold(F.col(id_col), folds) == held, F.lit(False))
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), whole(text_col).alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def judged(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with ``predicted`` of each row's own text beside all columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in slices(batches):
+            said = [int(sent.value.score(t or "") >= threshold) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.int32())], names=[*batch.schema.names, "predicted"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("predicted", IntegerType())]))
