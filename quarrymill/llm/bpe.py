@@ -16,18 +16,20 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-import re
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, whole
+from .pieces import Pieces, by_bytes
+from .shared import slices, whole, whole_strings
 
 FOREVER = 1 << 62
+# Fixed value: the pre-token pattern whose borders `Pieces` knows.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class Vocabulary:
@@ -112,7 +114,7 @@ class Vocabulary:
 class Encoder:
     """Encodes the bytes of one pre-token at a time."""
 
-    def __init__(self, vocabulary: Vocabulary, most_states: int = 50_000, warm: int = 4) -> None:
+    def __init__(self, vocabulary: Vocabulary, most_states: int = 50_000, warm: int = 16) -> None:
         self.v, self.most, self.warm = vocabulary, most_states, warm
         self.clear()
 
@@ -220,56 +222,6 @@ class Encoder:
         return out
 
 
-class Recent(dict):
-    """A dictionary of what was used lately: at most twice ``most`` entries, the older half dropped when the newer is full."""
-
-    def __init__(self, most: int) -> None:
-        super().__init__()
-        self.most, self.older = most, {}
-
-    def __missing__(self, key):
-        value = self.older[key]
-        self[key] = value
-        return value
-
-    def age(self) -> None:
-        if len(self) > self.most:
-            self.older = dict(self)
-            self.clear()
-
-
-class Chunked:
-    """Ids of whole texts, from the ids of their pieces between single spaces, which are kept while few.
-
-    A pre-token never goes on from a character that isn't white space into a space, so a
-    text may be cut there: the ids of the pieces are the ids of the text. Texts in which a
-    space follows other white space are cut by a pattern, at the safe places alone.
-    ``missing`` maps a list of pieces to their ids, as unsigned 32- or 16-bit integers in bytes.
-    """
-
-    def __init__(self, missing: Callable[[list[str]], list[bytes]], most: int = 200_000) -> None:
-        self.missing, self.known = missing, Recent(most)
-        self.unsafe, self.cut = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
-
-    def pieces(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if text[0] == " " or self.unsafe.search(text):
-            return self.cut.split(text)
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else self.cut.split(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        all_pieces = [self.pieces(t) for t in texts]
-        known = self.known
-        known.age()
-        older, wanted = known.older, {p for ps in all_pieces for p in ps}.difference(known)
-        lacking = [p for p in wanted if p not in older]
-        if lacking:
-            known.update(zip(lacking, self.missing(lacking), strict=True))
-        get = known.__getitem__
-        return [b"".join(map(get, ps)) for ps in all_pieces]
-
-
 def utf8_states() -> list[dict[int, int]]:
     """The state machine of well-formed UTF-8: by state, the next state for each byte allowed; 0 is between characters."""
     ranges = {
@@ -353,28 +305,20 @@ class Codec:
         self.vocabulary = Vocabulary.parse(ranks)
         self.kind = np.uint16 if max(self.vocabulary.bytes) < 1 << 16 else np.uint32
         self.encoder, self.decoder = Encoder(self.vocabulary), Decoder(self.vocabulary.bytes)
-        self.find, self.pretokens = regex.compile(pattern).findall, Recent(120_000)
-        self.chunks = Chunked(self.missing)
+        self.pieces = Pieces(self.words, regex.compile(pattern).findall, self.kind)
+        # The cuts of `Pieces` are borders of this pattern's pre-tokens; under another pattern texts are searched whole.
+        self.cuts, self.find = pattern == PATTERN, regex.compile(pattern).findall
         self.digits = [str(i) for i in range(max(self.vocabulary.bytes) + 1)]
 
-    def missing(self, pieces: list[str]) -> list[bytes]:
-        pretokens, encode, find, code = self.pretokens, self.encoder.encode, self.find, "H" if self.kind is np.uint16 else "I"
-        pretokens.age()
-        out = []
-        for p in pieces:
-            parts = []
-            for word in find(p):
-                try:
-                    parts.append(pretokens[word])
-                except KeyError:
-                    parts.append(ids := array(code, encode(word.encode())).tobytes())
-                    if len(word) < 64:
-                        pretokens[word] = ids
-            out.append(parts[0] if len(parts) == 1 else b"".join(parts))
-        return out
+    def words(self, words: list[str]) -> list[bytes]:
+        encode, code = self.encoder.encode, "H" if self.kind is np.uint16 else "I"
+        return [array(code, encode(w.encode())).tobytes() for w in words]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(b, self.kind) for b in self.chunks.encode(texts)]
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text: the transducer reads every distinct pre-token that wasn't met lately."""
+        if self.cuts:
+            return self.pieces.encode(texts)
+        return [np.frombuffer(b"".join(self.words(self.find(t))), self.kind) for t in texts.to_pylist()]
 
     @classmethod
     def of(cls, ranks: bytes, pattern: str) -> Codec:
@@ -396,8 +340,8 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
 
     def run(batches):
         codec = Codec.of(sent.value, pattern)
-        for batch in slices(batches):
-            ids = codec.encode(batch.column(1).to_pylist())
+        for batch in by_bytes(batches):
+            ids = codec.encode(whole_strings(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -428,8 +372,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     def run(batches):
         codec = Codec.of(sent.value, pattern)
         digits, sha = codec.digits.__getitem__, hashlib.sha256
-        for batch in slices(batches):
-            all_ids = codec.encode(batch.column(1).to_pylist())
+        for batch in by_bytes(batches):
+            all_ids = codec.encode(whole_strings(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),

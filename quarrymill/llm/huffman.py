@@ -13,18 +13,20 @@ is run again writes its part again and nothing else.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
-import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Chunked
-from .shared import cut, partitions, slices, whole
+from .bpe import PATTERN
+from .pieces import Pieces, by_bytes
+from .shared import partitions, remove, shared_folder, slices, whole, whole_strings
 
 LIMIT, STEP, BLOCK_IDS = 16, 256, 1 << 18
 HEAD = "<4sIIQQ"
@@ -155,41 +157,55 @@ def read_block(block: bytes, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.n
 
 
 class Tokens:
-    """The ids of whole texts from the tokenizers library, asked once for each piece that is new to this process."""
+    """The ids of whole texts from the tokenizers library, asked once for each pre-token that wasn't met lately.
 
-    kept: dict[str, Tokens] = {}
+    Strings of added tokens within a text are what the library makes of them: with ``special_as_text`` ordinary text, else their ids.
+    """
+
+    kept: dict[tuple[str, bool], Tokens] = {}
 
-    def __init__(self, model: str) -> None:
+    def __init__(self, model: str, special_as_text: bool = False) -> None:
         import json
 
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(model)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = special_as_text
+        self.kind = np.uint16 if self.library.get_vocab_size() < 1 << 16 else np.uint32
         plain = json.loads(model)
-        # Cutting at single spaces is exact where the library itself cuts there and changes nothing before it.
+        added = plain.get("added_tokens") or []
+        # Cutting a text is exact where the library itself cuts there and changes nothing before it, added tokens included.
         before = plain.get("pre_tokenizer") or {}
-        self.cuts = plain.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
-        self.kind = np.uint16 if self.library.get_vocab_size() < 1 << 16 else np.uint32
-        self.chunks = Chunked(self.missing)
+        byte_level = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        apart = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s|\w[,.;:!?]", t["content"])) for t in added)
+        self.cuts = plain.get("normalizer") is None and byte_level and apart
+        names = [t["content"] for t in added]
+        # The scripts up to here are cut into words the same way by every version of Unicode; other pieces are left to the library.
+        settled = re.compile("[\0-\u024f]*").fullmatch
+        self.pieces = Pieces(self.words, regex.compile(PATTERN).findall, self.kind, lambda p: settled(p) is not None and not any(n in p for n in names))
 
-    def missing(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def words(self, texts: list[str]) -> list[bytes]:
+        code = "H" if self.kind is np.uint16 else "I"
+        return [array(code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return self.chunks.encode(texts) if self.cuts else self.missing(texts)
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        return self.pieces.encode(texts) if self.cuts else [np.frombuffer(w, self.kind) for w in self.words(texts.to_pylist())]
 
     @classmethod
-    def of(cls, model: str) -> Tokens:
-        key = hashlib.sha256(model.encode()).hexdigest()
+    def of(cls, model: str, special_as_text: bool = False) -> Tokens:
+        key = hashlib.sha256(model.encode()).hexdigest(), special_as_text
         if key not in cls.kept:
             cls.kept.clear()
-            cls.kept[key] = cls(model)
+            cls.kept[key] = cls(model, special_as_text)
         return cls.kept[key]
 
 
-def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): little-endian ids of each whole text and the end id, 2 bytes each if the vocabulary allows, else 4."""
+def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
+    """(doc_id, ids, id, n): little-endian ids of each whole text and the end id, 2 bytes each if the vocabulary allows, else 4.
+
+    Each task adds one row whose ``ids`` is null: how often (``n``) which ``id`` occurred in its rows.
+    """
     with open(tokenizer_path, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -197,12 +213,22 @@ def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, id_c
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the other cores have tasks of their own
-        tokens = Tokens.of(sent.value)
-        tail = b"" if end_id is None else np.array([end_id], tokens.kind).tobytes()
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i + tail for i in tokens.encode(batch.column(1).to_pylist())], pa.binary())], names=["doc_id", "ids"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+        tokens = Tokens.of(sent.value, special_as_text)
+        names, lists = ["doc_id", "ids", "id", "n"], (pa.list_(pa.int64()), pa.list_(pa.int64()))
+        tail, total = np.array([] if end_id is None else [end_id], tokens.kind), np.zeros(0, np.int64)
+        for batch in by_bytes(batches):
+            ids = [np.concatenate([i, tail]) for i in tokens.encode(whole_strings(batch.column(1)))]
+            seen = np.bincount(np.concatenate(ids)) if ids else total[:0]
+            if len(seen) > len(total):
+                seen, total = total, seen
+            total[: len(seen)] += seen
+            nothing = [pa.nulls(len(ids), kind) for kind in lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.tobytes() for i in ids], pa.binary()), *nothing], names=names)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([used], lists[0]), pa.array([total[used]], lists[1])], names=names)
+
+    kinds = "doc_id long, ids binary, id array<long>, n array<long>"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(run, kinds)
 
 
 def id_width(tokenizer_path: str) -> int:
@@ -211,21 +237,10 @@ def id_width(tokenizer_path: str) -> int:
     return 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size() < 1 << 16 else 4
 
 
-def id_counts(ids: DataFrame, width: int) -> np.ndarray:
-    """How often each id occurs in the whole corpus; one row per id of the vocabulary reaches the driver."""
-
-    def run(batches):
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                n = np.bincount(np.frombuffer(data, f"<u{width}"))
-                if len(n) > len(total):
-                    n, total = total, n.astype(np.int64)
-                total[: len(n)] += n
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
-
-    rows = ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+def id_counts(ids: DataFrame) -> np.ndarray:
+    """How often each id occurs in the whole corpus, from the rows of counts; one row per id of the vocabulary reaches the driver."""
+    each = ids.filter("ids is null").select(F.explode(F.arrays_zip("id", "n")).alias("c")).groupBy("c.id").agg(F.sum("c.n").alias("n"))
+    rows = each.collect()
     counts = np.zeros(max((r["id"] for r in rows), default=-1) + 1, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
@@ -306,13 +321,7 @@ def with_starts(decoded: DataFrame, blocks: DataFrame) -> DataFrame:
     return decoded.join(F.broadcast(shifts), "part").withColumn("start", F.col("own_start") + F.col("_shift"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints, which driver and executors share."""
-    cut(spark.range(1))
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-
-
-def write_ids(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
+def write_ids(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> tuple[DataFrame, np.ndarray]:
     """Tokenise, code and write all documents; the written blocks, read from their files, and the code lengths.
 
     Rows without an id come first, in no certain order; repeated ids stand beside each other.
@@ -320,10 +329,11 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str | None = None, e
     """
     spark, width = docs.sparkSession, id_width(tokenizer_path)
     folder = folder or shared_folder(spark)
-    token_ids(docs, tokenizer_path, end_id, id_col, text_col).write.parquet(f"{folder}/ids")
+    token_ids(docs, tokenizer_path, end_id, id_col, text_col, special_as_text).write.parquet(f"{folder}/ids")
     ids = spark.read.parquet(f"{folder}/ids")
-    lengths = code_lengths(id_counts(ids, width))
-    encode_blocks(ids, lengths, width).write.parquet(f"{folder}/blocks")
+    lengths = code_lengths(id_counts(ids))
+    encode_blocks(ids.filter("ids is not null").select("doc_id", "ids"), lengths, width).write.parquet(f"{folder}/blocks")
+    remove(spark, f"{folder}/ids")
     return spark.read.parquet(f"{folder}/blocks"), lengths
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -10,16 +11,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the files.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder: the one the cluster names in ``spark.checkpoint.dir``, or that the context was given.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where
-    that is unset (tests on one machine) a temporary folder is made.
+    Only where neither is set and driver and executors are one machine (``local``) a temporary folder is made; elsewhere that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarrymill-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, which driver and executors share."""
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that was written by one of these operators and is read no more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from the files."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -32,6 +51,11 @@ def whole(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def whole_strings(texts: pa.Array) -> pa.Array:
+    """The column as plain strings without nulls."""
+    return texts.cast(pa.string()).fill_null("")
+
+
 def partitions(spark: SparkSession) -> int:
     """As many as the session shuffles into."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

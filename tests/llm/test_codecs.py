@@ -7,11 +7,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from quarrymill.llm import bpe, huffman, media
+from quarrymill.llm import bpe, huffman, media, pieces
 
 from .fixtures import awkward_texts, docs_frame, empty_frame
 
@@ -90,11 +91,8 @@ def test_transducer_equals_library(codec, reference):
     for warm in (1, 4):
         codec.encoder.clear()
         codec.encoder.warm = warm
-        codec.pretokens.clear()
-        codec.pretokens.older = {}
-        codec.chunks.known.older = {}
-        codec.chunks.known.clear()
-        for t, ids in zip(texts, codec.encode(texts), strict=True):
+        codec.pieces = pieces.Pieces(codec.words, codec.find, codec.kind)
+        for t, ids in zip(texts, codec.encode(pa.array(texts)), strict=True):
             assert ids.tolist() == reference.encode_ordinary(t)
             assert codec.decoder.whole(ids) == t.encode()
             assert "".join(codec.decoder.stream(ids.tolist())) == t
@@ -118,7 +116,7 @@ def test_decoder_rejects_ill_formed(codec):
             codec.decoder.whole(np.array(bad))
         with pytest.raises(ValueError):
             list(codec.decoder.stream(bad))
-    split = codec.encode(["漢"])[0]
+    split = codec.encode(pa.array(["漢"]))[0]
     assert len(split) > 1 and list(codec.decoder.stream(split.tolist())) == ["漢"]
 
 
@@ -174,7 +172,6 @@ def test_length_limit_is_optimal():
 def test_ids_digest(spark):
     path = P.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     rows = sorted(huffman.ids_digest(docs_frame(spark), path).collect(), key=lambda r: (r["doc_id"], r["start"]))
     start = 0
     for (i, t), r in zip(sorted(awkward_texts(), key=lambda x: x[0]), rows, strict=True):
@@ -182,3 +179,49 @@ def test_ids_digest(spark):
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert huffman.ids_digest(empty_frame(spark), path).count() == 0
+
+
+#: Cuts beside spaces and marks, added tokens, scripts beyond the settled ones, the mark that `Pieces` cuts with.
+EDGES = [
+    "a <|endoftext|> b", "a<|endoftext|>, b", "<|endoftext|><|endoftext|>", "<|endoftext|", "a  b", "a \n b", "\n c", " lead", "  lead", "trail ", "x\x01y z", "a.b, c.\nD", "", "don't we'll. 5,000.5 ,x", "日本語。 テスト, x",
+    "a\u3000 b", "e\u0301, x", "a\x85 b", "naïve,café.", "a\xa0 b", "word,\n\n next", "ǅ.x ɐ,b", "\x1c x", "tab\t x", ",,, a", "a ,b", "1,2 3.4", "x" * 300 + ", y",
+]
+
+
+@pytest.mark.parametrize("as_text", [False, True])
+def test_ids_are_the_library_s(as_text):
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = as_text
+    with open(path, encoding="utf-8") as f:
+        tokens = huffman.Tokens.of(f.read(), as_text)
+    r = random.Random(8)
+    texts = EDGES + ["".join(r.choice(EDGES) for _ in range(r.randrange(5))) for _ in range(300)]
+    for _ in range(2):
+        assert [i.tolist() for i in tokens.encode(pa.array(texts))] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_edges_through_the_transducer(codec, reference):
+    assert [i.tolist() for i in codec.encode(pa.array(EDGES))] == [reference.encode_ordinary(t) for t in EDGES]
+    # A slice of an array, and rows in batches by their bytes.
+    assert [i.tolist() for i in codec.encode(pa.array(EDGES).slice(5, 7))] == [reference.encode_ordinary(t) for t in EDGES[5:12]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(EDGES))), pa.array(EDGES)], names=["a", "b"])
+    assert [x for b in pieces.by_bytes([batch], most=20) for x in b.column(1).to_pylist()] == EDGES
+
+
+def test_table_of_pieces_stays_small(codec, reference):
+    """A table that is full loses the half that came first; ids stay the same."""
+    small = pieces.Pieces(codec.words, codec.find, codec.kind, most=40)
+    r = random.Random(5)
+    for _ in range(30):
+        texts = [" ".join("".join(r.choice("etaoin") for _ in range(r.randrange(1, 90))) for _ in range(r.randrange(9))) for _ in range(5)]
+        assert [i.tolist() for i in small.encode(pa.array(texts))] == [reference.encode_ordinary(t) for t in texts]
+        assert len(small.table.keys) <= 40 + 5 * 9 + 1 and len(small.table.ids) == small.table.sizes.sum()
+
+
+def test_another_pattern_is_searched_whole(reference):
+    with open(RANKS, "rb") as f:
+        raw = f.read()
+    pattern = r"\S+|\s+"
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=reference._mergeable_ranks, special_tokens={})
+    assert [i.tolist() for i in bpe.Codec(raw, pattern).encode(pa.array(EDGES))] == [other.encode_ordinary(t) for t in EDGES]
