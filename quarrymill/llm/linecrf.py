@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .shared import slices, whole
 
-SAMPLE, TRAIN_LINES = 3000, 64
+#: Labelled rows to learn from, their whole texts.
+SAMPLE = 3000
 SYMBOLS = re.compile(r"[%&$#*!|<>{}\[\]\\^~=+@_]")
 UPPER = re.compile(r"[A-ZÄÖÜÀÁÂÇÈÉÊËÍÎÏÑÓÔÖÚÛÜ]")
 DIGIT = re.compile(r"[0-9]")
@@ -150,60 +151,78 @@ class Chain:
         return 1.0 / (1.0 + math.exp(-(self.shift + self.scale * math.log(share / (1 - share)))))
 
 
-def logsumexp2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.logaddexp(a, b)
+def running(m: np.ndarray, steps: int) -> np.ndarray:
+    """Products of the 2 by 2 matrices up to each place, scaled to sum 1, over the 2 ** ``steps`` places before it at least."""
+    for k in range(steps):
+        d = 1 << k
+        if d >= len(m):
+            break
+        longer = np.matmul(m[:-d], m[d:])
+        m = np.concatenate([m[:d], longer / longer.sum(axis=(1, 2), keepdims=True)])
+    return m
+
+
+def marginals(potentials: np.ndarray, moves: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(good) of each line, and for each line but the first of all the probabilities (state before, state) with the line before it.
+
+    All chains lie end to end; ``first`` tells where one begins. Messages are products of matrices, formed by doubling,
+    so chains of any length take as many steps as their length has binary digits. Pairs across a border mean nothing.
+    """
+    n = len(potentials)
+    # From state to state, times the line's own weight; scaled so that nothing overflows.
+    weight = np.exp(np.stack([np.minimum(0, -potentials), np.minimum(0, potentials)], axis=1))
+    onto = np.exp(moves)[None] * weight[:, None, :]
+    starts = np.flatnonzero(first)
+    longest = int(np.diff(np.append(starts, n)).max())
+    steps = max(1, longest.bit_length())
+    # A matrix of equal rows forgets what was before it.
+    ahead = onto.copy()
+    ahead[starts] = np.repeat(weight[starts, None, :], 2, axis=1)
+    alpha = running(ahead / ahead.sum(axis=(1, 2), keepdims=True), steps).sum(axis=1)
+    alpha /= alpha.sum(axis=1, keepdims=True)
+    back = np.empty_like(onto)
+    back[:-1] = onto[1:]
+    back[np.append(starts[1:] - 1, n - 1)] = 1.0
+    turned = (back / back.sum(axis=(1, 2), keepdims=True))[::-1].transpose(0, 2, 1)
+    beta = running(turned, steps).sum(axis=1)[::-1]
+    beta /= beta.sum(axis=1, keepdims=True)
+    both = alpha * beta
+    pairs = alpha[:-1, :, None] * onto[1:] * beta[1:, None, :]
+    return both[:, 1] / both.sum(axis=1), pairs / pairs.sum(axis=(1, 2), keepdims=True)
 
 
 def train(chains: list[tuple[list[tuple[int, ...]], int]], rounds: int = 150, l2: float = 1e-3, rate: float = 0.15) -> Chain:
-    """Maximum likelihood by gradient steps over all chains; every line of a chain starts with its document's label.
+    """Maximum likelihood by gradient steps over all chains, whole; every line of a chain starts with its document's label.
 
     After half the rounds, lines of bad documents that the model holds for good are taken for good:
     a bad document may contain sound lines.
     """
-    n_docs, longest, n_f = len(chains), max(len(c) for c, _ in chains), len(FEATURES)
-    x = np.zeros((n_docs, longest, n_f), np.float32)
-    mask = np.zeros((n_docs, longest), bool)
-    y = np.zeros((n_docs, longest), np.float32)
-    for d, (lines, label) in enumerate(chains):
-        for i, f in enumerate(lines):
-            x[d, i, list(f)] = 1
-        mask[d, : len(lines)] = True
-        y[d, : len(lines)] = label
-    share = np.clip(y[mask].mean(), 0.01, 0.99)
-    bad = y[:, 0] == 0
+    n_f, sizes = len(FEATURES), np.array([len(c) for c, _ in chains])
+    n = int(sizes.sum())
+    x = np.zeros((n, n_f))
+    for i, f in enumerate(f for c, _ in chains for f in c):
+        x[i, list(f)] = 1
+    y = np.repeat(np.array([float(label) for _, label in chains]), sizes)
+    bad = y == 0
+    first = np.zeros(n, bool)
+    first[np.cumsum(sizes) - sizes] = True
+    within = ~first[1:]
     w, t = np.zeros(n_f), np.zeros((2, 2))
     params_m, params_v = np.zeros(n_f + 4), np.zeros(n_f + 4)
-    both = mask[:, 1:] & mask[:, :-1]
     for step in range(1, rounds + 1):
-        e = x @ w.astype(np.float32)
-        unary = np.stack([np.zeros_like(e), e], axis=2).astype(np.float64)
-        alpha, beta = np.zeros_like(unary), np.zeros_like(unary)
-        alpha[:, 0] = unary[:, 0]
-        for i in range(1, longest):
-            alpha[:, i] = unary[:, i] + np.logaddexp(alpha[:, i - 1, :1] + t[0], alpha[:, i - 1, 1:] + t[1])
-        for i in range(longest - 2, -1, -1):
-            onward = unary[:, i + 1] + beta[:, i + 1]
-            here = np.logaddexp(t[:, 0] + onward[:, :1], t[:, 1] + onward[:, 1:])
-            beta[:, i] = np.where(mask[:, i + 1, None], here, 0.0)
-        both_ways = alpha + beta
-        z = np.logaddexp(both_ways[..., 0], both_ways[..., 1])
-        p = np.exp(both_ways[..., 1] - z)
+        p, pairs = marginals(x @ w, t, first)
         if step == rounds // 2:
-            y[bad] = np.where(mask[bad] & (p[bad] > 0.9), 1.0, y[bad])
-        gap = np.where(mask, y - p, 0.0)
-        grad_w = np.einsum("dl,dlf->f", gap.astype(np.float32), x).astype(np.float64) / mask.sum() - l2 * w
-        grad_t = np.zeros((2, 2))
-        for a in range(2):
-            for b in range(2):
-                pair = np.exp(alpha[:, :-1, a] + t[a, b] + unary[:, 1:, b] + beta[:, 1:, b] - z[:, 1:])
-                seen = (y[:, :-1] == a) & (y[:, 1:] == b)
-                grad_t[a, b] = (np.where(both, seen - pair, 0.0)).sum() / mask.sum() - l2 * t[a, b]
+            y[bad & (p > 0.9)] = 1.0
+        grad_w = x.T @ (y - p) / n - l2 * w
+        # Sums over the pairs within chains: observed less expected.
+        before, here = y[:-1][within], y[1:][within]
+        seen = np.array([[((1 - before) * (1 - here)).sum(), ((1 - before) * here).sum()], [(before * (1 - here)).sum(), (before * here).sum()]])
+        grad_t = (seen - pairs[within].sum(axis=0)) / n - l2 * t
         grad = np.concatenate([grad_w, grad_t.ravel()])
         params_m = 0.9 * params_m + 0.1 * grad
         params_v = 0.99 * params_v + 0.01 * grad**2
         move = rate * (params_m / (1 - 0.9**step)) / (np.sqrt(params_v / (1 - 0.99**step)) + 1e-8)
         w, t = w + move[:n_f], np.clip(t + move[n_f:].reshape(2, 2), -4, 4)
-    del share
     return Chain(w.tolist(), t.tolist())
 
 
@@ -236,20 +255,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     return docs.select(id_col, whole(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", "label")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, sample: int = SAMPLE, train_lines: int = TRAIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """Learn from at most ``sample`` labelled rows whose fold isn't ``held``, and of each from its first ``train_lines`` lines.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+    """Learn from the whole texts of at most ``sample`` labelled rows whose fold isn't ``held``.
 
-    Without rows of both labels the chain is indifferent and every score is one half.
+    The driver holds one number for each of their lines. Without rows of both labels the chain is indifferent and every score is one half.
     """
 
     def run(batches):
         for batch in slices(batches):
-            rows = [line_features(t)[0][:train_lines] for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.list_(pa.int8()))), batch.column(1), batch.column(0)], names=["lines", "label", "text"])
+            rows = [[sum(1 << k for k in f) for f in line_features(t)[0]] for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column(1)], names=["lines", "label"])
 
     rows = labelled_sample(docs, labels, label, fold(F.col(id_col), folds) != held, sample, id_col, text_col)
-    got = [([tuple(f) for f in r["lines"]], r["label"]) for r in rows.mapInArrow(run, "lines array<array<tinyint>>, label int, text string").select("lines", "label").collect()]
-    got = sorted(x for x in got if x[0])
+    told: dict[int, tuple[int, ...]] = {}
+
+    def features(mask: int) -> tuple[int, ...]:
+        if mask not in told:
+            told[mask] = tuple(k for k in range(len(FEATURES)) if mask >> k & 1)
+        return told[mask]
+
+    got = sorted((list(r["lines"]), r["label"]) for r in rows.mapInArrow(run, "lines array<int>, label int").collect() if r["lines"])
+    got = [([features(m) for m in lines], label) for lines, label in got]
     if len({label for _, label in got}) < 2:
         return Chain([0.0] * len(FEATURES), [[0.0, 0.0], [0.0, 0.0]])
     chain = train(got)

@@ -5,6 +5,7 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 
 from quarrymill.llm import linecrf, toxicity
@@ -28,6 +29,51 @@ def test_marginals_equal_enumeration():
         assert chain.marginals(e) == pytest.approx([g / total for g in good], abs=1e-9)
 
 
+def test_training_marginals_equal_the_chain_s():
+    """Products by doubling over chains end to end, some of thousands of lines, against one message after the other."""
+    r = np.random.default_rng(6)
+    for sizes in ([1], [1, 2, 5, 1000, 3, 3000, 1], [4] * 50):
+        potentials, moves = r.normal(0, 4, sum(sizes)), r.normal(0, 1.5, (2, 2))
+        ends = np.cumsum(sizes)
+        first = np.zeros(len(potentials), bool)
+        first[ends - sizes] = True
+        p, pairs = linecrf.marginals(potentials, moves, first)
+        chain = linecrf.Chain([], moves.tolist())
+        for e, n in zip(ends, sizes, strict=True):
+            assert chain.marginals(potentials[e - n : e].tolist()) == pytest.approx(p[e - n : e], abs=1e-9)
+            # The pairs' sums are the marginals of either line.
+            assert pairs[e - n : e - 1, :, 1].sum(axis=1) == pytest.approx(p[e - n + 1 : e], abs=1e-9)
+            assert pairs[e - n : e - 1, 1].sum(axis=1) == pytest.approx(p[e - n : e - 1], abs=1e-9)
+
+
+def test_whole_query_against_enumeration(spark):
+    """Scores of short texts by all paths of states, from the lines' features to the calibrated number."""
+    r = random.Random(9)
+    chain = linecrf.Chain([r.uniform(-2, 2) for _ in linecrf.FEATURES], [[r.uniform(-1, 1) for _ in range(2)] for _ in range(2)], 0.7, 0.4)
+    lines = ["A sound line that ends well.", "BUY!! NOW!! BUY!! NOW!! BUY!!", "x", "1234 5678 90", "%%% ||| ###", "", " \t"]
+    rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randrange(8)))) for i in range(60)] + [(None, None), (7, "again")]
+    got = {(x["doc_id"], x["score"], x["predicted"]) for x in linecrf.quality(docs_frame(spark, rows), chain).collect()}
+    for i, t in rows:
+        features, sizes = linecrf.line_features(t or "")
+        total = share = 0.0
+        for path in itertools.product((0, 1), repeat=len(features)):
+            z = sum(chain.weights[k] for f, s in zip(features, path, strict=True) if s for k in f) + sum(chain.moves[a][b] for a, b in itertools.pairwise(path))
+            total += math.exp(z)
+            share += math.exp(z) * sum(n for n, s in zip(sizes, path, strict=True) if s) / (sum(sizes) or 1)
+        good = min(max(share / total, 1e-6), 1 - 1e-6) if features else 0.5
+        score = 1 / (1 + math.exp(-(0.4 + 0.7 * math.log(good / (1 - good)))))
+        assert any(d == i and s == pytest.approx(score, abs=1e-6) and p == int(s >= 0.3) for d, s, p in got)
+
+
+def test_long_texts_are_learned_from_whole(spark):
+    """Two kinds of texts that only differ after hundreds of lines."""
+    rows = [(i, "\n".join([f"line {k} of the text goes on like this." for k in range(400)] + (["%%% ### $$$ %%%"] * 900 if i % 2 else ["A sound line that ends well."] * 900))) for i in range(30)]
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    docs = docs_frame(spark, rows)
+    chain = linecrf.fit(docs, labels)
+    assert all(x["predicted"] == 1 - x["doc_id"] % 2 for x in linecrf.quality(docs, chain).collect())
+
+
 def test_training_learns_neighbours():
     """Lines that say nothing take their neighbours' side."""
     r = random.Random(1)
