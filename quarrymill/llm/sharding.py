@@ -1,9 +1,13 @@
 """Minimax contiguous partition: the smallest shard capacity at which a greedy cut needs no more shards than allowed.
 
-Equal texts form an atomic group; groups are ordered by their smallest id. Group sizes stay
-distributed. The driver sees one line for each run of ``run`` groups (its sum, largest
-group and length), decides most probes from those alone and fetches single runs, a bounded
+Equal texts form an atomic group; groups are ordered by their smallest id, then by their text's
+hash. Group sizes stay distributed. The driver sees one line for each run of ``run`` groups (its
+sum and largest group), decides most probes from those alone and fetches single runs, a bounded
 number of rows each, only where a cut falls inside one and the probe hangs on it.
+
+No shard exceeds the smallest capacity. A greedy cut at it would leave the last shards small or
+empty where one group is large, so each cut goes to the border nearest an equal share of what is
+left, as far as the shards after it still fit.
 """
 
 from __future__ import annotations
@@ -13,21 +17,23 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, numbered, partitions, whole
+from .shared import cut, numbered, partitions, remove, shared_folder, whole
 
 RUN = 1 << 16
 
 
 class Runs:
-    """Ordered group sizes as runs on the cluster; ``cut_after(x)`` finds the last group whose running sum is at most x."""
+    """Ordered group sizes as runs on the cluster, written in order, so that files and row groups without a run are passed over when it is read."""
 
     def __init__(self, groups: DataFrame, run: int) -> None:
+        self.spark, self.folder = groups.sparkSession, shared_folder(groups.sparkSession)
+        order = [F.col("first_id").asc_nulls_first(), F.col("_group").asc()]
+        dealt = groups.select("first_id", "_group", "bytes").repartitionByRange(partitions(self.spark), *order).sortWithinPartitions(*order)
         at = F.monotonically_increasing_id()
-        spark = groups.sparkSession
-        dealt = groups.select("first_id", "bytes").repartitionByRange(partitions(spark), F.col("first_id").asc_nulls_first()).sortWithinPartitions(F.col("first_id").asc_nulls_first())
-        marked = cut(dealt.withColumn("_at", at))
-        part, own = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-        self.rows = marked.select("first_id", "bytes", "_at", part.alias("part"), F.floor(own / run).alias("run"))
+        own = F.col("_at").bitwiseAND((1 << 33) - 1)
+        marked = dealt.withColumn("_at", at).select("*", F.shiftright("_at", 33).cast("int").alias("part"), F.floor(own / run).alias("run"))
+        marked.write.parquet(self.folder)
+        self.rows = self.spark.read.schema(marked.schema).parquet(self.folder)
         self.runs = sorted(tuple(r) for r in self.rows.groupBy("part", "run").agg(F.sum("bytes"), F.max("bytes")).collect())
         self.sums = [0]
         for r in self.runs:
@@ -36,19 +42,23 @@ class Runs:
         self.kept: dict[int, tuple[list[int], list]] = {}
 
     def inside(self, i: int) -> tuple[list[int], list]:
-        """Running sums and first ids of run i."""
+        """Running sums and names (first id, hash) of the groups in run i."""
         if i not in self.kept:
             if len(self.kept) >= 64:
                 self.kept.clear()
             part, run = self.runs[i][:2]
-            rows = self.rows.filter((F.col("part") == part) & (F.col("run") == run)).orderBy("_at").select("first_id", "bytes").collect()
+            rows = self.rows.filter((F.col("part") == part) & (F.col("run") == run)).select("_at", "bytes", "first_id", "_group").collect()
             at, sums = self.sums[i], []
+            rows.sort(key=lambda r: r["_at"])
             for r in rows:
                 at += r["bytes"]
                 sums.append(at)
-            self.kept[i] = sums, [r["first_id"] for r in rows]
+            self.kept[i] = sums, [(r["first_id"], bytes(r["_group"])) for r in rows]
         return self.kept[i]
 
+    def done(self) -> None:
+        remove(self.spark, self.folder)
+
     def bounds(self, x: int) -> tuple[int, int]:
         """The running sum at the last group within x, or bounds of it while its run isn't fetched."""
         i = bisect_right(self.sums, x) - 1
@@ -81,16 +91,65 @@ class Runs:
             at = self.exact(at + capacity)
         return at >= self.total
 
-    def cuts(self, capacity: int, shards: int) -> list:
-        """The first id of each shard but the first."""
-        at, out = 0, []
+    def above(self, x: int) -> int:
+        """The least border that is ``x`` or more."""
+        low = self.exact(x)
+        if low >= x or low >= self.total:
+            return low
+        i = bisect_right(self.sums, low) - 1
+        sums = self.inside(i)[0]
+        return sums[bisect_right(sums, low)]
+
+    def cuts(self, capacity: int, shards: int) -> list[int]:
+        """The running sums at which each shard but the first begins."""
+        # From here on the shards that are left can hold the rest.
+        least = [self.total]
         for _ in range(shards - 1):
-            at = self.exact(at + capacity)
-            if at >= self.total:
-                break
-            i = bisect_right(self.sums, at) - 1
-            sums, firsts = self.inside(i)
-            out.append(firsts[bisect_right(sums, at)])
+            least.append(self.above(max(0, least[-1] - capacity)))
+        large = self.oversized(shards)
+        at, out = 0, []
+        for left in range(shards - 1, 0, -1):
+            low, high = max(self.above(at + 1), least[left]), self.exact(at + capacity)
+            ahead = [g for g in large if g[1] > at]
+            if ahead and ahead[0][0] <= at:
+                near = ahead[0][1]
+            else:
+                # The stretch up to the next large group is cut into so many shards as come nearest the share.
+                rest, parts = self.total - at - sum(e - b for b, e in ahead), max(1, left + 1 - len(ahead))
+                stretch = (ahead[0][0] if ahead else self.total) - at
+                n = max(1, (2 * stretch * parts + rest) // (2 * rest)) if ahead else left + 1
+                target = at + stretch // n
+                below, above = self.exact(target), self.above(target)
+                near = below if target - below <= above - target else above
+            at = min(max(near, low), high)
+            out.append(at)
+        return out
+
+    def oversized(self, shards: int) -> list[tuple[int, int]]:
+        """Begin and end of the groups, fewer than ``shards``, that are larger than an equal share of the others."""
+        found: list[tuple[int, int]] = []
+        while True:
+            share = (self.total - sum(e - b for b, e in found)) / max(1, shards - len(found))
+            now = []
+            for i, r in enumerate(self.runs):
+                if r[3] > share:
+                    begin = self.sums[i]
+                    for end in self.inside(i)[0]:
+                        if end - begin > share:
+                            now.append((begin, end))
+                        begin = end
+            if len(now) <= len(found) or len(now) >= shards:
+                return now if len(now) < shards else found
+            found = now
+
+    def names(self, cuts: list[int]) -> list[tuple]:
+        """The first group of each shard that begins before the end."""
+        out = []
+        for at in cuts:
+            if at < self.total:
+                i = bisect_right(self.sums, at) - 1
+                sums, names = self.inside(i)
+                out.append(names[bisect_right(sums, at)])
         return out
 
 
@@ -112,18 +171,21 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard), a row for each row of ``docs``.
 
     Size is the text's UTF-8 bytes (null: none) plus 1; null and empty texts are one group.
-    Groups are ordered by smallest id; those whose ids are all null aren't told apart and
-    stay together in the first shard, whatever its capacity. An empty table gives an empty result. Repeated rows each get a slot.
+    Groups are ordered by smallest id, those without one first, and then by hash. A group larger than an equal share has a shard of its own size.
+    An empty table gives an empty result, shards beyond the number of groups are empty. Repeated rows each get a slot.
     """
     text = F.encode(whole(text_col), "UTF-8")
     narrow = cut(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("_group")))
     groups = cut(narrow.groupBy("_group").agg(F.min("doc_id").alias("first_id"), F.sum("size").alias("bytes")))
     runs = Runs(groups, run)
-    starts = runs.cuts(minimax_capacity(runs, shards), shards)
+    starts = runs.names(runs.cuts(minimax_capacity(runs, shards), shards))
+    runs.done()
     number = F.lit(0)
-    for first in starts:
-        number = number + F.coalesce((F.col("first_id") >= F.lit(first)).cast("int"), F.lit(0))
-    placed = narrow.join(groups.select("_group", "first_id"), "_group").select("doc_id", "size", "text_crc32", number.alias("shard"))
+    for first, group in starts:
+        later = F.col("_group") >= F.lit(group)
+        later = F.col("first_id").isNotNull() | later if first is None else F.coalesce((F.col("first_id") > F.lit(first)) | (F.col("first_id") == F.lit(first)) & later, F.lit(False))
+        number = number + later.cast("int")
+    placed = narrow.join(groups.select("_group", number.alias("shard")), "_group").select("doc_id", "size", "text_crc32", "shard")
     return numbered(placed, ["shard", "doc_id"], "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,9 +37,15 @@ def remove(spark: SparkSession, folder: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the files."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared checkpoint folder and go on from the files.
+
+    A checkpoint keeps the size that was estimated for the plan it cuts. Joined round after round these estimates
+    multiply to numbers of millions of digits, so the rows are taken without them.
+    """
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    written = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +57,20 @@ def whole(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+#: Rows of a few numbers each that may be broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def few_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, which has rows of a few numbers each, marked for broadcasting if it has no more than ``most``; else it is joined by shuffling."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
 def whole_strings(texts: pa.Array) -> pa.Array:
     """The column as plain strings without nulls."""
     return texts.cast(pa.string()).fill_null("")
@@ -102,8 +122,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """Connected components: a row (node, component) for each node that reaches a smaller one.
 
     ``component`` is the smallest node reachable; a node that isn't named is its own. Alternates large-star and small-star
-    rounds until the edges are stars around the smallest nodes; every round is a grouped
-    minimum and a join, whose hot keys Spark can split. Null ends and loops are ignored.
+    rounds until the edges are stars around the smallest nodes; every round is two grouped
+    minima, each written out, and joins with them. So both sides of a join are plain shuffles of
+    rows, and the rows of a node with very many edges are split among tasks by Spark's handling
+    of skew (``spark.sql.adaptive``); the minima combine before they are shuffled. Null ends and loops are ignored.
     """
     e = (
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (F.col(a).isNull() | F.col(b).isNull()).alias("_n"))
@@ -122,9 +144,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         other = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(low.select("u", F.col("m").alias("v")).unionByName(other).distinct())
         now = mark(e)
