@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import whole
+from .shared import bound, whole
 
 # The patterns that the contract names.
 KEYWORD = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
@@ -42,14 +42,17 @@ def ceiling(bits: float, window: int = WINDOW) -> int:
     return math.floor(window * (math.log2(window) - bits) * 1_000_000)
 
 
+#: Pieces that are walked together; their matches are gathered by appending, so the work grows by this and not by a text's matches.
+TOGETHER = 256
+
+
 def found(text: Column, pattern: str, group: int | None = None) -> Column:
     """Matches, leftmost and not overlapping: (start, end, group's length, text), in code points.
 
     Matches are fenced by a control character that was taken out of the text before, so
-    the pieces' lengths give the places. ``aggregate`` walks the pieces once.
+    the pieces' lengths give the places: within blocks of pieces first, then from block to block.
     """
     fenced = F.regexp_replace(text, pattern, f"{MARK}$0{INNER}{f'${group}' if group else ''}{MARK}")
-    pieces = F.split(fenced, MARK)
     none = F.array().cast("array<struct<start:int,end:int,inner:int,text:string>>")
 
     def step(state: Column, piece: Column) -> Column:
@@ -60,32 +63,68 @@ def found(text: Column, pattern: str, group: int | None = None) -> Column:
             .otherwise(F.struct((state["at"] + F.length(piece)).alias("at"), state["out"].alias("out")))
         )
 
-    walked = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
-    return F.when(F.instr(fenced, MARK) == 0, none).otherwise(walked)
+    def walked(pieces: Column) -> Column:
+        return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def in_blocks(pieces: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.size(pieces), F.lit(TOGETHER)), lambda i: walked(F.slice(pieces, i, TOGETHER)))
+        return bound(blocks, lambda bs: F.flatten(F.zip_with(bs, places(F.transform(bs, lambda b: b["at"])), moved)))
+
+    def places(sizes: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(sizes, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+
+    def moved(block: Column, by: Column) -> Column:
+        return F.transform(block["out"], lambda m: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), m["inner"].alias("inner"), m["text"].alias("text")))
+
+    split = lambda f: bound(F.split(f, MARK), lambda ps: F.when(F.size(ps) <= TOGETHER, walked(ps)["out"]).otherwise(in_blocks(ps)))
+    return bound(fenced, lambda f: F.when(F.instr(f, MARK) == 0, none).otherwise(split(f)))
+
+
+#: Counts of a window are kept five bits each, twelve to a number, by the character's code.
+BITS, EACH = 5, 12
+LOWEST, HIGHEST = ord("+"), ord("z")
+NUMBERS = (HIGHEST - LOWEST) // EACH + 1
 
 
 def windows_passing(run: Column, window: int = WINDOW, classes: list[tuple[str, str, float]] = CLASSES) -> Column:
-    """(first, last) start of a window of ``run`` that reaches its class's entropy; first is null if none does."""
-    terms = F.array(*[F.lit(term(n)) for n in range(window + 1)])
+    """(first, last) start of a window of ``run`` that reaches its class's entropy; first is null if none does.
+
+    One pass over the run's characters, from ``LOWEST`` to ``HIGHEST``. The state holds each character's count in the window:
+    the one that enters and the one that leaves change by one, and the sum of terms by as much. Windows have at most 31 characters.
+    """
+    if window >= 1 << BITS:
+        raise ValueError("counts of such windows don't fit")
+    steps = F.array(*[F.lit(term(n + 1) - term(n)) for n in range(window)])
     most = F.coalesce(*[F.when(run.rlike(pattern), F.lit(ceiling(bits, window))) for _, pattern, bits in classes], F.lit(-1))
-    at = lambda n: F.element_at(terms, n + 1)
-    count = lambda part, char: F.length(part) - F.length(F.replace(part, char, F.lit("")))
-    first = F.substring(run, 1, window)
-    begin = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0).cast("int"), lambda s, c: s + F.when(c == "", 0).otherwise(at(count(first, c))))
-
-    def seen(state: Column, total: Column, i: Column) -> Column:
-        ok = total <= most
-        return F.struct(total.alias("sum"), F.coalesce(state["first"], F.when(ok, i)).alias("first"), F.when(ok, i).otherwise(state["last"]).alias("last"))
-
-    def slide(state: Column, i: Column) -> Column:
-        """From the window at i - 1 to the one at i."""
-        between = F.substring(run, i + 1, F.lit(window - 1))
-        leaves, enters = count(between, F.substring(run, i, F.lit(1))), count(between, F.substring(run, i + window, F.lit(1)))
-        return seen(state, (state["sum"] - at(leaves + 1) + at(leaves) + at(enters + 1) - at(enters)).cast("int"), i)
-
-    start = F.struct(F.lit(0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-    steps = F.when(F.length(run) > window, F.sequence(F.lit(1), F.length(run) - window)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, seen(start, begin, F.lit(0)), slide)
+    grown = lambda n: F.element_at(steps, (n + 1).cast("int"))
+    place = lambda code: F.call_function("div", code, F.lit(EACH)).cast("int")
+    shift = lambda code: ((code % EACH) * BITS).cast("int")
+    count = lambda counts, code: F.call_function("shiftright", F.element_at(counts, place(code) + 1), shift(code)).bitwiseAND((1 << BITS) - 1)
+    one = lambda k, code: F.when(k == place(code), F.call_function("shiftleft", F.lit(1).cast("long"), shift(code))).otherwise(F.lit(0).cast("long"))
+
+    def walk(codes: Column) -> Column:
+        def slide(state: Column, code: Column) -> Column:
+            leaves = F.when(state["at"] >= window, F.element_at(codes, F.greatest(state["at"] - window, F.lit(0)) + 1)).otherwise(-1)
+            less = F.when(leaves < 0, state["sum"]).otherwise(state["sum"] - grown(F.greatest(count(state["counts"], F.greatest(leaves, F.lit(0))) - 1, F.lit(0))))
+            inside = count(state["counts"], code) - F.when(leaves == code, 1).otherwise(0)
+            counts = F.transform(state["counts"], lambda n, k: n + one(k, code) - F.when(leaves < 0, F.lit(0).cast("long")).otherwise(one(k, leaves)))
+            total = (less + grown(inside)).cast("int")
+            return F.struct((state["at"] + 1).alias("at"), counts.alias("counts"), total.alias("sum"), state["first"].alias("first"), state["last"].alias("last"), state["most"].alias("most"))
+
+        def seen(state: Column) -> Column:
+            begins = state["at"] - window
+            ok = (begins >= 0) & (state["sum"] <= state["most"])
+            return F.struct(
+                state["at"].alias("at"), state["counts"].alias("counts"), state["sum"].alias("sum"),
+                F.coalesce(state["first"], F.when(ok, begins)).alias("first"), F.when(ok, begins).otherwise(state["last"]).alias("last"), state["most"].alias("most"),
+            )
+
+        nowhere = F.lit(None).cast("int")
+        start = F.struct(F.lit(0).alias("at"), F.array_repeat(F.lit(0).cast("long"), NUMBERS).alias("counts"), F.lit(0).alias("sum"), nowhere.alias("first"), nowhere.alias("last"), most.alias("most"))
+        return F.aggregate(codes, start, lambda s, c: bound(slide(s, c), seen))
+
+    return bound(F.transform(F.filter(F.split(run, ""), lambda c: c != ""), lambda c: F.ascii(c) - LOWEST), walk)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: list[str] = ALLOWED, window: int = WINDOW, classes: list[tuple[str, str, float]] = CLASSES, keep: list[str] = ()) -> DataFrame:
