@@ -1,11 +1,19 @@
 """Benchmark decontamination by templates: numbers, units and names become typed placeholders.
 
-Words are read one for one, so a template and its slot values stay aligned. Windows of
-template words are hash-joined with those of the benchmark; windows that are mostly
-placeholders take no part. The matches of one text on one diagonal (place in the text less
-place in the item) are an occurrence. It counts if the slots agree: each value of the item
-stands for one value in the text throughout. So a question asked again with other numbers
-is found, and a chance mixture isn't. All on DataFrame functions.
+Windows of template words are hash-joined with those of the benchmark; windows that are mostly
+placeholders take no part. The matches of one text near one diagonal (place in the text less
+place in the item) are an occurrence. It counts if the slots agree: each value of the item stands
+for one value in the text throughout. So a question asked again with other numbers is found, and a
+chance mixture isn't. A second way takes every word as it is, in lower case, for texts whose case
+tells nothing. All on DataFrame functions.
+
+What becomes a placeholder: words that begin with a digit, with or without a currency sign, and
+number words; units after a number; capitalised words. Digit groups are one number ("1,200") and
+runs of numbers or of names one placeholder, so a slot's values may differ in their count of words.
+A capitalised word that opens a sentence may be a name or not: it is a placeholder whose value
+is bound to nothing. Words in capitals are words.
+
+Only texts that hold some of the words, up to three together, that every match must hold are read so closely.
 """
 
 from __future__ import annotations
@@ -15,116 +23,173 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, whole
+from .shared import cut, few_broadcast, whole
 
 WINDOW, LITERALS, COVERAGE = 8, 5, 0.5
+#: Words put in or left out within an item, all in all to either side, that its occurrence may have.
+SPREAD = 3
 #: Windows of the benchmark that may be broadcast, 40 bytes each or so; more are joined by shuffling.
 BROADCAST_WINDOWS = 500_000
+#: Words and runs of words that texts are looked over for; beyond so many every text is read closely.
+ANCHORS = 100_000
 UNITS = ["%", "cm", "days", "dollars", "euros", "feet", "ft", "g", "h", "hours", "inches", "kg", "km", "l", "lb", "m", "meters", "metres", "miles", "min", "minutes", "ml", "mm", "months", "percent", "pounds", "s", "seconds", "weeks", "years", "€", "$"]
-NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
+NUMBER_WORDS = ["two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "dozen"]
+NUMBER, UNIT, NAME, OPEN = "<number>", "<unit>", "<name>", "<open>"
+WAYS = ["template", "literal"]
+
+
+def bare(word: Column) -> Column:
+    return F.lower(F.rtrim(word, F.lit(".!?")))
 
 
 def words_of(text: Column) -> Column:
-    """Words as they stand, with the mark that ends a sentence."""
+    """Words as they stand, with the mark that ends a sentence; a comma between a digit and three digits is left out."""
+    for _ in range(2):
+        text = F.regexp_replace(text, "([0-9]),([0-9]{3})", "$1$2")
     return F.filter(F.split(text, r"[^\p{L}\p{N}.!?%€$]+"), lambda w: F.length(F.rtrim(w, F.lit(".!?"))) > 0)
 
 
-def slots_of(words: Column) -> Column:
-    """For each word (literal, kind, value): a literal in lower case, or the kind of placeholder and what it stood for."""
-    last = lambda i: F.try_element_at(words, i)
-    bare = lambda w: F.rtrim(w, F.lit(".!?"))
-    digit = lambda w: (w >= "0") & (w < ":")
+def kinds_of(words: Column, low: Column) -> Column:
+    """For each word the kind of placeholder, or null; ``low`` has the words in lower case without marks."""
+    # The cheap tests come first, as nearly every word passes them.
+    first = lambda w: F.substring(w, 1, 1)
+    digit = lambda w: (w >= "0") & (w < ":") | ((w >= "€") & (w < "₭") | (w >= "$") & (w < "%")) & w.rlike("^[€$][0-9]")
+    numeric = lambda w, l: digit(w) | l.isin(NUMBER_WORDS)
 
     def one(w: Column, i: Column) -> Column:
-        before = F.when(i > 0, last(i))
-        low = F.lower(bare(w))
-        first = F.substring(w, 1, 1)
-        named = (first != F.lower(first)) & before.isNotNull() & (F.rtrim(before, F.lit(".!?")) == before)
-        return F.when(digit(w), NUMBER).when(digit(F.coalesce(before, F.lit(""))) & low.isin(UNITS), UNIT).when(named, NAME).otherwise(low)
+        before, mine = F.when(i > 0, F.try_element_at(words, i)), F.try_element_at(low, i + 1)
+        named = (first(w) != F.lower(first(w))) & w.rlike(r"^\p{Lu}") & (w.rlike(r"\p{Ll}") | (F.length(mine) == 1))
+        opens = before.isNull() | before.rlike("[.!?]$")
+        follows = mine.isin(UNITS) & F.coalesce(numeric(before, F.when(i > 0, F.try_element_at(low, i))), F.lit(False))
+        return F.when(numeric(w, mine), NUMBER).when((i > 0) & follows, UNIT).when(named, F.when((i == 0) | opens, OPEN).otherwise(NAME))
 
     return F.transform(words, one)
 
 
-def runs_joined(words: Column, kinds: Column) -> Column:
-    """(word, kind) with each run of number words or of name words as one, its words joined."""
-    told = F.array_join(F.zip_with(words, kinds, lambda w, t: F.concat(t, F.lit("\u0002"), w)), "\u0003")
-    for kind in (NUMBER, NAME):
-        told = F.regexp_replace(told, f"(?<=(?:^|\u0003){kind}\u0002[^\u0003]{{1,80}})\u0003{kind}\u0002", " ")
-    return F.transform(F.filter(F.split(told, "\u0003"), lambda x: x != ""), lambda x: F.struct(F.substring_index(x, "\u0002", -1).alias("word"), F.substring_index(x, "\u0002", 1).alias("kind")))
+def read(texts: DataFrame, key: str, way: str) -> DataFrame:
+    """(key, t, v): the template words of each text and, for placeholders, kind and value."""
+    split = texts.select(key, words_of(F.col("_text")).alias("_w")).filter(F.size("_w") > 0)
+    split = split.select(key, "_w", F.transform("_w", bare).alias("_l"))
+    if way == "literal":
+        return split.select(key, F.col("_l").alias("t"), F.array_repeat(F.lit(None).cast("string"), F.size("_l")).alias("v"))
+    split = split.select(key, "_l", kinds_of(F.col("_w"), F.col("_l")).alias("_k"))
+
+    def goes_on(kind: Column, i: Column) -> Column:
+        """Whether the word at i belongs to the placeholder before it."""
+        before = F.when(i > 0, F.try_element_at(F.col("_k"), i))
+        return kind.isNotNull() & F.coalesce((kind == NUMBER) & (before == NUMBER) | (kind == NAME) & before.isin(NAME, OPEN), F.lit(False))
+
+    both = F.arrays_zip(F.col("_l").alias("l"), F.col("_k").alias("k"))
+    split = split.select(key, F.filter(both, lambda x, i: ~goes_on(x["k"], i)).alias("_x"))
+    return split.select(key, F.transform("_x", lambda x: F.when(x["k"].isNull(), x["l"]).when(x["k"] == OPEN, NAME).otherwise(x["k"])).alias("t"), F.transform("_x", lambda x: F.concat(x["k"], x["l"])).alias("v"))
 
 
-def windows(texts: DataFrame, key: str, window: int, literal: bool = False, merged: bool = False) -> DataFrame:
-    """(key, at, n, hash, slots): each window of template words; a shorter text is one window of its own. ``slots`` joins the values.
+def windows(texts: DataFrame, key: str, way: str, sizes: list[int] | None = None) -> DataFrame:
+    """(key, size, at, hash, slots): each window of template words of each of the ``sizes``; ``slots`` joins the values.
 
-    If ``literal``, words stand for themselves in lower case, whatever their kind. If ``merged``, digit groups
-    are one number and runs of numbers or names one placeholder, so slots may differ in their count of words.
+    Without ``sizes``, for benchmark items: each has windows of WINDOW words, or one of all its words; ``words`` has them.
     """
-    bare = lambda w: F.lower(F.rtrim(w, F.lit(".!?")))
-    text = F.regexp_replace("_text", r"(?<=[0-9])[,'\u202f\u00a0 ](?=[0-9]{3}(?![0-9]))", "") if merged else F.col("_text")
-    read = texts.select(key, words_of(text).alias("w")).filter(F.size("w") > 0)
-    read = read.select(key, "w", F.transform("w", bare).alias("t") if literal else slots_of(F.col("w")).alias("t"))
-    if merged:
-        read = read.select(key, runs_joined(F.col("w"), F.col("t")).alias("_r")).select(key, F.col("_r.word").alias("w"), F.col("_r.kind").alias("t"))
-    read = read.select(
-        key, F.size("w").alias("n"),
-        F.transform("t", lambda t: F.xxhash64(t)).alias("h"),
-        F.zip_with("w", "t", lambda w, t: F.when(t.isin(NUMBER, UNIT, NAME), F.concat(t, bare(w)))).alias("s"),
-    )
-    plain = F.forall("s", lambda s: s.isNull())
-    starts = F.sequence(F.lit(1), F.greatest(F.col("n") - window + 1, F.lit(1)))
-    each = F.transform(
-        starts,
-        lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("h", i, window)).alias("hash"), F.when(F.col("plain"), F.lit("")).otherwise(F.array_join(F.slice("s", i, window), "\u0001")).alias("slots")),
-    )
-    read = read.select(key, "n", "h", "s", plain.alias("plain"))
-    return read.select(key, "n", F.inline(each))
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE, literal: bool = False, merged: bool = False, spread: int = 0) -> DataFrame:
-    """(doc_id, item_id, n_windows, item_windows, exact): the items that a text holds.
-
-    Its best occurrence covers at least ``coverage`` of the item's windows with agreeing slots;
-    ``exact`` if every slot value is the item's own. Items shorter than a window are matched
-    whole, inside longer texts only where the text has just these words. Null and empty texts
-    and items match nothing; rows without an id are passed over; repeated rows count once.
-    If ``literal``, words are compared as they are in lower case: the case of a text, which tells
-    names, then doesn't matter. If ``merged``, see `windows`. Windows on up to ``spread`` diagonals
-    to either side of one are added up, too, as words put in or left out shift what follows.
+    made = read(texts, key, way).select(key, "t", "v", F.size("t").alias("n"), F.transform("t", lambda t: F.xxhash64(t)).alias("h"), F.forall("v", lambda v: v.isNull()).alias("plain"))
+
+    def each(size: Column) -> Column:
+        starts = F.when(F.col("n") >= size, F.sequence(F.lit(1), F.col("n") - size + 1)).otherwise(F.array().cast("array<int>"))
+        slots = lambda i: F.when(F.col("plain"), F.lit("")).otherwise(F.array_join(F.slice("v", i, size), "\u0001"))
+        return F.transform(starts, lambda i: F.struct(size.cast("int").alias("size"), i.alias("at"), F.xxhash64(F.slice("h", i, size)).alias("hash"), slots(i).alias("slots")))
+
+    if sizes is None:
+        found = made.select(key, "t", F.inline(each(F.least(F.lit(WINDOW), F.col("n")))))
+        return found.select(key, "size", "at", "hash", "slots", F.expr("slice(t, at, size)").alias("words"))
+    return made.select(key, F.inline(reduce(F.concat, [each(F.lit(s)) for s in sizes])))
+
+
+def filled(slots: str) -> Column:
+    return F.when(F.col(slots) == "", 0).otherwise(F.size(F.split(slots, "\u0001")))
+
+
+def items_windows(benchmark: DataFrame, way: str, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """The windows that are looked for. If placeholders leave an item none, all its windows are."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("_text")).filter("item_id is not null and _text is not null").distinct()
+    made = windows(items, "item_id", way).filter(F.col("size") - filled("slots") >= F.least(F.lit(LITERALS), F.col("size")))
+    return cut(made.select("item_id", F.col("at").alias("item_at"), "size", "hash", F.col("slots").alias("item_slots"), "words"))
+
+
+def anchors(theirs: DataFrame) -> dict[int, list[int]] | None:
+    """By length, hashes of one, two or three words that stand together in a window: for each the longest there is, and of these the one that fewest items hold.
+
+    None where a window has no word of letters alone, or for too many.
+    """
+    plain = lambda w: w.rlike(r"^\p{L}+$") & ~w.rlike("[σς]")
+    at = lambda i: F.try_element_at(F.col("words"), i)
+    good = lambda i: F.coalesce(plain(at(i)), F.lit(False))
+
+    def run(i: Column) -> Column:
+        two = F.when(good(i + 1), at(i + 1)).otherwise("")
+        return F.struct(at(i).alias("a"), two.alias("b"), F.when((two != "") & good(i + 2), at(i + 2)).otherwise("").alias("c"))
+
+    runs = F.transform(F.filter(F.sequence(F.lit(1), F.size("words")), good), run)
+    chosen = theirs.select("item_id", "item_at", runs.alias("p"))
+    if not chosen.filter(F.size("p") == 0).isEmpty():
+        return None
+    each = chosen.select("item_id", "item_at", F.inline("p")).withColumn("n", F.lit(1) + (F.col("b") != "").cast("int") + (F.col("c") != "").cast("int"))
+    held = each.groupBy("a", "b", "c").agg(F.count_distinct("item_id").alias("held"))
+    told = each.join(held, ["a", "b", "c"]).select("item_id", "item_at", F.struct((-F.col("n")).alias("n"), "held", (-F.length("a")).alias("l"), "a", "b", "c").alias("o"))
+    best = told.groupBy("item_id", "item_at").agg(F.min("o").alias("o")).select((-F.col("o.n")).alias("n"), F.col("o.a").alias("a"), F.col("o.b").alias("b"), F.col("o.c").alias("c"))
+    hashed = F.when(F.col("n") == 1, F.xxhash64("a")).when(F.col("n") == 2, F.xxhash64("a", "b")).otherwise(F.xxhash64("a", "b", "c"))
+    found = best.select("n", hashed.alias("h")).distinct().limit(ANCHORS + 1).collect()
+    return {n: sorted(r["h"] for r in found if r["n"] == n) for n in (1, 2, 3)} if len(found) <= ANCHORS else None
+
+
+def anchored(texts: DataFrame, key: str, found: dict[int, list[int]]) -> DataFrame:
+    """The keys of the texts that hold an anchor; their words are runs of letters in lower case.
+
+    Each place of a text is a row with the words that follow, so that all of it is compiled; nothing but the keys found is shuffled.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("_text")).filter("item_id is not null and _text is not null").distinct()
-    theirs = windows(items, "item_id", window, literal, merged).select("item_id", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), F.col("n").alias("item_n"))
-    filled = F.when(F.col("item_slots") == "", 0).otherwise(F.size(F.split("item_slots", "\u0001")))
-    theirs = cut(theirs.filter(F.least(F.lit(window), F.col("item_n")) - filled >= F.least(F.lit(literals), F.col("item_n"))).drop("item_n"))
+    words = texts.select(key, F.split(F.lower("_text"), r"[^\p{L}]+").alias("_1"))
+    onward = lambda c: F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0)))
+    words = words.select(key, "_1", onward(F.col("_1")).alias("_2"))
+    words = words.select(key, "_1", "_2", onward(F.col("_2")).alias("_3"))
+    places = words.select(key, F.inline(F.arrays_zip("_1", "_2", "_3")))
+    held = F.lit(False)
+    for n, hashes in found.items():
+        if hashes:
+            held = held | F.xxhash64(*[f"_{k + 1}" for k in range(n)]).isin(hashes)
+    return places.filter(held).select(key).distinct()
+
+
+def occurrences(texts: DataFrame, theirs: DataFrame, way: str, spread: int = SPREAD, coverage: float = COVERAGE) -> DataFrame:
+    """(doc_id, item_id, n_windows): the items whose best occurrence has at least ``coverage`` of their windows with agreeing slots.
+
+    An occurrence is the windows met on one diagonal, or on up to ``spread`` diagonals to either side of one, as words put in or left out shift what follows.
+    """
+    sizes = sorted(r[0] for r in theirs.select("size").distinct().collect())
     totals = theirs.groupBy("item_id").agg(F.count("*").alias("item_windows"))
     few = theirs.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    mine = windows(docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("_text")).filter("doc_id is not null"), "doc_id", window, literal, merged).drop("n")
-    met = mine.join(F.broadcast(theirs) if few else theirs, "hash").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "slots", "item_slots").distinct()
-    near = F.lit(False).alias("wide")
-    if spread:
-        wide = F.explode(F.sequence(F.col("diagonal") - spread, F.col("diagonal") + spread)).alias("diagonal")
-        met = met.select("*", near).unionByName(met.select("doc_id", "item_id", wide, "item_at", "slots", "item_slots", F.lit(True).alias("wide")))
-    else:
-        met = met.select("*", near)
+    sought = theirs.drop("words")
+    mine = windows(texts, "doc_id", way, sizes or [WINDOW])
+    met = mine.join(F.broadcast(sought) if few else sought, ["size", "hash"]).select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "slots", "item_slots").distinct()
+    offsets = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(wide).alias("wide")) for o, wide in [(0, False), *[(o, True) for o in range(-spread, spread + 1)]]])
+    met = met.select("doc_id", "item_id", "diagonal", "item_at", "slots", "item_slots", F.inline(offsets)).withColumn("diagonal", F.col("diagonal") + F.col("o"))
+    none = F.array().cast("array<struct<theirs:string,mine:string>>")
     pairs = F.arrays_zip(F.split("item_slots", "\u0001").alias("theirs"), F.split("slots", "\u0001").alias("mine"))
-    occurrence = met.groupBy("doc_id", "item_id", "diagonal", "wide").agg(F.countDistinct("item_at").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(F.when(F.col("item_slots") == "", F.array().cast("array<struct<theirs:string,mine:string>>")).otherwise(pairs)))).alias("values"))
-    values = F.col("values")
-    agree = F.size(F.array_distinct(F.transform(values, lambda v: v["theirs"]))) == F.size(values)
-    kept = occurrence.select("doc_id", "item_id", "n_windows", F.forall(values, lambda v: v["theirs"] == v["mine"]).alias("exact"), agree.alias("agree")).filter("agree")
-    best = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "exact")).alias("best"))
+    tied = F.filter(pairs, lambda p: ~p["theirs"].startswith(OPEN) & ~p["mine"].startswith(OPEN))
+    occurrence = met.groupBy("doc_id", "item_id", "diagonal", "wide").agg(F.count_distinct("item_at").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(F.when(F.col("item_slots") == "", none).otherwise(tied)))).alias("values"))
+    agree = F.size(F.array_distinct(F.transform("values", lambda v: v["theirs"]))) == F.size("values")
+    best = occurrence.filter(agree).groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"))
     joined = best.join(F.broadcast(totals) if few else totals, "item_id")
-    return joined.select("doc_id", "item_id", F.col("best.n_windows").alias("n_windows"), "item_windows", F.col("best.exact").alias("exact")).filter(F.col("n_windows") >= F.col("item_windows") * coverage)
-
+    return joined.filter(F.col("n_windows") >= F.col("item_windows") * coverage).select("doc_id", "item_id", "n_windows")
 
-#: Words put in or left out within an item, all in all to either side, that its occurrence in the pipeline may have.
-SPREAD = 3
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ways: list[str] = WAYS) -> DataFrame:
+    """(doc_id, item_id, template_windows, literal_windows): the items that a text holds, with the windows of the best occurrence by either way, 0 if that way doesn't find it.
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id) of all items that a text holds: as a template, with slots of other lengths or words put in or left out, or word for word in any case."""
-    ways = [{}, {"merged": True, "spread": SPREAD}, {"literal": True, "spread": SPREAD}]
-    found = [contaminated(docs, benchmark, **way) for way in ways]
-    # Items shorter than a window are met by windows of their own length, of which there are few.
-    size = F.size(words_of(whole("text")))
-    for (n,) in sorted(benchmark.select(size.alias("n")).filter(F.col("n").between(1, WINDOW - 1)).distinct().collect()):
-        found.append(contaminated(docs, benchmark.filter(size == n), window=n, literal=True))
-    return reduce(DataFrame.unionByName, [f.select("doc_id", "item_id") for f in found]).distinct()
+    Items shorter than a window are matched whole. Null and empty texts and items match nothing; rows without an id are passed over; repeated rows count once.
+    """
+    theirs = {way: items_windows(benchmark, way, item_col, item_text_col) for way in ways}
+    texts = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("_text")).filter("doc_id is not null")
+    found = [anchors(t) for t in theirs.values()]
+    if all(f is not None for f in found):
+        near = cut(anchored(texts, "doc_id", {n: sorted({h for f in found for h in f[n]}) for n in (1, 2, 3)}))
+        texts = cut(texts.join(few_broadcast(near), "doc_id", "left_semi"))
+    each = [occurrences(texts, t, way).select("doc_id", "item_id", F.lit(way).alias("way"), "n_windows") for way, t in theirs.items()]
+    said = reduce(DataFrame.unionByName, each).groupBy("doc_id", "item_id")
+    return said.agg(*[F.max(F.when(F.col("way") == way, F.col("n_windows")).otherwise(F.lit(0).cast("long"))).alias(f"{way}_windows") for way in WAYS])

@@ -1,13 +1,20 @@
-"""SQL for DuckDB that gives the same rows as the queries SQL can express, written apart from them.
+"""SQL for DuckDB that gives the same rows as the queries SQL can express, in another form than they have.
 
-The others are held against brute force, public libraries or held-out labels in tests/llm.
+What the contracts fix (rules of op 2, patterns of op 5) is written out here once more. What the methods chose for
+themselves (candidate classes, allow-list, units) is named from the operators, as both sides must mean the same.
+The other queries are held against brute force, public libraries or held-out labels in tests/llm.
 """
 
 from __future__ import annotations
 
 from . import decontaminate as d
 from . import secretscan as s
-from . import urlfilter as u
+
+# Fixed values of the contracts.
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]+"
 
 
 def text(value: str) -> str:
@@ -16,10 +23,10 @@ def text(value: str) -> str:
 
 def redirects() -> str:
     after = "CASE WHEN instr({0}, '://') > 0 THEN substr({0}, instr({0}, '://') + 3) ELSE '' END"
-    host = lambda x: f"translate(regexp_extract({after.format(x)}, '^[^/?#]*'), '{u.UPPER}', '{u.LOWER}')"
+    host = lambda x: f"translate(regexp_extract({after.format(x)}, '^[^/?#]*'), '{CAPITALS}', '{SMALL}')"
     path = lambda x: f"regexp_extract({after.format(x)}, '^[^/?#]*([^?#]*)', 1)"
     node = lambda x: f"CASE WHEN {host(x)} <> '' THEN {host(x)} || regexp_extract({after.format(x)}, '^[^/?#]*([^#]*)', 1) END"
-    rules = sorted(u.RULES, key=lambda r: -len(r[1]))
+    rules = sorted(RULES, key=lambda r: -len(r[1]))
 
     def decided(h: str, p: str, give: int) -> str:
         cases = []
@@ -52,7 +59,7 @@ def redirects() -> str:
 
 
 def secrets() -> str:
-    kinds = [(s.ASSIGN, r"\2"), (s.ACCESS, ""), (s.HEX, ""), (s.CANDIDATE, "")]
+    kinds = [(ASSIGN, r"\2"), (ACCESS, ""), (HEX, ""), (s.CANDIDATE, "")]
     each = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, string_split(regexp_replace(t, {text(p)}, chr(1) || '\\0' || chr(2) || '{g}' || chr(1), 'g'), chr(1)) AS pieces FROM docs" for k, (p, g) in enumerate(kinds))
     allowed = "|".join(f"(?:{a})" for a in s.ALLOWED)
     most = "CASE " + " ".join(f"WHEN regexp_matches(x, {text(p)}) THEN {s.ceiling(b)}" for _, p, b in s.CLASSES) + " ELSE -1 END"
@@ -62,7 +69,7 @@ def secrets() -> str:
     p AS (SELECT doc_id, k, unnest(pieces) AS piece, unnest(range(len(pieces))) AS i FROM ({each})),
     q AS (SELECT *, CASE WHEN contains(piece, chr(2)) THEN instr(piece, chr(2)) - 1 ELSE length(piece) END AS n FROM p),
     m AS (SELECT doc_id, k, CAST(sum(n) OVER (PARTITION BY doc_id, k ORDER BY i) - n AS BIGINT) AS a, n, length(piece) - n - 1 AS inner_n, substr(piece, 1, n) AS x, contains(piece, chr(2)) AS hit FROM q),
-    base AS (SELECT doc_id, k, a, a + n AS b FROM m WHERE hit AND (k = 0 AND inner_n >= 6 OR k IN (1, 2))),
+    base AS (SELECT doc_id, k, a, a + n AS b FROM m WHERE hit AND (k = 0 AND inner_n >= 6 OR k = 1 AND n >= 20 OR k = 2 AND n >= 24)),
     runs AS (SELECT doc_id, a, x, {most} AS most FROM m WHERE hit AND k = 3 AND NOT regexp_matches(x, {text(allowed)})),
     win AS (SELECT doc_id, a, most, w, string_split(substr(x, CAST(w + 1 AS INTEGER), {s.WINDOW}), '') AS c FROM (SELECT *, unnest(range(0, length(x) - {s.WINDOW} + 1)) AS w FROM runs)),
     good AS (SELECT doc_id, a, w FROM win WHERE list_sum(list_transform(list_distinct(c), lambda y: {terms}[len(list_filter(c, lambda z: z = y)) + 1])) <= most),
@@ -75,23 +82,43 @@ def secrets() -> str:
 
 
 def templates() -> str:
-    units = ", ".join(text(x) for x in d.UNITS)
-
-    def windows(table: str, key: str) -> str:
-        words = f"SELECT {key} AS key, unnest(w) AS word, unnest(range(len(w))) AS i, len(w) AS n FROM (SELECT {key}, list_filter(string_split_regex(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}.!?%€$]+'), lambda x: length(rtrim(x, '.!?')) > 0) AS w FROM (SELECT DISTINCT {key}, text FROM {table} WHERE {key} IS NOT NULL))"
-        before = f"SELECT *, lag(word) OVER (PARTITION BY key ORDER BY i) AS prior, lower(rtrim(word, '.!?')) AS low FROM ({words})"
-        number = "{0} >= '0' AND {0} < ':'"
-        kind = f"CASE WHEN {number.format('word')} THEN '{d.NUMBER}' WHEN prior IS NOT NULL AND {number.format('prior')} AND low IN ({units}) THEN '{d.UNIT}' WHEN word[1] <> lower(word[1]) AND prior IS NOT NULL AND rtrim(prior, '.!?') = prior THEN '{d.NAME}' ELSE low END"
-        kinds = f"SELECT key, n, list(t ORDER BY i) AS t, list(CASE WHEN t IN ('{d.NUMBER}', '{d.UNIT}', '{d.NAME}') THEN t || low END ORDER BY i) AS v FROM (SELECT *, {kind} AS t FROM ({before})) GROUP BY key, n"
-        return f"SELECT key, n, place, array_to_string(list_slice(t, place, place + {d.WINDOW - 1}), ' ') AS template, list_filter(list_slice(v, place, place + {d.WINDOW - 1}), lambda x: x IS NOT NULL) AS slots FROM (SELECT *, unnest(range(1, greatest(n - {d.WINDOW} + 1, 1) + 1)) AS place FROM ({kinds}))"
-
-    return f"""WITH theirs AS (SELECT * FROM ({windows('benchmark', 'item_id')}) WHERE least({d.WINDOW}, n) - len(slots) >= least({d.LITERALS}, n)), totals AS (SELECT key, count(*) AS item_windows FROM theirs GROUP BY key),
-    met AS (SELECT m.key AS doc_id, t.key AS item_id, m.place - t.place AS diagonal, t.place, t.slots AS theirs, m.slots AS mine FROM ({windows('documents', 'doc_id')}) m JOIN theirs t ON t.template = m.template),
-    pairs AS (SELECT DISTINCT doc_id, item_id, diagonal, unnest(theirs) AS a, unnest(mine) AS b FROM met),
-    odd AS (SELECT doc_id, item_id, diagonal, bool_and(a = b) AS exact, count(*) = count(DISTINCT a) AS agree FROM pairs GROUP BY ALL),
-    occ AS (SELECT m.doc_id, m.item_id, m.diagonal, count(DISTINCT m.place) AS n, coalesce(any_value(o.exact), TRUE) AS exact, coalesce(any_value(o.agree), TRUE) AS agree FROM met m LEFT JOIN odd o ON o.doc_id = m.doc_id AND o.item_id = m.item_id AND o.diagonal = m.diagonal GROUP BY ALL),
-    best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, exact DESC) AS r FROM occ WHERE agree)
-    SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_windows, CAST(item_windows AS BIGINT) AS item_windows, exact FROM best JOIN totals ON totals.key = item_id WHERE r = 1 AND n >= item_windows * {d.COVERAGE}"""
+    units, numbers = (", ".join(text(x) for x in xs) for xs in (d.UNITS, d.NUMBER_WORDS))
+    numeric = lambda w, low: f"coalesce(regexp_matches({w}, '^[€$]?[0-9]') OR {low} IN ({numbers}), FALSE)"
+    digits = "regexp_replace({0}, '([0-9]),([0-9]{{3}})', '\\1\\2', 'g')"
+
+    def words(table: str, key: str) -> str:
+        grouped = digits.format(digits.format("coalesce(text, '')"))
+        split = f"list_filter(string_split_regex({grouped}, '[^\\p{{L}}\\p{{N}}.!?%€$]+'), lambda x: length(rtrim(x, '.!?')) > 0)"
+        each = f"SELECT key, unnest(w) AS word, unnest(range(len(w))) AS i FROM (SELECT {key} AS key, {split} AS w FROM (SELECT DISTINCT {key}, text FROM {table} WHERE {key} IS NOT NULL))"
+        return f"SELECT *, lower(rtrim(word, '.!?')) AS low, lag(word) OVER (PARTITION BY key ORDER BY i) AS prior FROM ({each})"
+
+    def template(table: str, key: str) -> str:
+        named = "regexp_matches(word, '^\\p{Lu}') AND (regexp_matches(word, '\\p{Ll}') OR length(low) = 1)"
+        before = numeric("prior", "lower(rtrim(prior, '.!?'))")
+        kind = f"CASE WHEN {numeric('word', 'low')} THEN '{d.NUMBER}' WHEN {before} AND low IN ({units}) THEN '{d.UNIT}' WHEN {named} AND (prior IS NULL OR regexp_matches(prior, '[.!?]$')) THEN '{d.OPEN}' WHEN {named} THEN '{d.NAME}' END"
+        kinds = f"SELECT *, lag(kind) OVER (PARTITION BY key ORDER BY i) AS last FROM (SELECT *, {kind} AS kind FROM ({words(table, key)}))"
+        kept = f"SELECT key, row_number() OVER (PARTITION BY key ORDER BY i) AS place, CASE WHEN kind = '{d.OPEN}' THEN '{d.NAME}' ELSE coalesce(kind, low) END AS t, kind || low AS v FROM ({kinds}) WHERE NOT coalesce(kind = '{d.NUMBER}' AND last = '{d.NUMBER}' OR kind = '{d.NAME}' AND last IN ('{d.NAME}', '{d.OPEN}'), FALSE)"
+        return f"SELECT key, list(t ORDER BY place) AS t, list(v ORDER BY place) AS v FROM ({kept}) GROUP BY key"
+
+    def literal(table: str, key: str) -> str:
+        return f"SELECT key, list(low ORDER BY i) AS t, list(CAST(NULL AS VARCHAR) ORDER BY i) AS v FROM ({words(table, key)}) GROUP BY key"
+
+    def windows(read: str, sizes: str) -> str:
+        placed = f"SELECT *, unnest(range(1, len(t) - size + 2)) AS place FROM (SELECT r.*, s.size FROM ({read}) r JOIN ({sizes}) s ON s.size <= len(r.t))"
+        return f"SELECT key, size, place, array_to_string(list_slice(t, place, place + size - 1), ' ') AS template, list_filter(list_slice(v, place, place + size - 1), lambda x: x IS NOT NULL) AS slots FROM ({placed})"
+
+    def found(way: str, read) -> str:
+        own = f"SELECT key AS item_id, place, size, template, slots FROM ({windows(read('benchmark', 'item_id'), f'SELECT unnest(range(1, {d.WINDOW} + 1)) AS size')}) w JOIN (SELECT key AS k, least(len(t), {d.WINDOW}) AS own FROM ({read('benchmark', 'item_id')})) o ON o.k = w.key AND o.own = w.size WHERE size - len(slots) >= least({d.LITERALS}, size)"
+        return f"""{way}_theirs AS MATERIALIZED ({own}), {way}_totals AS (SELECT item_id, count(*) AS item_windows FROM {way}_theirs GROUP BY item_id),
+        {way}_met AS (SELECT m.key AS doc_id, t.item_id, m.place - t.place AS diagonal, t.place, t.slots AS theirs, m.slots AS mine FROM ({windows(read('documents', 'doc_id'), f'SELECT DISTINCT size FROM {way}_theirs')}) m JOIN {way}_theirs t ON t.template = m.template AND t.size = m.size),
+        {way}_near AS (SELECT doc_id, item_id, diagonal, FALSE AS wide, place, theirs, mine FROM {way}_met UNION ALL SELECT doc_id, item_id, diagonal + o, TRUE, place, theirs, mine FROM {way}_met, (SELECT unnest(range(-{d.SPREAD}, {d.SPREAD} + 1)) AS o)),
+        {way}_pairs AS (SELECT DISTINCT doc_id, item_id, diagonal, wide, a, b FROM (SELECT doc_id, item_id, diagonal, wide, unnest(theirs) AS a, unnest(mine) AS b FROM {way}_near) WHERE NOT starts_with(a, '{d.OPEN}') AND NOT starts_with(b, '{d.OPEN}')),
+        {way}_odd AS (SELECT doc_id, item_id, diagonal, wide FROM {way}_pairs GROUP BY ALL HAVING count(*) > count(DISTINCT a)),
+        {way}_best AS (SELECT doc_id, item_id, max(n) AS n FROM (SELECT doc_id, item_id, diagonal, wide, count(DISTINCT place) AS n FROM {way}_near GROUP BY ALL) c ANTI JOIN {way}_odd USING (doc_id, item_id, diagonal, wide) GROUP BY doc_id, item_id),
+        {way}_found AS (SELECT doc_id, item_id, n FROM {way}_best JOIN {way}_totals USING (item_id) WHERE n >= item_windows * {d.COVERAGE})"""
+
+    return f"""WITH {found('template', template)}, {found('literal', literal)}
+    SELECT doc_id, item_id, CAST(coalesce(t.n, 0) AS BIGINT) AS template_windows, CAST(coalesce(l.n, 0) AS BIGINT) AS literal_windows FROM template_found t FULL JOIN literal_found l USING (doc_id, item_id)"""
 
 
 ORACLES: dict[str, str] = {"op2_redirect_equivalence": redirects(), "op5_entropy_secrets": secrets(), "op6_template_decontamination": templates()}
