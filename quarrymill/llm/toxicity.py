@@ -1,10 +1,10 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-The lexicon is a transducer from words to classes: insult, threat, target, negation,
-reported speech. It is composed with a transducer that tracks negation and reported speech,
-and that with one for each clause pattern; paths add weights and the best path through a
-clause tells what it asserts. A document is scored by its matched clauses, never by words
-alone: an insult that is denied or quoted counts for what the training rows show.
+The lexicon is a transducer from words to classes: insult, threat, target, link (articles, copulas and
+other small words that tie an insult into a clause), negation, reported speech and mention. It is composed with a transducer that
+tracks negation and reported speech, and that with one of the clause patterns; paths add weights and the best path through a
+clause tells what it asserts: an insult at a target, an insult that is predicated by links beside it, a threat to a target. A document is scored
+by its matched clauses, never by words alone: an insult that stands bare counts nothing, one that is denied or quoted counts for what the training rows show.
 """
 
 from __future__ import annotations
@@ -26,18 +26,22 @@ from .linecrf import fold, labelled_sample
 from .shared import slices, whole
 
 SAMPLE = 8_000
-INSULT, THREAT, TARGET, NOT, SAID, OTHER = "insult", "threat", "target", "not", "said", "other"
+INSULT, THREAT, TARGET, NOT, SAID, LINK, OTHER = "insult", "threat", "target", "not", "said", "link", "other"
 LEXICON = {
     INSULT: "idiot idiots idiotic moron morons moronic stupid loser losers worthless pathetic disgusting scum trash clown clowns imbecile imbeciles dimwit halfwit dumbass jackass asshole assholes bastard bastards bitch bitches scumbag scumbags lowlife vermin parasite parasites degenerate degenerates cretin cretins filth filthy freak freaks retard retarded coward cowards idiotisch idiotin abschaum dummkopf arschloch trottel idiota idiotas imbécil estúpido estúpida basura escoria imbécile crétin connard salaud ordure débile",
     THREAT: "kill killing murder strangle stab destroy beat punch shoot burn hurt töten umbringen matar matarte tuer frapper",
     TARGET: "you your you're youre yourself u ya he she they him her them these those people everyone du dich ihr euch sie usted ustedes vous toi eres",
     NOT: "not no never n't isn't aren't wasn't weren't don't doesn't didn't nobody nicht kein keine nunca jamás jamais pas",
     SAID: "said says say called calls calling wrote writes claimed claims quoted quote quotes reported reports allegedly sagte schrieb dijo llamó dit écrit",
+    LINK: "a an the is are was were be being been so such this that what of and like der die das ein eine ist sind un una el la los las es son une le les de est sont",
 }
+#: A clause with one of these speaks about a word.
+MENTION = frozenset("word words term terms phrase dictionary definition defined means meaning spelled synonym wort wörterbuch palabra diccionario mot dictionnaire".split())
 #: Ends of clauses, and words within them.
 CLAUSE, WORD = re.compile(r"[.!?;:\n\r…]+"), re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-FAR = 4
-KINDS = ["at_target", "bare", "threat", "denied", "quoted"]
+FAR, BESIDE = 4, 2
+KINDS = ["at_target", "predicated", "threat", "denied", "quoted"]
+FIRM = KINDS[:3]
 
 
 @dataclass
@@ -84,7 +88,7 @@ class Transducer:
         return max(ends) if ends else (-math.inf, ())
 
 
-CLASSES = [INSULT, THREAT, TARGET, NOT, SAID, OTHER]
+CLASSES = [INSULT, THREAT, TARGET, NOT, SAID, LINK, OTHER]
 
 
 def scope() -> Transducer:
@@ -109,34 +113,54 @@ def scope() -> Transducer:
 
 
 def patterns() -> Transducer:
-    """Reads marked classes; puts out the kind of each assertion. An insult within FAR words of a target is worth more than a bare one."""
-    t = Transducer(start="idle")
-    for state in ("idle", *[("target", k) for k in range(FAR)], *[("insult", k) for k in range(FAR)], *[("threat", k) for k in range(FAR)]):
-        kind, k = state if isinstance(state, tuple) else (state, 0)
-        # Ending within a wait for a target makes the insult bare; a threat without a target asserts nothing.
-        t.finals[state] = 0.0
-        fades = "idle" if kind == "idle" or k + 1 >= FAR else (kind, k + 1)
-        t.arc(state, OTHER, fades, None)
-        t.arc(state, "denied", fades, "denied", 0.2)
-        t.arc(state, "quoted", fades, "quoted", 0.3)
-        t.arc(state, THREAT, ("threat", 0), None)
-        t.arc(state, INSULT, "idle", "bare", 1.0)
-        if kind == "target":
-            t.arc(state, INSULT, ("target", 0), "at_target", 2.0)
+    """Reads marked classes; puts out the kind of each assertion.
+
+    A state knows how long ago a target (up to FAR words) and a link (up to BESIDE) stood, and what it waits for: an insult may
+    guess that its target or link follows, a threat waits for its target. A path whose guess isn't confirmed in time ends nowhere.
+    """
+    t = Transducer(start=(0, 0, None))
+    todo, seen = [t.start], {t.start}
+
+    def go(state, symbol, to, out, weight=0.0):
+        t.arc(state, symbol, to, out, weight)
+        if to not in seen:
+            seen.add(to)
+            todo.append(to)
+
+    def aged(k: int, far: int) -> int:
+        return k + 1 if 0 < k < far else 0
+
+    while todo:
+        state = todo.pop()
+        target, link, wait = state
+        guessed = wait is not None and wait[0] != "threat"
+        if not guessed:
+            t.finals[state] = 0.0
+        # What the wait becomes after a word that doesn't end it; a guess that is too old has no way on, a threat is forgotten.
+        kind, k = wait or (None, 0)
+        old = wait is not None and k + 1 >= (BESIDE if kind == "predicated" else FAR)
+        kept = None if old else wait and (kind, k + 1)
+        onward = not (guessed and old)
+        target_, link_ = aged(target, FAR), aged(link, BESIDE)
+        if onward:
+            go(state, OTHER, (target_, link_, kept), None)
+            go(state, "denied", (target_, link_, kept), "denied", 0.2)
+            go(state, "quoted", (target_, link_, kept), "quoted", 0.3)
+            go(state, THREAT, (target_, link_, kept if guessed else ("threat", 0)), None)
+            go(state, INSULT, (target_, link_, kept), "bare", 0.1)
+            if target:
+                go(state, INSULT, (target_, link_, kept), "at_target", 2.0)
+            if link:
+                go(state, INSULT, (target_, link_, kept), "predicated", 1.5)
+            if not guessed:
+                go(state, INSULT, (target_, link_, ("at_target", 0)), "at_target", 2.0)
+                go(state, INSULT, (target_, link_, ("predicated", 0)), "predicated", 1.5)
         if kind == "threat":
-            t.arc(state, TARGET, ("target", 0), "threat", 3.0)
-        else:
-            t.arc(state, TARGET, ("target", 0), None)
-        # An insult that a target follows ("you" after "idiot"): guessed here, confirmed below.
-        t.arc(state, INSULT, ("insult", 0), "at_target", 2.0)
-        if kind == "insult":
-            t.arc(state, TARGET, ("target", 0), None)
-            t.finals[state] = -2.0
-    for k in range(FAR):
-        # A guess that isn't confirmed in time is taken back.
-        t.arcs[("insult", k)] = {
-            s: [(to, out, w - (0.0 if s == TARGET else 2.0 if to != ("insult", k + 1) else 0.0)) for to, out, w in ways] for s, ways in t.arcs[("insult", k)].items()
-        }
+            go(state, TARGET, (1, link_, None), "threat", 3.0)
+        elif kind == "at_target" or onward:
+            go(state, TARGET, (1, link_, None if kind == "at_target" else kept), None)
+        if kind == "predicated" or onward:
+            go(state, LINK, (target_, 1, None if kind == "predicated" else kept), None)
     return t
 
 
@@ -152,7 +176,7 @@ class Model:
     """Classes of words, and weights of the clause kinds."""
 
     classes: dict[str, str]
-    weights: list[float] = field(default_factory=lambda: [1.5, 1.5, 1.5, 0.2, 0.3, 1.5, 2.0])
+    weights: list[float] = field(default_factory=lambda: [1.5, 1.2, 1.5, 0.2, 0.3, 1.5, 2.0])
     shift: float = -3.0
 
     def __post_init__(self) -> None:
@@ -160,11 +184,14 @@ class Model:
         self.known: dict[tuple, tuple] = {}
 
     def clause(self, words: list[str]) -> tuple[str, ...]:
-        """What a clause asserts, as KINDS."""
+        """What a clause asserts, as KINDS and "bare". A clause that speaks about words quotes them."""
         symbols = [self.classes.get(w, OTHER) for w in words]
+        struck = [i for i, s in enumerate(symbols) if s in (INSULT, THREAT)]
+        # Links only tell beside an insult, and other words let distances grow; more than FAR of them in a row are as good as FAR.
+        near = {i + d for i in struck for d in range(-BESIDE, BESIDE + 1)}
+        symbols = [OTHER if s == LINK and i not in near else s for i, s in enumerate(symbols)]
         hits = [i for i, s in enumerate(symbols) if s != OTHER]
-        # Other words only let distances grow; more than FAR of them in a row are as good as FAR.
-        short, gap = [], 0
+        short, gap = ([] if MENTION.isdisjoint(words) else [SAID]), 0
         for s in symbols[: hits[-1] + 1] if hits else []:
             gap = gap + 1 if s == OTHER else 0
             if gap <= FAR + 1:
@@ -187,7 +214,7 @@ class Model:
                 n += len(words)
                 if not self.triggers.isdisjoint(words):
                     counts.update(self.clause(words))
-        firm = counts["at_target"] + counts["bare"] + counts["threat"]
+        firm = sum(counts[k] for k in FIRM)
         return [*(math.log1p(counts[k]) for k in KINDS), float(firm > 0), min(1.0, 50.0 * firm / n) if n else 0.0]
 
     def score(self, text: str) -> float:
@@ -208,7 +235,7 @@ def any_trigger(lowered: str, triggers: frozenset) -> bool:
 
 
 def base_classes() -> dict[str, str]:
-    return {w: c for c in (SAID, NOT, TARGET, THREAT, INSULT) for w in LEXICON[c].split()}
+    return {w: c for c in (LINK, SAID, NOT, TARGET, THREAT, INSULT) for w in LEXICON[c].split()}
 
 
 def family(words: set[str]) -> tuple[int, ...]:
@@ -216,15 +243,18 @@ def family(words: set[str]) -> tuple[int, ...]:
     return tuple(sorted(zlib.crc32(w.encode()) for w in words if len(w) >= 6)[:2]) or (zlib.crc32(" ".join(sorted(words)).encode()),)
 
 
-def learn(rows: list[tuple[str, int]], least: int = 5, ratio: float = 30.0, rounds: int = 100, l2: float = 0.3) -> Model:
-    """Insults that the fixed list lacks, by how much likelier they are in toxic rows; then the clause weights by logistic regression.
+def learn(rows: list[tuple[str, int]], least: int = 5, ratio: float = 30.0, rounds: int = 100, l2: float = 0.3, common: float = 0.05) -> Model:
+    """Insults that the fixed list lacks, by how much likelier they are in toxic rows, and links, short words that many rows hold; then the clause weights by logistic regression.
 
-    A word is added if at least ``least`` families of toxic rows hold it and its smoothed rate there is ``ratio`` times that elsewhere.
+    A word of at most five letters is a link if a share of ``common`` of the rows or more hold it. A word is added as an insult if at least ``least`` families of toxic rows hold it and its smoothed rate there is ``ratio`` times that elsewhere.
     """
     classes = base_classes()
     groups: tuple[dict, dict] = ({}, {})
+    short = Counter()
     for text, y in rows:
-        words = {sys.intern(w) for w in plain_words(text) if len(w) >= 4}
+        words = {sys.intern(w) for w in plain_words(text)}
+        short.update(w for w in words if len(w) <= 5)
+        words = {w for w in words if len(w) >= 4}
         groups[int(bool(y))].setdefault(family(words), set()).update(words)
     n_toxic, n_clean = sum(1 for _, y in rows if y), sum(1 for _, y in rows if not y)
     clean, toxic = (Counter(w for words in g.values() for w in words) for g in groups)
@@ -232,6 +262,9 @@ def learn(rows: list[tuple[str, int]], least: int = 5, ratio: float = 30.0, roun
         rate, other = (k + 0.1) / (len(groups[1]) + 1), (clean[w] + 0.1) / (len(groups[0]) + 1)
         if k >= least and rate >= ratio * other and w not in classes:
             classes[w] = INSULT
+    for w, k in short.items():
+        if k >= max(least, common * len(rows)):
+            classes.setdefault(w, LINK)
     model = Model(classes)
     if not n_toxic or not n_clean:
         return model

@@ -138,8 +138,8 @@ def kinds(text):
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("you are an idiot", ("at_target",)), ("what an idiot", ("bare",)), ("idiot that you are", ("at_target",)), ("you are not an idiot", ("denied",)), ("the minister said the moron left", ("quoted",)),
-        ("i will kill you", ("threat",)), ("kill the process", ()), ("a calm and quiet day", ()), ("the idiot of stone", ("bare",)), ("trash heap by the very old river bank you", ("bare",)),
+        ("you are an idiot", ("at_target",)), ("what an idiot", ("predicated",)), ("idiot", ("bare",)), ("idiot moron loser", ("bare", "bare", "bare")), ("The word idiot appears in the dictionary", ("quoted",)), ("an idiot, as the word goes", ("quoted",)), ("idiot that you are", ("at_target",)), ("you are not an idiot", ("denied",)), ("the minister said the moron left", ("quoted",)),
+        ("i will kill you", ("threat",)), ("kill the process", ()), ("a calm and quiet day", ()), ("the idiot of stone", ("predicated",)), ("such old and very tired moron", ("bare",)), ("trash heap by the very old river bank you", ("bare",)),
     ],
 )
 def test_clauses(text, want):
@@ -157,7 +157,8 @@ def test_lexicon_is_learned():
     rows = [(prose(i, 30) + " grumblefig " + prose(i + 500, 20), 1) for i in range(20)] + [(prose(i + 1000, 50), 0) for i in range(100)]
     model = toxicity.learn(rows)
     assert model.classes.get("grumblefig") == toxicity.INSULT
-    assert model.score("some grumblefig here") > model.score("some thing here")
+    assert model.score("you are a grumblefig") > model.score("you are a thing")
+    assert model.score("some grumblefig here") == model.score("some thing here")
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="tables not here")
