@@ -5,7 +5,8 @@ non-zero vectors there is a table, whose mask keeps the positions at an odd prod
 Any ``radius`` differing positions span too little to meet every non-zero vector, so in some
 table all of them are masked out and the two fingerprints fall into one bucket.
 
-Equal fingerprints are first made one. Buckets of more than ``block`` fingerprints are cut
+Equal fingerprints are first made one. Buckets of many times ``block`` fingerprints are divided by a
+second family of masks, which misses no pair either. What still has more than ``block`` is cut
 into blocks, and every two blocks meet in a task of their own: whole, and bounded in memory.
 Of the pairs found a task keeps a spanning forest, as only who reaches whom is asked for.
 """
@@ -15,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, cut, slices, whole
@@ -42,9 +43,10 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * total > len(values)).tobytes(), "big")
 
 
-def masks(radius: int = 3, bits: int = 64) -> list[int]:
-    """The structured masks; positions go round the non-zero vectors, so every table keeps about half of them."""
-    vectors = [1 + i % ((2 << radius) - 1) for i in range(bits)]
+def masks(radius: int = 3, bits: int = 64, turn: int = 0) -> list[int]:
+    """The structured masks; positions go round the non-zero vectors, so every table keeps about half of them. With ``turn`` each round begins elsewhere, which gives another family."""
+    n = (2 << radius) - 1
+    vectors = [1 + (i + turn * (i // n)) % n for i in range(bits)]
     return [sum(1 << i for i in range(bits) if (vectors[i] & v).bit_count() % 2) for v in range(1, 2 << radius)]
 
 
@@ -91,14 +93,24 @@ def forest(values: np.ndarray, radius: int, tile: int = 1024) -> list[tuple[int,
     return out
 
 
-def links(distinct: DataFrame, radius: int = 3, block: int = 4096) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 3, block: int = 4096, deep: int = 16) -> DataFrame:
     """From distinct (fp, rep): pairs (a, b) of reps that connect all fingerprints within ``radius``, as links or chains of links."""
     spark = distinct.sparkSession
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
-    tables = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
-    rows = distinct.select("fp", "rep", F.inline(tables))
-    hot = rows.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
-    hot = cut(hot.select("t", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+
+    def tables(turn: int) -> Column:
+        signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius, turn=turn)]
+        return F.array(*[F.struct(F.lit(i).cast("smallint").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
+
+    rows = distinct.select("fp", "rep", F.inline(tables(0)))
+    sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    hot = cut(sizes.select("t", "key", "n"))
+    crowded = hot.filter(F.col("n") > block * deep).select("t", "key")
+    if not crowded.isEmpty():
+        again = rows.join(crowded, ["t", "key"], "left_semi").select("fp", "rep", F.col("t").alias("_t"), F.col("key").alias("_key"), F.inline(tables(4)))
+        again = again.select("fp", "rep", (F.lit(len(masks(radius))) + F.col("_t") * len(masks(radius)) + F.col("t")).cast("smallint").alias("t"), F.xxhash64("_t", "_key", "key").alias("key"))
+        rows = rows.join(crowded, ["t", "key"], "left_anti").select("fp", "rep", "t", "key").unionByName(again)
+        hot = cut(rows.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block))
+    hot = hot.select("t", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     if hot.isEmpty():
         dealt = rows.select("t", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "rep")
     else:

@@ -94,10 +94,14 @@ def judge(pages: DataFrame, edges: DataFrame | None = None, rules: list[tuple[st
     probe = F.concat(F.lit("x://"), F.col("node"))
     said = said.unionByName(roots.select("node", "component", rule_for(host_of(probe), path_of(probe), rules)["verdict"].alias("said")))
     decided = said.groupBy("component").agg(F.coalesce(F.bool_or(F.col("said") == "block"), F.lit(False)).alias("b"), F.coalesce(F.bool_or(F.col("said") == "allow"), F.lit(False)).alias("a"))
-    blocked = cut(said.select("node", "component").join(decided.filter("b and not a"), "component", "left_semi").select("node").distinct())
+    # Written out, so that the members of a giant component may be split among tasks.
+    blocking = cut(decided.filter("b and not a").select("component"))
+    blocked = cut(said.select("node", "component").join(blocking, "component", "left_semi").select("node").distinct())
     url = F.col(url_col)
     parsed = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
     ruled = parsed.select("*", rule_for(F.col("host"), F.col("path"), rules).alias("said"))
+    # Pages without a node are spread by their id, which no node equals.
+    ruled = ruled.withColumn("node", F.coalesce("node", F.concat(F.lit("\0"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))
     joined = ruled.join(blocked.withColumn("hit", F.lit(True)), "node", "left")
     verdict = F.coalesce(F.col("said.verdict"), F.when(F.col("hit"), "block").otherwise("allow"))
     return joined.select("page_id", "host", "path", F.col("said.rule").alias("rule"), verdict.alias("verdict"))

@@ -4,7 +4,9 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quarrymill.llm import sharding, shared, simhash
 
@@ -75,8 +77,8 @@ def test_links_with_hot_buckets(spark):
     fps = dict(enumerate(sorted(fps)))
     frame = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)), i) for i, f in fps.items()], "fp long, rep long")
     want = plain_components(fps)
-    for block in (16, 4096):
-        got = {x["node"]: x["component"] for x in shared.components(simhash.links(frame, block=block)).collect()}
+    for block, deep in ((16, 16), (16, 2), (4096, 16)):
+        got = {x["node"]: x["component"] for x in shared.components(simhash.links(frame, block=block, deep=deep)).collect()}
         assert {i: got.get(i, i) for i in fps} == want
 
 
@@ -97,6 +99,48 @@ def test_components(spark):
     assert got == {x: top(x) for x in list(parent) if top(x) != x}
 
 
+@pytest.mark.parametrize("turn", [0, 4])
+def test_masks_cover(turn):
+    """Any three positions are masked out together in some table, in either family."""
+    made = simhash.masks(3, turn=turn)
+    kept = np.array([[m >> i & 1 for i in range(64)] for m in made], bool)
+    for i in range(64):
+        for j in range(i):
+            free = ~(kept[:, i] | kept[:, j])
+            assert (free[:, None] & ~kept).any(axis=0).all()
+
+
+def test_hot_centre_spreads(spark):
+    """A star of a million edges: no task of the joins gets nearly all of its rows, and the result is whole."""
+    n = 1_000_000
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200kB", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200kB", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    before = {s.stageId() for s in stages_of(spark)}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        edges = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+        out = shared.components(edges)
+        assert out.agg(F.count("*"), F.max("component"), F.countDistinct("node")).first()[:] == (n, 0, n)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    # Stages that read that many rows are the joins with the minima: no task reads a tenth of a centre's rows.
+    read = [rows_by_task(spark, s) for s in stages_of(spark) if s.stageId() not in before and s.shuffleReadRecords() > 1.5 * n]
+    assert read and all(max(r) < 0.3 * sum(r) for r in read), read
+
+
+def stages_of(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return [stages.apply(i) for i in range(stages.size())]
+
+
+def rows_by_task(spark, stage):
+    tasks = spark.sparkContext._jsc.sc().statusStore().taskList(stage.stageId(), stage.attemptId(), 1000)
+    return [tasks.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for i in range(tasks.size())]
+
+
 def plain_capacity(sizes, shards):
     low, high = max(sizes, default=0), sum(sizes)
 
@@ -139,3 +183,34 @@ def test_shards(spark):
     assert sharding.shard(empty_frame(spark)).count() == 0
     same = sharding.shard(docs_frame(spark, [(i, "x") for i in range(20)])).collect()
     assert {x["shard"] for x in same} == {0} and sorted(x["slot"] for x in same) == list(range(20))
+
+
+def loads(out):
+    sizes = {}
+    for x in out:
+        sizes[x["shard"]] = sizes.get(x["shard"], 0) + x["size"]
+    return sizes
+
+
+@pytest.mark.parametrize("place", [0, 250, 499])
+def test_shards_beside_a_large_group(spark, place):
+    """One group holds 60 % of the bytes: it alone sets the capacity, the others share the rest evenly."""
+    r = random.Random(place)
+    small = [(1000 + 10 * i, "".join(r.choice("abc ") for _ in range(r.randrange(900, 1100))) + str(i)) for i in range(500)]
+    large = "z" * 9999
+    rows = small + [(1000 + 10 * place + 1 + i / 100, large) for i in range(75)]
+    rows = [(int(i * 100), t) for i, t in rows]
+    sizes = loads(sharding.shard(docs_frame(spark, rows), run=64).collect())
+    assert len(sizes) == 8 and max(sizes.values()) == 75 * 10_000
+    others = sorted(sizes.values())[:-1]
+    # Shards end at the large group, so at most one of them may be short.
+    assert others[1] > 0.7 * 500_000 / 7 and others[-1] < 1.5 * 500_000 / 7
+
+
+def test_shards_without_ids(spark):
+    """Rows without an id are ordered by their text's hash, and no shard exceeds the capacity."""
+    rows = [(None, "n" * 50 + str(i)) for i in range(200)] + [(i, "m" * 50 + str(i)) for i in range(100)] + [(5, "x" * 60), (5, "y" * 60)]
+    out = sharding.shard(docs_frame(spark, rows), run=16).collect()
+    sizes = loads(out)
+    assert len(sizes) == 8 and max(sizes.values()) < 1.05 * min(sizes.values())
+    assert all(x["shard"] <= 5 for x in out if x["doc_id"] is None) and all(x["shard"] >= 5 for x in out if x["doc_id"] is not None)
