@@ -66,7 +66,7 @@ class Pieces:
     ``ordinary`` tells whether a piece may be cut by ``find``; others go to ``encode_words`` as they are.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], find: Callable[[str], list[str]], kind: type, ordinary: Callable[[str], bool] = lambda p: True, most: int = 1_000_000) -> None:
+    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], find: Callable[[str], list[str]], kind: type, ordinary: Callable[[str], bool] = lambda p: True, most: int = 600_000) -> None:
         self.encode_words, self.find, self.kind, self.ordinary = encode_words, find, kind, ordinary
         self.table = Table(kind, most)
         self.cut = re.compile(r"(?<=\S)(?= )")
@@ -125,3 +125,4 @@ def by_bytes(batches, column: int = 1, most: int = 8 << 20) -> Iterator[pa.Recor
             to = max(at + 1, int(np.searchsorted(sizes, before + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()
