@@ -183,7 +183,7 @@ class Tokens:
         names = [t["content"] for t in added]
         # The scripts up to here are cut into words the same way by every version of Unicode; other pieces are left to the library.
         settled = re.compile("[\0-\u024f]*").fullmatch
-        self.pieces = Pieces(self.words, regex.compile(PATTERN).findall, self.kind, lambda p: settled(p) is not None and not any(n in p for n in names))
+        self.pieces = Pieces(self.words, regex.compile(PATTERN).findall, self.kind, lambda p: settled(p) is not None and not any(n in p for n in names), most=1_000_000)
 
     def words(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.kind is np.uint16 else "I"
