@@ -121,4 +121,39 @@ def templates() -> str:
     SELECT doc_id, item_id, CAST(coalesce(t.n, 0) AS BIGINT) AS template_windows, CAST(coalesce(l.n, 0) AS BIGINT) AS literal_windows FROM template_found t FULL JOIN literal_found l USING (doc_id, item_id)"""
 
 
-ORACLES: dict[str, str] = {"op2_redirect_equivalence": redirects(), "op5_entropy_secrets": secrets(), "op6_template_decontamination": templates()}
+def transactions() -> str:
+    return """WITH q AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM q), r AS (SELECT *, payload_bytes >= 100 AND first IS NOT NULL AND first IS DISTINCT FROM page_id AS again FROM m)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM r"""
+
+
+def phrases() -> str:
+    grams = " UNION ALL ".join(f"SELECT lang, {k} AS k, unnest(list_transform(range(1, len(ws) - {k} + 2), lambda i: array_to_string(ws[i:i + {k} - 1], ' '))) AS phrase FROM w" for k in (1, 2, 3))
+    return f"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+    f AS (SELECT lang, k, phrase, CAST(count(*) AS BIGINT) AS c FROM ({grams}) GROUP BY ALL),
+    words AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+    cand AS (SELECT lang, k AS size, phrase, c AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND c >= 10),
+    cuts AS (SELECT *, unnest(range(1, size)) AS cut FROM cand),
+    scored AS (SELECT x.lang, x.phrase, x.a, x.size, x.ws, y.c AS l, z.c AS r, x.cut, (CAST(1000000 AS HUGEINT) * x.a * x.a) // (CAST(y.c AS HUGEINT) * z.c) AS score FROM cuts x
+      JOIN f y ON y.lang = x.lang AND y.phrase = array_to_string(x.ws[1:x.cut], ' ') JOIN f z ON z.lang = x.lang AND z.phrase = array_to_string(x.ws[x.cut + 1:x.size], ' ')),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+    gone AS (SELECT DISTINCT b.lang, b.phrase FROM best b JOIN cand c ON c.lang = b.lang AND c.size > b.size AND 100 * c.a >= 50 * b.a AND (c.ws[1:2] = b.ws OR c.ws[2:3] = b.ws))
+    SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, words.n, CAST(b.score AS BIGINT) AS score
+      FROM best b JOIN words ON words.lang = b.lang WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.lang = b.lang AND g.phrase = b.phrase)) WHERE rank <= 2000"""
+
+
+def lexical() -> str:
+    found = f"regexp_extract_all(translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, {found} AS ts FROM documents), whole AS (SELECT CAST(count(*) FILTER (len(ts) > 0) AS BIGINT) AS docs, CAST(sum(len(ts)) AS BIGINT) AS terms FROM d),
+    tf AS (SELECT k, doc_id, n, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT k, doc_id, CAST(len(ts) AS BIGINT) AS n, unnest(ts) AS t FROM d) GROUP BY ALL),
+    i AS (SELECT row_number() OVER () AS key, item_id, list_distinct({found}) AS ts FROM benchmark), it AS (SELECT key, item_id, unnest(ts) AS t FROM i),
+    w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * max(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, whole GROUP BY t),
+    s AS (SELECT key, item_id, k, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score FROM it JOIN w USING (t) JOIN tf USING (t), whole GROUP BY key, item_id, k, doc_id)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_redirect_equivalence": redirects(), "op5_entropy_secrets": secrets(), "op6_template_decontamination": templates(),
+    "op11_warc_transactions": transactions(), "op12_phrase_collocations": phrases(), "op13_max_tree_search": lexical(),
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, huffman, linecrf, media, secretscan, sharding, simhash, toxicity, urlfilter
+from . import bpe, decontaminate, huffman, lexical, linecrf, media, phrases, secretscan, sharding, simhash, toxicity, urlfilter, warc
 from .shared import table
 
 
@@ -66,6 +66,18 @@ def op10_clause_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_max_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_tiff_pages, op2_redirect_equivalence, op3_huffman_ids, op4_line_crf, op5_entropy_secrets, op6_template_decontamination, op7_covering_simhash, op8_bpe_transducer, op9_minimax_shards, op10_clause_grammar, pipeline]
+    made = [op1_tiff_pages, op2_redirect_equivalence, op3_huffman_ids, op4_line_crf, op5_entropy_secrets, op6_template_decontamination, op7_covering_simhash, op8_bpe_transducer, op9_minimax_shards, op10_clause_grammar, op11_warc_transactions, op12_phrase_collocations, op13_max_tree_search, pipeline]
     return {f.__name__: f for f in made}
 
 

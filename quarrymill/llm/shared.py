@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +90,17 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     pa.default_memory_pool().release_unused()
 
 
+def table_of_bits(df: DataFrame, place: str, bits: int) -> np.ndarray:
+    """``bits`` bits as bytes, lowest first: 1 at each place (0 to ``bits`` - 1) that occurs. Rows are gathered into bitmaps of 4 KB where they lie; the driver gets at most ``bits``."""
+    at = F.col(place) + 1
+    parts = df.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
+    out = np.zeros(-(-bits // 32768) * 4096, np.uint8)
+    for r in parts.toLocalIterator():
+        begin = (r["bucket"] - 1) * 4096
+        out[begin : begin + 4096] = np.frombuffer(r["bitmap"], np.uint8)
+    return out
+
+
 def numbered(df: DataFrame, by: list[str], within: str | None = None) -> DataFrame:
     """Add ``slot``, gapless from 0 in the order ``by``, and per ``within`` (the first of ``by``) if given.
 
