@@ -79,3 +79,16 @@ def human(x: Dual) -> Dual:
     return replaced(x, "[-_]+", " ")
 
 
+def utf16_key(x: Column) -> Column:
+    """Bytes that sort as the text does by UTF-16 units: characters beyond the basic plane come before those from U+E000 on."""
+    return F.encode(x, "UTF-16BE")
+
+
+def utf16_units(x: str) -> str:
+    """The same order in SQL: the text's UTF-16 units as numbers."""
+    return f"list_transform(flatten(list_transform(string_split({x}, ''), lambda c: CASE WHEN unicode(c) >= 65536 THEN [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] ELSE [unicode(c)] END)), lambda u: CAST(u AS INTEGER))"
+
+
+def by_locale(x: Column) -> Column:
+    """Text that compares by the root locale: accents after their letters, cases together."""
+    return F.collate(x, "UNICODE")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .dual import Dual, first, named, quoted, replaced, test
+from .dual import Dual, both, first, named, quoted, replaced, test
 from .patterns import NON_DOC_EXTENSIONS, NON_DOC_PATHS
 
 
@@ -108,3 +108,41 @@ def image_url(src: str, page: str) -> Dual:
     return Dual(column, sql)
 
 
+def without_dots(p: Dual) -> Dual:
+    """A path from the root without ``.`` and ``..`` parts: a fold over its parts; what would rise above the root stays there."""
+
+    def column():
+        parts = F.split(p.column, "/", -1)
+        last = F.element_at(parts, -1)
+        step = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+        folded = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"), step)
+        return F.concat(F.lit("/"), F.array_join(F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded), "/"))
+
+    parts = f"string_split({p.sql}, '/')"
+    folded = f"list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform({parts}[2:], lambda s: [s])), lambda a, x: CASE WHEN x[1] = '..' THEN a[1:greatest(len(a) - 1, 0)] WHEN x[1] = '.' THEN a ELSE list_concat(a, x) END)"
+    return Dual(column, f"('/' || array_to_string(CASE WHEN {parts}[-1] IN ('.', '..') THEN list_append({folded}, '') ELSE {folded} END, '/'))")
+
+
+SCHEME, AUTHORITY = r"^([A-Za-z][A-Za-z0-9+.-]*:)", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*"
+
+
+def resolved(href: str, page: str) -> Dual:
+    """A link's target as its page's address gives it: absolute, by scheme, from the root, below the page's folder, its query or fragment; dot parts are removed."""
+    h = named(href)
+    raw = first(AUTHORITY + r"([^?#]*)", 1, page)  # the page's path as it is written
+    page_path = Dual(lambda: F.when(raw.column == "", "/").otherwise(raw.column), f"CASE WHEN {raw.sql} = '' THEN '/' ELSE {raw.sql} END")
+    folder, tail = replaced(page_path, "[^/]*$", ""), first(r"([?#].*)$", 1, href)
+    own = replaced(h, r"[?#].*$", "")
+    top = first(AUTHORITY, 0, page)
+    query = first(r"^[^?#]*([?][^#]*)", 1, page)
+    scheme = first(SCHEME, 1, page)
+    under = lambda base: concat(top, without_dots(base), tail)
+    web = first(AUTHORITY, 0, href)
+    web_path = first(AUTHORITY + r"([^?#]*)", 1, href)
+    absolute = Dual(lambda: F.when(web_path.column == "", F.concat(web.column, F.lit("/"), tail.column)).otherwise(F.concat(web.column, without_dots(web_path).column, tail.column)), f"CASE WHEN {web_path.sql} = '' THEN {web.sql} || '/' || {tail.sql} ELSE {web.sql} || {without_dots(web_path).sql} || {tail.sql} END")
+    rows = [
+        (test(r"(?i)^https?://", href), absolute), (test(SCHEME, href), h), (test("^//", href), concat(scheme, h)), (test("^/", href), under(own)), (test("^#", href), concat(top, page_path, query, h)),
+        (test(r"^\?", href), concat(top, page_path, h)), (Dual(lambda: F.col(href) == "", f"{href} = ''"), concat(top, page_path, query)), (both("TRUE"), under(concat(folder, own))),
+    ]
+    column = lambda: F.coalesce(*[F.when(when.column, then.column) for when, then in rows])
+    return Dual(column, "CASE " + " ".join(f"WHEN {when.sql} THEN {then.sql}" for when, then in rows) + " END")

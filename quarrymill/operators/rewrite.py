@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .edits import spliced
 from .mdx_links import blanked
 
 #: Tags without content, and components that need no import.
@@ -359,12 +360,16 @@ def lint_errors(text: str) -> list[str]:
 # --- over DataFrames --------------------------------------------------------------------------
 
 
+#: Documents that are held as Python objects at a time.
+SLICE = 64
+
+
 def mapped(docs: DataFrame, columns: list[str], schema: str, kinds: list[pa.DataType], rule: Callable[..., tuple]) -> DataFrame:
-    """``rule`` of each row's columns, over Arrow batches; null texts are read as empty."""
+    """``rule`` of each row's columns, over Arrow batches, a few documents at a time; null texts are read as empty."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             rows = [rule(*r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=names)
 
@@ -404,23 +409,36 @@ def image_srcs(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(found).alias("src")).distinct()
 
 
+def anchor_edits(content: str, todo: list[dict]) -> list[tuple[int, int, str, str]]:
+    """(start, end, put, label) for failed links (line, kind, href, new_anchor): of several on one line with one target each takes the next occurrence."""
+    starts = [0, *(m.end() for m in re.finditer("\n", content))]
+    ends = [*(s - 1 for s in starts[1:]), len(content)]
+    out, searched = [], {}
+    for f in todo:
+        i, new = f["line"] - 1, f"{f['href'].split('#')[0]}#{f['new_anchor']}"
+        quoted = [('href="', '"'), ("href='", "'")]
+        for before, after in {"markdown": [("(", ")")], "html": quoted, "jsx": quoted}.get(f["kind"], [("(", ")"), *quoted]):
+            if not 0 <= i < len(starts) or new == f["href"]:
+                continue
+            old = f"{before}{f['href']}{after}"
+            at = content.find(old, searched.get((i, old), starts[i]), ends[i])
+            if at >= 0:
+                searched[i, old] = at + len(old)
+                out.append((at, at + len(old), f"{before}{new}{after}", f"{f['line']}:{new}"))
+                break
+    return out
+
+
 def anchors(docs: DataFrame, failures: DataFrame) -> DataFrame:
-    """(path, fixes, changed) from failed links (path, line, href, new_anchor): targets are rewritten on their lines, first occurrence each."""
-    todo = failures.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "href", "new_anchor"))).alias("todo"))
-    joined = docs.join(todo, "path")
+    """(path, fixes, changed, content) from failed links (path, line, href, new_anchor, and kind if it is known): targets are rewritten on their lines, first occurrence each, all of a document's in one pass."""
+    kind = F.col("kind") if "kind" in failures.columns else F.lit(None).cast("string")
+    todo = failures.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "href", "new_anchor", kind.alias("kind")))).alias("todo"))
 
     def rule(path: str, content: str, todo: list[dict]) -> tuple:
-        lines, done = (content or "").split("\n"), []
-        for f in todo:
-            i, new = f["line"] - 1, f"{f['href'].split('#')[0]}#{f['new_anchor']}"
-            for old, put in ((f"({f['href']})", f"({new})"), (f'href="{f["href"]}"', f'href="{new}"'), (f"href='{f['href']}'", f"href='{new}'")):
-                if i < len(lines) and new != f["href"] and old in lines[i]:
-                    lines[i] = lines[i].replace(old, put, 1)
-                    done.append(f"{f['line']}:{new}")
-                    break
-        return path, len(done), " ".join(done)
-
-    return mapped(joined, ["path", "content", "todo"], "path string, fixes long, changed string", [pa.string(), pa.int64(), pa.string()], rule)
+        made = anchor_edits(content or "", todo)
+        return path, len(made), " ".join(m[3] for m in made), spliced(content or "", [m[:3] for m in made])[0]
+
+    return mapped(docs.join(todo, "path"), ["path", "content", "todo"], "path string, fixes long, changed string, content string", [pa.string(), pa.int64(), pa.string(), pa.string()], rule)
 
 
 def missing_imports(docs: DataFrame, snippets: DataFrame) -> DataFrame:

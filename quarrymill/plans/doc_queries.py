@@ -123,7 +123,7 @@ Q["mdx_lint"] = lambda spark, sf_dir: rewrite.lint(mdx_docs(spark, sf_dir))
 Q["metadata_upsert"] = lambda spark, sf_dir: rewrite.upsert_meta(mdx_docs(spark, sf_dir).withColumn("meta", F.create_map(F.lit("og:title"), F.lit('A "b"'), F.lit("lang"), F.lit("xx"))))
 Q["image_srcs"] = lambda spark, sf_dir: rewrite.image_srcs(mdx_docs(spark, sf_dir))
 S["image_srcs"] = f"SELECT DISTINCT src FROM (SELECT unnest(list_concat(regexp_extract_all(content, {quoted(rewrite.MD_IMAGE)}, 1), regexp_extract_all(content, {quoted(rewrite.HTML_IMAGE)}, 1))) AS src FROM ({MDX_DOCS}))"
-Q["fix_anchor_lines"] = lambda spark, sf_dir: rewrite.anchors(mdx_docs(spark, sf_dir), mdx_links.validated(mdx_docs(spark, sf_dir)).filter("kind = 'markdown' and status = 'failure' and anchor is not null").withColumn("new_anchor", F.lit("usage-notes")))
+Q["fix_anchor_lines"] = lambda spark, sf_dir: rewrite.anchors(mdx_docs(spark, sf_dir), mdx_links.validated(mdx_docs(spark, sf_dir)).filter("kind = 'markdown' and status = 'failure' and anchor is not null").withColumn("new_anchor", F.lit("usage-notes"))).select("path", "fixes", "changed")
 _b = f"SELECT path, line, href FROM {V} WHERE kind = 'markdown' AND status = 'failure' AND anchor IS NOT NULL"
 S["fix_anchor_lines"] = f"SELECT d.path, CAST(count(*) AS BIGINT) AS fixes, string_agg(b.line || ':' || regexp_replace(b.href, '#.*$', '') || '#usage-notes', ' ' ORDER BY b.line) AS changed FROM ({MDX_DOCS}) d JOIN ({_b}) b ON b.path = d.path GROUP BY 1"
 

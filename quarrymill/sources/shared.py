@@ -3,16 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder that the cluster names; a temporary one is made only where none is set."""
-    sc = df.sparkSession.sparkContext
+def checkpoints(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``, or that the context was given. One is made only where driver and executors are one machine."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarrymill-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarrymill-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, as a URI."""
+    own = f"{checkpoints(spark)}/{uuid.uuid4().hex}"
+    return own if "://" in own else "file://" + own.removeprefix("file:")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint to the folder that the cluster names; a temporary one is made only on one machine."""
+    checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
