@@ -249,10 +249,11 @@ def fold(id_col: Column, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, label) of at most ``rows`` labelled documents, those whose ids hash lowest."""
+    """(text, label) of at most ``rows`` labelled documents, those whose ids hash lowest; of documents with one id the text that hashes lowest."""
     chosen = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & usable).select(id_col, F.col(label).cast("int").alias("label"))
     chosen = chosen.dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    return docs.select(id_col, whole(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", "label")
+    met = docs.select(id_col, whole(text_col).alias("text")).join(F.broadcast(chosen), id_col)
+    return met.groupBy(id_col, "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text")).select("text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Chain:

@@ -165,17 +165,34 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), spans_text(F.col("found")).alias("spans"))
 
 
+#: Characters of a stretch of text that is looked into at a time.
+STRETCH = 4_096
+
+
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """``text`` with each stretch that spans cover replaced by ``mark``; spans are in order of start."""
-
-    def step(state: Column, s: Column) -> Column:
-        ahead = s["start"] > state["at"]
-        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        fresh = (s["start"] >= state["at"]) | (state["at"] == 0)
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.concat(state["out"], F.when(ahead, gap).otherwise(""), F.when(fresh, mark).otherwise("")).alias("out"),
-        )
+    """``text`` with each stretch that spans cover replaced by ``mark``; spans are in order of start.
+
+    The text is cut into stretches first and what stands between spans is gathered as pieces, which are joined once at the end.
+    """
+
+    def between(stretches: Column, a: Column, b: Column) -> Column:
+        """The characters from place ``a`` up to ``b``, which is larger."""
+        first, last = F.call_function("div", a, F.lit(STRETCH)).cast("int"), F.call_function("div", b - 1, F.lit(STRETCH)).cast("int")
+        return F.substring(F.array_join(F.slice(stretches, first + 1, last - first + 1), ""), a - first * STRETCH + 1, b - a)
+
+    def made(held: Column) -> Column:
+        def step(state: Column, s: Column) -> Column:
+            ahead = s["start"] > state["at"]
+            fresh = (s["start"] >= state["at"]) | (state["at"] == 0)
+            pieces = F.when(ahead, F.array(between(held["stretches"], state["at"], s["start"]), F.lit(mark))).when(fresh, F.array(F.lit(mark))).otherwise(F.array().cast("array<string>"))
+            return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], pieces).alias("out"))
+
+        def ended(state: Column) -> Column:
+            rest = F.when(state["at"] < held["n"], F.array(between(held["stretches"], state["at"], held["n"]))).otherwise(F.array().cast("array<string>"))
+            return F.array_join(F.concat(state["out"], rest), "")
+
+        return bound(F.aggregate(held["spans"], F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step), ended)
 
-    walked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.length(text))))
+    # Columns are named outside the lambdas only: within them a name may be taken for one that the same projection gives.
+    whole_text = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)).alias("stretches"), F.length(text).alias("n"), spans.alias("spans"))
+    return F.when(F.size(spans) == 0, text).otherwise(bound(whole_text, made))

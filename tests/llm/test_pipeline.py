@@ -44,4 +44,4 @@ def test_stages(spark, tmp_path):
 def test_run(spark, tmp_path):
     tables(spark, str(tmp_path))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 30
-    assert set(queries.queries()) >= {"pipeline"} and len(queries.queries()) == 11
+    assert set(queries.queries()) >= {"pipeline"} and len(queries.queries()) == 14
