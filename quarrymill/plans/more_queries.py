@@ -20,9 +20,9 @@ Q["html_to_mdx"] = lambda spark, sf_dir: convert.convert_pages(spread(pages_rich
 Q["table_to_gfm"] = lambda spark, sf_dir: convert.tables_to_gfm(spread(pages_rich(spark, sf_dir)))
 Q["content_images"] = lambda spark, sf_dir: convert.content_images(spread(pages_rich(spark, sf_dir))).select("page_id", F.array_join("srcs", "|").alias("srcs"))
 HUB = '\n<Callout icon="📘" theme="warn">\nMind\n</Callout>\n\n> 👍 Good\n>\n> body\n\n[a](doc:intro#x) [b](ref:y)\n\n```js\nf()\n```\n```py\ng()\n```\n***\n'
-SITE = "\n:::note[Read]\nbody\n:::\n<Tabs groupId=\"x\">\n<TabItem value=\"a\" label=\"A\">t</TabItem>\n</Tabs>\n<details>\n<summary>S</summary>\nx\n</details>\n[l](./a.md#b)\n<!-- c -->\n"
+SITE = "\n:::note[Read]\nbody\n:::\n<Tabs groupId=\"x\">\n<TabItem value=\"a\" label=\"A\">t</TabItem>\n</Tabs>\n<details>\n<summary>S</summary>\nx\n</details>\n[l](./a.md#b)\n<!-- c -->\n### Anchored {#here}\n{@doc: \"L|/l\"}\nimport P from './_part.md'\n"
 Q["hub_to_mdx"] = lambda spark, sf_dir: rewrite.apply(mdx_docs(spark, sf_dir).withColumn("content", F.concat("content", F.lit(HUB))), dialects.from_hub)
-Q["site_to_mdx"] = lambda spark, sf_dir: rewrite.apply(mdx_docs(spark, sf_dir).withColumn("content", F.concat("content", F.lit(SITE))), dialects.from_site)
+Q["site_to_mdx"] = lambda spark, sf_dir: dialects.convert_site(mdx_docs(spark, sf_dir).withColumn("content", F.concat("content", F.lit(SITE))))
 
 PATHS = [("docs/a.mdx",), ("docs/snippets/x.mdx",), ("my-snippets-guide/b.mdx",), ("node_modules/p/c.mdx",), (".git/d.mdx",), ("docs/.hidden/e.mdx",), ("build/f.mdx",), ("docs/g.md",), ("docs/sub/a.mdx",), ("h.mdx",)]
 P_SQL = f"({values_sql('path', PATHS)})"

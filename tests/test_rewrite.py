@@ -135,3 +135,22 @@ def test_dialects():
     assert D.site_front_matter("---\nsidebar_label: S\n---\nx") == "---\nsidebarTitle: S\n---\nx"
     assert D.theme_imports("import T from '@theme/Tabs';\nx") == "x" and D.comments("<!-- a -->\n```\n<!-- b -->\n```") == "{/* a */}\n```\n<!-- b -->\n```"
     assert D.slug_of("---\nid: a\nslug: /b\n---\n") == "/b" and D.slug_of("x") is None
+
+
+def test_site_dialect_steps():
+    from quarrymill.operators import site_dialect as S
+
+    fenced = ":::note\n```js\n:::tip\n:::\n```\nafter\n:::\n:::Odd_1[a [b]]  \nx\n:::\n::: note\n:::warn[\n:::tip\nopen"
+    assert D.admonitions(fenced) == "<Note>\n```js\n:::tip\n:::\n```\nafter\n</Note>\n<Note>\n**a [b]**\n\nx\n</Note>\n::: note\n:::warn[\n<Tip>\nopen"
+    assert D.accordions('<details>\n  <summary> a "b"\nc </summary>x</details><details><summary>same line</summary></details>') == '<Accordion title="a &quot;b&quot;\nc">x</Accordion><details><summary>same line</summary></Accordion>'
+    assert D.link_extensions("[a](x.mdx) [b](.md) [c](y.mdx#s) [d](z.md?q) <A href='u.md#v'> [e](http://h/w.md)") == "[a](x) [b](.md) [c](y#s) [d](z.md?q) <A href='u#v'> [e](http://h/w)"
+    assert D.theme_imports("import A from '@theme/A';\n\n \nimport B from \"./b\"\nimport C from '@docusaurus/C'") == "import B from \"./b\"\nimport C from '@docusaurus/C'"
+    assert D.placeholders('\\{@codeBlock\\: Foo.bar \\} {@codeBlock: X} {@doc: "L|u://v"} {@other: y}') == '{/* TODO: codeBlock: Foo.bar */} {/* TODO: codeBlock: X */} [L](u://v) {@other: y}'
+    assert D.heading_anchors("## A b {#x-y}\n```\n# c {#d}\n```\n####### e {#f}\n#g {#h}\n### i {#}\n# {#j}\n# k{#l}") == '<Heading level="2" id="x-y">A b</Heading>\n```\n# c {#d}\n```\n####### e {#f}\n#g {#h}\n### i {#}\n# {#j}\n# k{#l}'
+    assert [S.snippet_path(p) for p in ("a/_b.md", "_snippets/c.mdx", "d/_snippets/e/f.md", "g/h.md", "i.png")] == ["snippets/a/_b.mdx", "snippets/_snippets/c.mdx", "snippets/d/_snippets/e/f.mdx", "g/h.mdx", "i.png"]
+    imports = "import A from './_a.md';\nimport B from \"../_snippets/b.mdx\"\nimport C from './c.md'\nimport D from 'pkg'"
+    assert S.changed(S.snippet_import_edits, "x/y/doc.md")(imports) == "import A from '/snippets/x/y/_a.md x'\n".replace("_a.md x", "_a.mdx") + "import B from \"/snippets/x/_snippets/b.mdx\"\nimport C from './c.md'\nimport D from 'pkg'"
+    images = "![a](/i.png) <Frame>![b](c.png)</Frame> ![d](../../e.png#f) ![g](h.png) ![k](l.md) ![m](https://n/o.png)\n```\n![p](/q.png)\n```"
+    got = S.changed(S.image_edits, "x/doc.md", lambda p: p == "x/h.png")(images)
+    assert got == "<Frame>![a](/static/i.png)</Frame> <Frame>![b](c.png)</Frame> <Frame>![d](/static/e.png#f)</Frame> <Frame>![g](h.png)</Frame> <Frame>![k](l.md)</Frame> <Frame>![m](https://n/o.png)</Frame>\n```\n![p](/q.png)\n```"
+    assert D.from_site("# T\n\n:::tip\nx\n:::\n", "a.md") == ("---\ntitle: T\n---\n\n<Tip>\nx\n</Tip>\n", 2)
