@@ -293,19 +293,23 @@ class Decoder:
         return b"".join(map(get, ids.tolist()))
 
 
+#: Pieces of text that a task's table keeps with their ids.
+PIECES = 600_000
+
+
 class Codec:
     """Encoder and decoder of one vocabulary and pre-token pattern, kept by worker processes between tasks."""
 
     kept: dict[str, Codec] = {}
 
-    def __init__(self, ranks: bytes, pattern: str) -> None:
+    def __init__(self, ranks: bytes, pattern: str, most: int = PIECES) -> None:
         import regex
 
         gc.set_threshold(200_000, 50, 100)  # the tables hold millions of objects and no cycles; walking them often costs a third of the time
         self.vocabulary = Vocabulary.parse(ranks)
         self.kind = np.uint16 if max(self.vocabulary.bytes) < 1 << 16 else np.uint32
         self.encoder, self.decoder = Encoder(self.vocabulary), Decoder(self.vocabulary.bytes)
-        self.pieces = Pieces(self.words, regex.compile(pattern).findall, self.kind)
+        self.pieces = Pieces(self.words, regex.compile(pattern).findall, self.kind, most=most)
         # The cuts of `Pieces` are borders of this pattern's pre-tokens; under another pattern texts are searched whole.
         self.cuts, self.find = pattern == PATTERN, regex.compile(pattern).findall
         self.digits = [str(i) for i in range(max(self.vocabulary.bytes) + 1)]
@@ -321,11 +325,11 @@ class Codec:
         return [np.frombuffer(b"".join(self.words(self.find(t))), self.kind) for t in texts.to_pylist()]
 
     @classmethod
-    def of(cls, ranks: bytes, pattern: str) -> Codec:
-        key = hashlib.sha256(ranks + pattern.encode()).hexdigest()
+    def of(cls, ranks: bytes, pattern: str, most: int = PIECES) -> Codec:
+        key = hashlib.sha256(ranks + f"{most} {pattern}".encode()).hexdigest()
         if key not in cls.kept:
             cls.kept.clear()
-            cls.kept[key] = cls(ranks, pattern)
+            cls.kept[key] = cls(ranks, pattern, most)
         return cls.kept[key]
 
 
@@ -361,16 +365,16 @@ def decode_ids(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_
     return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = PIECES) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): each whole text encoded, and its ids decoded again.
 
-    Nulls are empty texts, which have no tokens. One pass over the rows, no shuffle.
+    Nulls are empty texts, which have no tokens. ``most`` pieces of text are kept with their ids in a task's table. One pass over the rows, no shuffle.
     """
     with open(ranks_path, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        codec = Codec.of(sent.value, pattern)
+        codec = Codec.of(sent.value, pattern, most)
         digits, sha = codec.digits.__getitem__, hashlib.sha256
         for batch in by_bytes(batches):
             all_ids = codec.encode(whole_strings(batch.column(1)))
