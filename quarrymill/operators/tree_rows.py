@@ -25,7 +25,7 @@ ELEMENTS = (
 )
 NAMES = [c.split()[0] for c in ELEMENTS.split(", ")]
 KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.string()]
-#: Elements that one member of a family has at least, and members beside each other.
+#: Elements that one member of a family has at least, unless it has a class, and members beside each other.
 LEAST_SIZE, LEAST_ALIKE = 2, 2
 
 
@@ -101,7 +101,7 @@ def families(nodes: DataFrame) -> DataFrame:
     Selectors with the parent's name are tried only for pages where an element's own name isn't enough; where neither is, it is null.
     """
     alike = F.count("*").over(W.partitionBy("page_id", "parent", "shape"))
-    marked = cut(nodes.withColumn("family", F.when((alike >= LEAST_ALIKE) & (F.col("size") >= LEAST_SIZE) & (F.col("parent") >= 0), F.col("shape"))).drop("shape", "size", "depth"))
+    marked = cut(nodes.withColumn("family", F.when((alike >= LEAST_ALIKE) & ((F.col("size") >= LEAST_SIZE) | (F.size("classes") > 0)) & (F.col("parent") >= 0), F.col("shape"))).drop("shape", "size", "depth"))
     sizes = cut(marked.filter("family is not null").groupBy("page_id", "family").agg(F.first("tag").alias("tag"), F.count("*").alias("members")))
     own = cut(unique(marked, sizes.select("page_id", "family", "members"), compounds("tag", "classes")))
     left = sizes.select("page_id", "family", "members").join(own, ["page_id", "family"], "left_anti")

@@ -37,7 +37,7 @@ def families_by_hand(html):
     found = collections.defaultdict(list)
     for k, n in enumerate(nodes):
         alike = [c for c in n.parent.children if not isinstance(c, str) and shape(c) == shape(n)]
-        if n.parent.tag and len(alike) >= 2 and len(list(n.walk())) >= 1:
+        if n.parent.tag and len(alike) >= 2 and (n.classes() or list(n.walk())):
             found[shape(n)].append(k)
     out = []
     for members in found.values():
