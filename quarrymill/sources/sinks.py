@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import doctree
+
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
@@ -19,8 +23,8 @@ def write_changed(before: DataFrame, after: DataFrame, path: str, dry_run: bool
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
-    """Documents (path, content) as text, partitioned by their path."""
-    docs.select(F.regexp_replace("path", "[^A-Za-z0-9._-]", "_").alias("name"), "content").write.mode("overwrite").partitionBy("name").text(path)
+    """Documents (path, content) as files at their paths below ``path``, a folder or a URI; all of them or none."""
+    doctree.write(docs.select("path", "content"), path if "://" in path else f"file://{os.path.abspath(path)}")
 
 
 def link_markdown(results: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions import text, urls
 from quarrymill.operators import edits, fill, nested, rewrite, samples, search, specs, table_functions, tree_rows
 from quarrymill.operators.html_tree import parse
-from quarrymill.sources import doctree
+from quarrymill.sources import doctree, sinks
 
 # --- component families
 
@@ -167,6 +167,11 @@ def test_attempts_that_do_not_count_are_dropped(tmp_path):
     assert tree(tmp_path / "out") == {"a/x": b"kept"} and not (tmp_path / "out/_staging").exists()
 
 
+def test_documents_with_alike_paths_stay_apart(spark, tmp_path):
+    sinks.write_documents(spark.createDataFrame([("a/b.mdx", "1"), ("a_b.mdx", "2")], "path string, content string"), str(tmp_path / "out"))
+    assert tree(tmp_path / "out") == {"a/b.mdx": b"1", "a_b.mdx": b"2"}
+
+
 def test_other_files_are_copied_through(spark, tmp_path):
     (tmp_path / "in/img").mkdir(parents=True)
     (tmp_path / "in/node_modules").mkdir()
