@@ -128,13 +128,14 @@ def duplicate_ordinals(found: DataFrame, page: str = "path") -> DataFrame:
     return found.withColumn("ordinal", F.row_number().over(W.partitionBy(page, same).orderBy("pos")).cast("long"))
 
 
-def matched_headings(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Headings of one rendered page (pos, text, id) joined with another's of the same text and ordinal; an ordinal beyond the last takes the last."""
-    key = lambda df, side: duplicate_ordinals(df.withColumn("_page", F.lit(1)), "_page").select(F.lower("text").alias("key"), F.col("ordinal").alias(f"{side}_ordinal"), F.col("text").alias(f"{side}_text"), F.col("id").alias(f"{side}_id"), F.col("pos").alias(f"{side}_pos"))
+def matched_headings(source: DataFrame, target: DataFrame, pair: str | None = None) -> DataFrame:
+    """Headings of one rendered page (pos, text, id) joined with another's of the same text and ordinal; an ordinal beyond the last takes the last. Many pairs of pages are told apart by the column ``pair``."""
+    own = [pair] if pair else ["_pair"]
+    marked = lambda df: df if pair else df.withColumn("_pair", F.lit(1))
+    key = lambda df, side: duplicate_ordinals(marked(df), *own).select(*own, F.lower("text").alias("key"), F.col("ordinal").alias(f"{side}_ordinal"), F.col("id").alias(f"{side}_id"), F.col("pos").alias(f"{side}_pos"))
     left, right = key(source, "source"), key(target, "target")
-    sizes = right.groupBy("key").agg(F.count("*").alias("n"))
-    joined = left.join(sizes, "key").withColumn("target_ordinal", F.least("source_ordinal", "n"))
-    return joined.join(right, ["key", "target_ordinal"]).select("key", "source_pos", "source_ordinal", "target_pos", "target_id")
+    joined = left.join(right.groupBy(*own, "key").agg(F.count("*").alias("n")), [*own, "key"]).withColumn("target_ordinal", F.least("source_ordinal", "n"))
+    return joined.join(right, [*own, "key", "target_ordinal"]).select(*([pair] if pair else []), "key", "source_pos", "source_ordinal", "target_pos", "target_id")
 
 
 def fuzzy(wanted: DataFrame, rendered: DataFrame) -> DataFrame:

@@ -24,3 +24,9 @@ def batches(df: DataFrame, by: str, size: int) -> DataFrame:
     from ..sources.shared import numbered
 
     return numbered(df, by).select(*df.columns, (F.floor(F.col("slot") / size) + 1).cast("long").alias("batch"))
+
+
+def redirected(probes: DataFrame) -> DataFrame:
+    """(status, destination, retry) of answers (status, location): where a redirect leads, without fragment, and whether the server asked to wait."""
+    moved = F.col("status").isin(301, 302, 307, 308)
+    return probes.select("status", F.when(moved, F.substring_index("location", "#", 1)).alias("destination"), (F.col("status") == 429).alias("retry"))

@@ -9,7 +9,7 @@ from ..functions import text
 from ..functions.dual import Dual, named, quoted
 from ..operators import mdx_links, nav, rewrite, search
 from . import views
-from .views import MDX_DOCS, mdx_docs, rows, values_sql
+from .views import MDX_DOCS, dealt, dealt_sql, mdx_docs, rows, values_sql
 
 Q: dict = {}
 S: dict = {}
@@ -63,8 +63,9 @@ T = named("t")
 text_query("text_slugs", {"kebab": text.kebab(T), "nav": text.slug_nav(T), "plain": text.slug_plain(T)})
 text_query("text_headings", {"heading": text.heading_text(T)})
 text_query("text_yaml", {"yaml": text.yaml_value(T), "label": text.human(T)})
-Q["language_aliases"] = lambda spark, sf_dir: rows(spark, "t string", [(x,) for x in [*text.LANGUAGES, "JS", "Python", "", "zig"]]).select("t", text.language(T).column.alias("language"))
-S["language_aliases"] = f"SELECT t, {text.language(T).sql} AS language FROM ({values_sql('t', [(x,) for x in [*text.LANGUAGES, 'JS', 'Python', '', 'zig']])})"
+ALIASES = [(x,) for x in [*text.LANGUAGES, "JS", "Python", "", "zig", "lang-~"]]
+Q["language_aliases"] = lambda spark, sf_dir: dealt(spark, sf_dir, "t string", ALIASES).groupBy("t", text.language(T).column.alias("language")).agg(F.count("*").alias("n"))
+S["language_aliases"] = f"SELECT t, {text.language(T).sql} AS language, CAST(count(*) AS BIGINT) AS n FROM ({dealt_sql('t string', ALIASES)}) GROUP BY 1, 2"
 
 Q["mdx_headings"] = lambda spark, sf_dir: mdx_links.headings(mdx_docs(spark, sf_dir))
 S["mdx_headings"] = mdx_links.headings_sql(MDX_DOCS)
@@ -82,19 +83,24 @@ S["link_failures_by_file"] = f"SELECT path, string_agg(line || ':' || href, ' '
 Q["mdx_duplicate_headings"] = lambda spark, sf_dir: mdx_links.duplicate_ordinals(mdx_links.headings(mdx_docs(spark, sf_dir))).filter("ordinal > 1").select("path", "pos", "text", "ordinal")
 S["mdx_duplicate_headings"] = f"SELECT path, pos, text, CAST(r AS BIGINT) AS ordinal FROM (SELECT *, row_number() OVER (PARTITION BY path, lower(text) ORDER BY pos) AS r FROM ({S['mdx_headings']})) WHERE r > 1"
 
-REN = f"({values_sql(views.RENDERED_COLUMNS, views.RENDERED)})"
+RENDERED = (views.RENDERED_SCHEMA, views.RENDERED, ("pair",))
+REN = f"({dealt_sql(*RENDERED)})"
 
 
 def heading_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = rows(spark, views.RENDERED_SCHEMA, views.RENDERED)
-    return mdx_links.matched_headings(r.filter("page = '/a'"), r.filter("page = '/b'").unionByName(r.filter("page = '/a' and pos = 1")))
+    """In each pair of pages: the first's headings by the second's, which begins with one more of the first."""
+    r = dealt(spark, sf_dir, *RENDERED)
+    first = r.page.startswith("/a")
+    return mdx_links.matched_headings(r.filter(first), r.filter(~first | (r.pos == 1)), "pair")
 
 
 Q["heading_match_by_ordinal"] = heading_match
-S["heading_match_by_ordinal"] = f"WITH a AS (SELECT *, lower(text) AS key, row_number() OVER (PARTITION BY lower(text) ORDER BY pos) AS o FROM {REN} WHERE page = '/a'), b AS (SELECT *, lower(text) AS key, row_number() OVER (PARTITION BY lower(text) ORDER BY pos) AS o, count(*) OVER (PARTITION BY lower(text)) AS n FROM {REN} WHERE page = '/b' OR page = '/a' AND pos = 1) SELECT a.key, CAST(a.pos AS BIGINT) AS source_pos, CAST(a.o AS BIGINT) AS source_ordinal, CAST(b.pos AS BIGINT) AS target_pos, b.id AS target_id FROM a JOIN b ON a.key = b.key AND b.o = least(a.o, b.n)"
-FUZZY = [("/a", "set up"), ("/a", "Install command line tool"), ("/a", "usage and more"), ("/b", "install the command tool"), ("/b", "notes usage"), ("/b", "zzz"), ("/b", "up")]
-Q["mdx_fuzzy_heading"] = lambda spark, sf_dir: mdx_links.fuzzy(rows(spark, "page string, link_text string", FUZZY), rows(spark, views.RENDERED_SCHEMA, views.RENDERED))
-S["mdx_fuzzy_heading"] = f"""WITH w AS ({values_sql('page, link_text', FUZZY)}), j AS (SELECT w.page, w.link_text, r.text, r.id, r.pos, lower(trim(r.text)) AS h, lower(trim(w.link_text)) AS t FROM w JOIN {REN} r ON r.page = w.page),
+_own = lambda where: f"SELECT *, lower(text) AS key, row_number() OVER (PARTITION BY pair, lower(text) ORDER BY pos) AS o, count(*) OVER (PARTITION BY pair, lower(text)) AS n FROM {REN} WHERE {where}"
+S["heading_match_by_ordinal"] = f"""WITH a AS ({_own("page LIKE '/a%'")}), b AS ({_own("page LIKE '/b%' OR pos = 1")})
+SELECT a.pair, a.key, a.pos AS source_pos, CAST(a.o AS BIGINT) AS source_ordinal, b.pos AS target_pos, b.id AS target_id FROM a JOIN b ON a.pair = b.pair AND a.key = b.key AND b.o = least(a.o, b.n)"""
+FUZZY = ("page string, link_text string", [("/a~", "set up"), ("/a~", "Install command line tool"), ("/a~", "usage and more"), ("/b~", "install the command tool"), ("/b~", "notes usage"), ("/b~", "zzz"), ("/b~", "up")])
+Q["mdx_fuzzy_heading"] = lambda spark, sf_dir: mdx_links.fuzzy(dealt(spark, sf_dir, *FUZZY), dealt(spark, sf_dir, *RENDERED))
+S["mdx_fuzzy_heading"] = f"""WITH w AS ({dealt_sql(*FUZZY)}), j AS (SELECT w.page, w.link_text, r.text, r.id, r.pos, lower(trim(r.text)) AS h, lower(trim(w.link_text)) AS t FROM w JOIN {REN} r ON r.page = w.page),
 k AS (SELECT *, len(string_split(t, ' ')) AS n, len(list_filter(string_split(t, ' '), lambda x: list_contains(string_split(h, ' '), x))) AS hits FROM j),
 s AS (SELECT *, CASE WHEN h = t THEN 100 WHEN contains(h, t) THEN 80 WHEN contains(t, h) THEN 70 WHEN hits = n AND n >= 2 THEN 60 WHEN hits >= ceil(n * 0.7) AND n >= 3 THEN 50 END AS score FROM k)
 SELECT page, link_text, text, id, CAST(score AS BIGINT) AS score FROM s WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page, link_text ORDER BY score DESC, pos) = 1"""
@@ -129,29 +135,34 @@ S["fix_anchor_lines"] = f"SELECT d.path, CAST(count(*) AS BIGINT) AS fixes, stri
 
 # --- navigation -------------------------------------------------------------------------------
 
-NAV = f"({values_sql(views.NAV_COLUMNS, views.NAV)})"
+#: A navigation of its own for each block of documents.
+NAVS = (views.NAV_SCHEMA, views.NAV, views.NAV_IDS)
+NAV = f"({dealt_sql(*NAVS)})"
 
 
-def nav_frame(spark: SparkSession) -> DataFrame:
-    return rows(spark, views.NAV_SCHEMA, views.NAV)
+def nav_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(spark, sf_dir, *NAVS)
 
 
 SLUG = lambda c: text.slug_nav(named(c)).sql
 WALK = f"WITH RECURSIVE n AS (SELECT * FROM {NAV}), w AS (SELECT node_id, kind, name, page, CAST([] AS VARCHAR[]) AS folders, lpad(CAST(ord AS VARCHAR), 4, '0') AS place FROM n WHERE parent_id IS NULL UNION ALL SELECT n.node_id, n.kind, n.name, n.page, CASE WHEN w.name IS NULL THEN w.folders ELSE list_append(w.folders, w.name) END, w.place || '.' || lpad(CAST(n.ord AS VARCHAR), 4, '0') FROM n JOIN w ON n.parent_id = w.node_id)"
-Q["nav_pages"] = lambda spark, sf_dir: nav.leaves(nav_frame(spark))
+Q["nav_pages"] = lambda spark, sf_dir: nav.leaves(nav_frame(spark, sf_dir))
 S["nav_pages"] = f"WITH RECURSIVE n AS (SELECT * FROM {NAV}), w AS (SELECT * FROM n WHERE parent_id IS NULL UNION ALL SELECT n.* FROM n JOIN w ON n.parent_id = w.node_id WHERE n.kind IN ({', '.join(map(quoted, nav.CHECK_KEYS))})) SELECT page, min(node_id) AS node_id FROM w WHERE page IS NOT NULL GROUP BY 1"
-Q["nav_paths"] = lambda spark, sf_dir: nav.new_paths(nav.walk(nav_frame(spark)))
+Q["nav_paths"] = lambda spark, sf_dir: nav.new_paths(nav.walk(nav_frame(spark, sf_dir)))
 S["nav_paths"] = f"""{WALK}, f AS (SELECT page, list_filter(list_transform(folders, lambda x: {text.slug_nav(named('x')).sql}), lambda x: x <> '') AS fs, string_split(page, '/') AS seg FROM w WHERE page IS NOT NULL),
 g AS (SELECT page, fs, seg, CASE WHEN len(fs) > 0 AND {text.slug_nav(named('seg[-1]')).sql} = fs[-1] THEN 'index' ELSE seg[-1] END AS file FROM f)
 SELECT page, array_to_string(list_concat(list_concat(CASE WHEN len(seg) > 1 THEN [seg[1]] ELSE CAST([] AS VARCHAR[]) END, fs), [file]), '/') AS new_path FROM g"""
-Q["nav_moves"] = lambda spark, sf_dir: nav.moves(nav.new_paths(nav.walk(nav_frame(spark))))
+Q["nav_moves"] = lambda spark, sf_dir: nav.moves(nav.new_paths(nav.walk(nav_frame(spark, sf_dir))))
 S["nav_moves"] = f"SELECT '/' || page AS source, '/' || new_path AS destination FROM ({S['nav_paths']}) WHERE page <> new_path"
-TITLES = [("start/advanced-use", "Advanced Use"), ("api/models", "The Models"), ("deep/deeper", "Deeper"), ("start/intro", "Getting Started")]
-Q["nav_promotions"] = lambda spark, sf_dir: nav.promotions(nav_frame(spark), rows(spark, "page string, title string", TITLES))
-S["nav_promotions"] = f"""WITH n AS (SELECT * FROM {NAV}), t AS ({values_sql('page, title', TITLES)}), firsts AS (SELECT parent_id, page FROM n QUALIFY row_number() OVER (PARTITION BY parent_id ORDER BY ord) = 1)
+TITLES = ("page string, title string", [("start/advanced-use-~", "Advanced use ~"), ("api/models-~", "The Models"), ("deep/deeper-~", "Deeper ~"), ("start/intro-~", "Getting Started ~")])
+Q["nav_promotions"] = lambda spark, sf_dir: nav.promotions(nav_frame(spark, sf_dir), dealt(spark, sf_dir, *TITLES))
+S["nav_promotions"] = f"""WITH n AS (SELECT * FROM {NAV}), t AS ({dealt_sql(*TITLES)}), firsts AS (SELECT parent_id, page FROM n QUALIFY row_number() OVER (PARTITION BY parent_id ORDER BY ord) = 1)
 SELECT g.node_id, g.name, f.page AS root FROM n g JOIN n p ON p.node_id = g.parent_id JOIN firsts f ON f.parent_id = g.node_id JOIN t ON t.page = f.page
 WHERE g.name IS NOT NULL AND g.kind = 'pages' AND p.kind IN ('groups', 'pages') AND f.page IS NOT NULL AND {SLUG('t.title')} = {SLUG('g.name')}"""
-Q["nav_missing"] = lambda spark, sf_dir: nav.missing(nav.leaves(nav_frame(spark)), rows(spark, "path string", [("start/intro.mdx",), ("api/overview/index.mdx",), ("community.mdx",)]))
-S["nav_missing"] = f"SELECT page FROM ({S['nav_pages']}) WHERE page NOT IN ('start/intro', 'api/overview', 'community')"
-Q["nav_titles"] = lambda spark, sf_dir: nav.titles(nav.leaves(nav_frame(spark)), rows(spark, "path string, title string", [("start/intro.mdx", "Intro"), ("other/models.mdx", "Models"), ("a/tuning.mdx", "T1"), ("b/tuning.mdx", "T2")]))
-S["nav_titles"] = f"SELECT page, CASE WHEN page = 'start/intro' THEN 'Intro' WHEN page LIKE '%/models' THEN 'Models' END AS title FROM ({S['nav_pages']})"
+FILES = ("path string, title string", [("start/intro-~.mdx", "Intro"), ("api/overview-~/index.mdx", "Overview"), ("community-~.mdx", "Community"), ("other/models-~.mdx", "Models"), ("a/tuning-~.mdx", "T1"), ("b/tuning-~.mdx", "T2")])
+Q["nav_missing"] = lambda spark, sf_dir: nav.missing(nav.leaves(nav_frame(spark, sf_dir)), dealt(spark, sf_dir, *FILES))
+S["nav_missing"] = f"SELECT page FROM ({S['nav_pages']}) WHERE page || '.mdx' NOT IN (SELECT replace(path, '/index.mdx', '.mdx') FROM ({dealt_sql(*FILES)}))"
+Q["nav_titles"] = lambda spark, sf_dir: nav.titles(nav.leaves(nav_frame(spark, sf_dir)), dealt(spark, sf_dir, *FILES))
+_name = lambda c: f"regexp_extract({c}, '([^/]+?)(?:\\.mdx)?$', 1)"
+S["nav_titles"] = f"""WITH f AS ({dealt_sql(*FILES)}), u AS (SELECT {_name('path')} AS name, min(title) AS title FROM f GROUP BY 1 HAVING count(*) = 1)
+SELECT p.page, coalesce(f.title, u.title) AS title FROM ({S['nav_pages']}) p LEFT JOIN f ON f.path = p.page || '.mdx' LEFT JOIN u ON u.name = {_name('p.page')}"""

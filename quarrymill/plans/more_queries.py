@@ -1,4 +1,4 @@
-"""Registered queries: conversion, dialects, sources and sinks on fixed rows, and operator shapes on the larger tables (``shape_``)."""
+"""Registered queries: conversion, dialects, sources and sinks, and operator shapes on the larger tables (``shape_``)."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from ..operators import convert, dialects, mdx_links, resume, rewrite
 from ..sources import files, sinks
 from .doc_queries import V
 from .page_queries import pages_rich, spread
-from .views import MDX_DOCS, mdx_docs, rows, values_sql
+from .views import MDX_DOCS, dealt, dealt_sql, mdx_docs
 
 Q: dict = {}
 S: dict = {}
@@ -24,8 +24,8 @@ SITE = "\n:::note[Read]\nbody\n:::\n<Tabs groupId=\"x\">\n<TabItem value=\"a\" l
 Q["hub_to_mdx"] = lambda spark, sf_dir: rewrite.apply(mdx_docs(spark, sf_dir).withColumn("content", F.concat("content", F.lit(HUB))), dialects.from_hub)
 Q["site_to_mdx"] = lambda spark, sf_dir: dialects.convert_site(mdx_docs(spark, sf_dir).withColumn("content", F.concat("content", F.lit(SITE))))
 
-PATHS = [("docs/a.mdx",), ("docs/snippets/x.mdx",), ("my-snippets-guide/b.mdx",), ("node_modules/p/c.mdx",), (".git/d.mdx",), ("docs/.hidden/e.mdx",), ("build/f.mdx",), ("docs/g.md",), ("docs/sub/a.mdx",), ("h.mdx",)]
-P_SQL = f"({values_sql('path', PATHS)})"
+PATHS = ("path string", [("docs/a-~.mdx",), ("docs/snippets/x-~.mdx",), ("my-snippets-guide/b-~.mdx",), ("node_modules/p/c-~.mdx",), (".git/d-~.mdx",), ("docs/.hidden/e-~.mdx",), ("build/f-~.mdx",), ("docs/g-~.md",), ("docs/sub/a-~.mdx",), ("h-~.mdx",)])
+P_SQL = f"({dealt_sql(*PATHS)})"
 MDX_ONLY = "path LIKE '%.mdx'"
 FOLDERS = "string_split(regexp_replace(path, '/?[^/]*$', ''), '/')"
 for _rule, _where in {
@@ -35,33 +35,35 @@ for _rule, _where in {
     "visible": f"NOT regexp_matches(path, '(^|/)\\.[^/]') AND NOT list_contains({FOLDERS}, 'node_modules')",
     "site": f"NOT list_has_any({FOLDERS}, ['node_modules', '.git', '.docusaurus', 'build', 'dist', '.cache'])",
 }.items():
-    Q[f"walk_{_rule}"] = lambda spark, sf_dir, r=_rule: files.walk(rows(spark, "path string", PATHS), r)
+    Q[f"walk_{_rule}"] = lambda spark, sf_dir, r=_rule: files.walk(dealt(spark, sf_dir, *PATHS), r)
     S[f"walk_{_rule}"] = f"SELECT path FROM {P_SQL} WHERE {MDX_ONLY} AND {_where}"
-Q["filename_map"] = lambda spark, sf_dir: files.by_name(files.walk(rows(spark, "path string", PATHS), "fix"))
+Q["filename_map"] = lambda spark, sf_dir: files.by_name(files.walk(dealt(spark, sf_dir, *PATHS), "fix"))
 S["filename_map"] = f"SELECT regexp_extract(path, '([^/]+?)(?:\\.mdx)?$', 1) AS name, string_agg(path, ',' ORDER BY path) AS paths, CAST(count(*) AS BIGINT) AS n FROM ({S['walk_fix']}) GROUP BY 1"
-LINES = [("x ⎿ /b#frag",), (" ⎿  /a ",), ("a ⎿ b ⎿ /c/d",), ("no mark /z",), ("⎿ relative",), ("⎿ /a",)]
-Q["broken_link_report"] = lambda spark, sf_dir: files.broken_links(rows(spark, "line string", LINES))
-S["broken_link_report"] = f"SELECT DISTINCT string_split(p, '#')[1] AS path FROM (SELECT trim(string_split(line, '⎿')[-1]) AS p FROM ({values_sql('line', LINES)}) WHERE contains(line, '⎿')) WHERE starts_with(p, '/')"
-ANSWERS = [("u1", '{"article": {"body": "B", "slug": "s"}, "t": "T"}'), ("u2", '{"article": {"body": "B"}}'), ("u3", "{}"), ("u4", '{"article": {"slug": "only"}}')]
-Q["api_articles"] = lambda spark, sf_dir: files.articles(rows(spark, "url string, body string", ANSWERS), "article.body", "article.slug", "t")
-S["api_articles"] = f"SELECT url, json_extract_string(body, '$.article.body') AS content, json_extract_string(body, '$.article.slug') AS path, json_extract_string(body, '$.t') AS title, CASE WHEN json_extract_string(body, '$.article.body') IS NULL THEN 'missing article.body' WHEN json_extract_string(body, '$.article.slug') IS NULL THEN 'missing article.slug' END AS error FROM ({values_sql('url, body', ANSWERS)})"
-COOKIES, HOSTS = [("a", "1", ".example.org"), ("b", "2", "docs.example.org"), ("c", "3", "ample.org"), ("d", "4", "org")], [("docs.example.org",), ("example.org",), ("x.net",)]
-Q["session_cookies"] = lambda spark, sf_dir: files.cookies_for(rows(spark, "name string, value string, domain string", COOKIES), rows(spark, "host string", HOSTS))
-S["session_cookies"] = f"WITH c AS (SELECT name, value, ltrim(domain, '.') AS d FROM ({values_sql('name, value, domain', COOKIES)})) SELECT host, name, value FROM ({values_sql('host', HOSTS)}) JOIN c ON host = d OR host LIKE '%.' || d"
-STATUS = [(301, "/n#x", 1), (302, "/m", 1), (308, None, 1), (200, "/o", 1), (429, None, 3)]
-Q["redirect_probe"] = lambda spark, sf_dir: rows(spark, "status long, location string, tries long", STATUS).select("status", F.when(F.col("status").isin(301, 302, 307, 308), F.substring_index("location", "#", 1)).alias("destination"), (F.col("status") == 429).alias("retry"))
-S["redirect_probe"] = f"SELECT CAST(status AS BIGINT) AS status, CASE WHEN status IN (301, 302, 307, 308) THEN string_split(location, '#')[1] END AS destination, status = 429 AS retry FROM ({values_sql('status, location, tries', STATUS)})"
-SITEMAPS = [("/sitemap.xml", "<sitemapindex><sitemap><loc>/s1.xml</loc></sitemap><sitemap><loc>/s2.xml</loc></sitemap></sitemapindex>"), ("/s1.xml", "<urlset><url><loc>/a</loc></url><url><loc> /b </loc></url></urlset>"), ("/s2.xml", "<sitemapindex><loc>/s3.xml</loc></sitemapindex>"), ("/s3.xml", "<urlset><loc>/a</loc><loc>/c</loc></urlset>"), ("/s4.xml", "<urlset><loc>/never</loc></urlset>")]
+LINES = ("line string", [("x ⎿ /b-~#frag",), (" ⎿  /a ",), ("a ⎿ b ⎿ /c/d-~",), ("no mark /z",), ("⎿ relative-~",), ("⎿ /a-~",)])
+Q["broken_link_report"] = lambda spark, sf_dir: files.broken_links(dealt(spark, sf_dir, *LINES))
+S["broken_link_report"] = f"SELECT DISTINCT string_split(p, '#')[1] AS path FROM (SELECT trim(string_split(line, '⎿')[-1]) AS p FROM ({dealt_sql(*LINES)}) WHERE contains(line, '⎿')) WHERE starts_with(p, '/')"
+ANSWERS = ("url string, body string", [("u1-~", '{"article": {"body": "B", "slug": "s-~"}, "t": "T"}'), ("u2-~", '{"article": {"body": "B"}}'), ("u3-~", "{}"), ("u4-~", '{"article": {"slug": "only"}}')])
+Q["api_articles"] = lambda spark, sf_dir: files.articles(dealt(spark, sf_dir, *ANSWERS), "article.body", "article.slug", "t")
+S["api_articles"] = f"SELECT url, json_extract_string(body, '$.article.body') AS content, json_extract_string(body, '$.article.slug') AS path, json_extract_string(body, '$.t') AS title, CASE WHEN json_extract_string(body, '$.article.body') IS NULL THEN 'missing article.body' WHEN json_extract_string(body, '$.article.slug') IS NULL THEN 'missing article.slug' END AS error FROM ({dealt_sql(*ANSWERS)})"
+COOKIES = ("name string, value string, domain string", [("a", "1", ".example~.org"), ("b", "2", "docs.example~.org"), ("c", "3", "ample~.org"), ("d-~", "4", "site~.net")])
+HOSTS = ("host string", [("docs.example~.org",), ("example~.org",), ("x.site~.net",)])
+Q["session_cookies"] = lambda spark, sf_dir: files.cookies_for(dealt(spark, sf_dir, *COOKIES), dealt(spark, sf_dir, *HOSTS))
+S["session_cookies"] = f"WITH c AS (SELECT name, value, ltrim(domain, '.') AS d FROM ({dealt_sql(*COOKIES)})) SELECT host, name, value FROM ({dealt_sql(*HOSTS)}) JOIN c ON host = d OR host LIKE '%.' || d"
+STATUS = ("status long, location string", [(301, "/n-~#x"), (302, "/m-~"), (308, None), (200, "/o-~"), (429, None)])
+Q["redirect_probe"] = lambda spark, sf_dir: resume.redirected(dealt(spark, sf_dir, *STATUS))
+S["redirect_probe"] = f"SELECT CAST(status AS BIGINT) AS status, CASE WHEN status IN (301, 302, 307, 308) THEN string_split(location, '#')[1] END AS destination, status = 429 AS retry FROM ({dealt_sql(*STATUS)})"
+SITEMAPS = ("url string, body string", [("/sitemap-~.xml", "<sitemapindex><sitemap><loc>/s1-~.xml</loc></sitemap><sitemap><loc>/s2-~.xml</loc></sitemap></sitemapindex>"), ("/s1-~.xml", "<urlset><url><loc>/a-~</loc></url><url><loc> /b-~ </loc></url></urlset>"), ("/s2-~.xml", "<sitemapindex><loc>/s3-~.xml</loc></sitemapindex>"), ("/s3-~.xml", "<urlset><loc>/a-~</loc><loc>/c</loc></urlset>"), ("/s4-~.xml", "<urlset><loc>/never</loc></urlset>")])
 
 
 def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import frontier
 
-    return frontier.sitemap_urls(rows(spark, "url string, body string", SITEMAPS), rows(spark, "url string", [("/sitemap.xml",)]))
+    maps = dealt(spark, sf_dir, *SITEMAPS)
+    return frontier.sitemap_urls(maps, maps.filter(maps.url.startswith("/sitemap")).select("url"))
 
 
 Q["sitemap_urls"] = sitemap_urls
-S["sitemap_urls"] = f"WITH RECURSIVE d AS ({values_sql('url, body', SITEMAPS)}), l AS (SELECT url, contains(body, '<sitemapindex') AS idx, unnest(regexp_extract_all(body, '<loc>\\s*([^<\\s]+)\\s*</loc>', 1)) AS loc FROM d), r AS (SELECT '/sitemap.xml' AS url, 0 AS n UNION SELECT l.loc, r.n + 1 FROM r JOIN l ON l.url = r.url AND l.idx WHERE r.n < 3) SELECT DISTINCT l.loc AS url FROM r JOIN l ON l.url = r.url AND NOT l.idx"
+S["sitemap_urls"] = f"WITH RECURSIVE d AS ({dealt_sql(*SITEMAPS)}), l AS (SELECT url, contains(body, '<sitemapindex') AS idx, unnest(regexp_extract_all(body, '<loc>\\s*([^<\\s]+)\\s*</loc>', 1)) AS loc FROM d), r AS (SELECT url, 0 AS n FROM d WHERE url LIKE '/sitemap%' UNION SELECT l.loc, r.n + 1 FROM r JOIN l ON l.url = r.url AND l.idx WHERE r.n < 3) SELECT DISTINCT l.loc AS url FROM r JOIN l ON l.url = r.url AND NOT l.idx"
 Q["link_report_markdown"] = lambda spark, sf_dir: sinks.link_markdown(mdx_links.validated(mdx_docs(spark, sf_dir)))
 S["link_report_markdown"] = f"""WITH v AS (SELECT * FROM {V})
 SELECT '' AS path, '# Link report\n\n- Total: ' || count(*) || '\n- Success: ' || count(*) FILTER (status = 'success') || '\n- Failure: ' || count(*) FILTER (status = 'failure') || '\n- Error: ' || count(*) FILTER (status = 'error') || '\n' || CASE WHEN count(*) FILTER (status <> 'success') = 0 THEN '\nAll links are valid.\n' ELSE '' END AS section FROM v
@@ -70,10 +72,9 @@ Q["parse_summary"] = lambda spark, sf_dir: sinks.parse_summary(rewrite.lint(mdx_
 CHANGED = "SELECT path, replace(content, '<br>', '<br />') AS content FROM (" + MDX_DOCS + ") WHERE contains(content, '<br>')"
 Q["changed_documents"] = lambda spark, sf_dir: sinks.write_changed(mdx_docs(spark, sf_dir), mdx_docs(spark, sf_dir).select("path", F.replace("content", F.lit("<br>"), F.lit("<br />")).alias("content")), "", dry_run=True)
 S["changed_documents"] = CHANGED
-SLUGS = [("a.md", '---\nslug: "/x"\nid: y\n---\n'), ("b.md", "---\nid: z\n---\n"), ("c.md", "no"), ("d.md", "---\ntitle: t\n---\n")]
-SLUG_OF = [rf"""(?ms)^---\n.*?^{k}\s*:\s*["']?([^"'\n]+)["']?\s*$""" for k in ("slug", "id")]
-Q["document_slugs"] = lambda spark, sf_dir: rows(spark, "path string, content string", SLUGS).select("path", F.coalesce(*[F.nullif(F.regexp_extract("content", p, 1), F.lit("")) for p in SLUG_OF]).alias("slug"))
-S["document_slugs"] = f"SELECT path, coalesce({', '.join(f'nullif(regexp_extract(content, {quoted(p)}, 1), {quoted(str())})' for p in SLUG_OF)}) AS slug FROM ({values_sql('path, content', SLUGS)})"
+SLUGS = ("path string, content string", [("a-~.md", '---\nslug: "/x-~"\nid: y\n---\n'), ("b-~.md", "---\nid: z-~\n---\n"), ("c-~.md", "no"), ("d-~.md", "---\ntitle: t\n---\n")])
+Q["document_slugs"] = lambda spark, sf_dir: files.slugs(dealt(spark, sf_dir, *SLUGS))
+S["document_slugs"] = f"SELECT path, coalesce({', '.join(f'nullif(regexp_extract(content, {quoted(p)}, 1), {quoted(str())})' for p in files.SLUG_OF)}) AS slug FROM ({dealt_sql(*SLUGS)})"
 
 # --- shapes ---------------------------------------------------------------------------------
 

@@ -78,21 +78,49 @@ def values_sql(columns: str, values: list[tuple]) -> str:
     return f"SELECT * FROM (VALUES {body}) AS t({columns})"
 
 
+def dealt(spark: SparkSession, sf_dir: str, schema: str, values: list[tuple], shifted: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each document: documents are taken in blocks of as many as there are ``values``, and each takes one of these. ``~`` in a text is the
+    block's number, which also moves the ``shifted`` columns, so every block holds all the cases once, under names of its own."""
+    n = len(values)
+    block, at = F.expr(f"doc_id div {n}"), (F.col("doc_id") % n + 1).cast("int")
+    docs, out = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), []
+    for i, (name, kind) in enumerate(c.split() for c in schema.split(", ")):
+        one = F.element_at(F.array(*[F.lit(v[i]).cast(kind) for v in values]), at)
+        one = F.replace(one, F.lit("~"), block.cast("string")) if kind == "string" else one + block * SHIFT if name in shifted else one
+        out.append(one.alias(name))
+    return docs.select(*out)
+
+
+#: How far a block's ids lie from the next one's.
+SHIFT = 1000
+
+
+def dealt_sql(schema: str, values: list[tuple], shifted: tuple[str, ...] = ()) -> str:
+    """The same rows in SQL."""
+    n, out = len(values), []
+    for i, (name, kind) in enumerate(c.split() for c in schema.split(", ")):
+        one = f"[{', '.join('NULL' if v[i] is None else quoted(v[i]) if isinstance(v[i], str) else str(v[i]) for v in values)}][doc_id % {n} + 1]"
+        one = f"replace({one}, '~', CAST(doc_id // {n} AS VARCHAR))" if kind == "string" else f"CAST({one} AS BIGINT)" + (f" + doc_id // {n} * {SHIFT}" if name in shifted else "")
+        out.append(f"{one} AS {name}")
+    return f"SELECT {', '.join(out)} FROM documents"
+
+
 #: node, parent, place among siblings, key that holds it, name, page.
 NAV = [
-    (1, None, 0, "root", None, None), (2, 1, 0, "tabs", "Guides", None), (3, 2, 0, "groups", "Getting Started", None), (4, 3, 0, "pages", None, "start/intro"),
-    (5, 3, 1, "pages", None, "start/install"), (6, 3, 2, "pages", "Advanced Use", None), (7, 6, 0, "pages", None, "start/advanced-use"), (8, 6, 1, "pages", None, "start/tuning"),
-    (9, 2, 1, "groups", "Reference", None), (10, 9, 0, "pages", None, "api/overview"), (11, 9, 1, "pages", "Models", None), (12, 11, 0, "pages", None, "api/models"),
-    (13, 11, 1, "pages", None, "api/fields"), (14, 1, 1, "anchors", "Community", None), (15, 14, 0, "pages", None, "community"), (16, 1, 2, "languages", "fr", None),
-    (17, 16, 0, "pages", None, "fr/intro"), (18, 1, 3, "dropdowns", "More", None), (19, 18, 0, "pages", "Deep", None), (20, 19, 0, "pages", "Deeper", None), (21, 20, 0, "pages", None, "deep/deeper"),
-    (22, 1, 4, "menu", "Menu", None), (23, 22, 0, "items", None, "menu/item"),
+    (1, None, 0, "root", None, None), (2, 1, 0, "tabs", "Guides ~", None), (3, 2, 0, "groups", "Getting Started ~", None), (4, 3, 0, "pages", None, "start/intro-~"),
+    (5, 3, 1, "pages", None, "start/install-~"), (6, 3, 2, "pages", "Advanced Use ~", None), (7, 6, 0, "pages", None, "start/advanced-use-~"), (8, 6, 1, "pages", None, "start/tuning-~"),
+    (9, 2, 1, "groups", "Reference ~", None), (10, 9, 0, "pages", None, "api/overview-~"), (11, 9, 1, "pages", "Models ~", None), (12, 11, 0, "pages", None, "api/models-~"),
+    (13, 11, 1, "pages", None, "api/fields-~"), (14, 1, 1, "anchors", "Community ~", None), (15, 14, 0, "pages", None, "community-~"), (16, 1, 2, "languages", "fr", None),
+    (17, 16, 0, "pages", None, "fr/intro-~"), (18, 1, 3, "dropdowns", "More", None), (19, 18, 0, "pages", "Deep ~", None), (20, 19, 0, "pages", "Deeper ~", None), (21, 20, 0, "pages", None, "deep/deeper-~"),
+    (22, 1, 4, "menu", "Menu", None), (23, 22, 0, "items", None, "menu/item-~"),
 ]
-NAV_COLUMNS = "node_id, parent_id, ord, kind, name, page"
+#: Ids that differ from block to block.
+NAV_IDS = ("node_id", "parent_id")
 NAV_SCHEMA = "node_id long, parent_id long, ord long, kind string, name string, page string"
 REDIRECTS = [(1, "/old/a", "/new/a"), (2, "/new/a", "/final/a"), (3, "/old", "/archive"), (4, "/docs/1/page-1", "/docs/one")]
 REDIRECT_COLUMNS, REDIRECT_SCHEMA = "ord, source, destination", "ord long, source string, destination string"
 RENDERED = [
-    ("/a", 0, "Set up", "set-up"), ("/a", 1, "Usage", "usage"), ("/a", 2, "Set up", "set-up-2"), ("/a", 3, "Install the command line tool", "install"),
-    ("/b", 0, "set up", "x1"), ("/b", 1, "Set Up", "x2"), ("/b", 2, "Install command tool quickly", "x3"), ("/b", 3, "Usage notes", "x4"),
+    (0, "/a~", 0, "Set up", "set-up"), (0, "/a~", 1, "Usage", "usage"), (0, "/a~", 2, "Set up", "set-up-2"), (0, "/a~", 3, "Install the command line tool", "install"),
+    (0, "/b~", 0, "set up", "x1"), (0, "/b~", 1, "Set Up", "x2"), (0, "/b~", 2, "Install command tool quickly", "x3"), (0, "/b~", 3, "Usage notes", "x4"),
 ]
-RENDERED_COLUMNS, RENDERED_SCHEMA = "page, pos, text, id", "page string, pos long, text string, id string"
+RENDERED_SCHEMA = "pair long, page string, pos long, text string, id string"

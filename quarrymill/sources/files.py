@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 SKIPPED = {"check": ["snippets", "node_modules", ".git"], "fix": ["node_modules", ".git"], "site": ["node_modules", ".git", ".docusaurus", "build", "dist", ".cache"]}
 
 
+#: Where a document's front matter names its address: by slug, else by id.
+SLUG_OF = [rf"""(?ms)^---\n.*?^{k}\s*:\s*["']?([^"'\n]+)["']?\s*$""" for k in ("slug", "id")]
+
+
+def slugs(docs: DataFrame) -> DataFrame:
+    """(path, slug) of documents (path, content); null where the front matter names none."""
+    return docs.select("path", F.coalesce(*[F.nullif(F.regexp_extract("content", p, 1), F.lit("")) for p in SLUG_OF]).alias("slug"))
+
+
 def within(path: Column, folders: list[str]) -> Column:
     """Whether one of a path's folders is among ``folders``."""
     return F.arrays_overlap(F.split(F.regexp_replace(path, "/?[^/]*$", ""), "/"), F.array(*[F.lit(f) for f in folders]))
