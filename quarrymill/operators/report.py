@@ -35,13 +35,17 @@ SUPPORTED = {
 }
 
 
-def totals(pages: DataFrame) -> DataFrame:
-    """One row of sums, flags and counts; sums over no pages are null."""
+def total_columns() -> list[Column]:
     depth = F.avg(F.when(F.col("breadcrumb_depth") > 0, F.col("breadcrumb_depth")))
-    return pages.agg(
+    return [
         F.count("*").alias("total_pages"), *[F.sum(c).alias(c) for c in SUMS], *[F.bool_or(c).alias(c) for c in ANY], *[F.sum(F.when(F.expr(c), 1).otherwise(0)).cast("long").alias(n) for n, c in COUNTED.items()],
         F.coalesce(F.floor(depth * 10 + 0.5).cast("double") / 10, F.lit(0.0)).alias("avg_breadcrumb"),
-    )
+    ]
+
+
+def totals(pages: DataFrame) -> DataFrame:
+    """One row of sums, flags and counts; sums over no pages are null."""
+    return pages.agg(*total_columns())
 
 
 def ranked(counts: DataFrame, n: str, first_seen: str, limit: int | None) -> DataFrame:
@@ -56,14 +60,14 @@ def ranked(counts: DataFrame, n: str, first_seen: str, limit: int | None) -> Dat
 def value_counts(pages: DataFrame, column: str, out: str, limit: int | None = None) -> DataFrame:
     """How many pages hold each value of a list column."""
     each = pages.select("page_id", F.posexplode(column).alias("i", out))
-    counts = each.groupBy(out).agg(F.count("*").alias("pages"), F.min(F.col("page_id") * 100000 + F.col("i")).alias("_seen"))
+    counts = each.groupBy(out).agg(F.count("*").alias("pages"), F.min(F.struct("page_id", "i")).alias("_seen"))
     return ranked(counts, "pages", "_seen", limit).select(out, "pages", "rank")
 
 
 def external_domains(pages: DataFrame, k: int) -> DataFrame:
     each = pages.select("page_id", F.posexplode("external_links").alias("i", "u"))
     each = each.select("page_id", "i", F.regexp_extract("u", "^https?://([^/?#:]+)", 1).alias("domain"))
-    counts = each.groupBy("domain").agg(F.count("*").alias("links"), F.min(F.col("page_id") * 100000 + F.col("i")).alias("_seen"))
+    counts = each.groupBy("domain").agg(F.count("*").alias("links"), F.min(F.struct("page_id", "i")).alias("_seen"))
     help_center = F.col("domain").rlike("(?i)help|support|zendesk|freshdesk|intercom")
     return ranked(counts, "links", "_seen", k).select("domain", "links", help_center.alias("help_center"), "rank")
 

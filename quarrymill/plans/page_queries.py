@@ -106,7 +106,7 @@ def ranked(name: str, column: str, out: str, limit: int | None = None) -> None:
     """How many pages have each value of a list, most first, ties by where it was first seen."""
     Q[name] = lambda spark, sf_dir: report.value_counts(analyzed(spark, sf_dir), column, out, limit)
     S[name] = (
-        f"SELECT {out}, CAST(count(*) AS BIGINT) AS pages, CAST(row_number() OVER (ORDER BY count(*) DESC, min(page_id * 100000 + i)) AS BIGINT) AS rank FROM (SELECT page_id, unnest({column}) AS {out}, unnest(range(len({column}))) AS i FROM {RICH}) GROUP BY 1"
+        f"SELECT {out}, CAST(count(*) AS BIGINT) AS pages, CAST(row_number() OVER (ORDER BY count(*) DESC, min(row(page_id, i))) AS BIGINT) AS rank FROM (SELECT page_id, unnest({column}) AS {out}, unnest(range(len({column}))) AS i FROM {RICH}) GROUP BY 1"
         + (f" QUALIFY rank <= {limit}" if limit else "")
     )
 
@@ -121,7 +121,7 @@ ranked("api_ref_counts", "api_refs", "ref", 5)
 ranked("endpoint_counts", "api_endpoints", "endpoint", 20)
 
 
-@add("external_domains_topk", f"SELECT domain, CAST(count(*) AS BIGINT) AS links, regexp_matches(domain, '(?i)help|support|zendesk|freshdesk|intercom') AS help_center, CAST(row_number() OVER (ORDER BY count(*) DESC, min(page_id * 100000 + i)) AS BIGINT) AS rank FROM (SELECT page_id, i, regexp_extract(u, '^https?://([^/?#:]+)', 1) AS domain FROM (SELECT page_id, unnest(external_links) AS u, unnest(range(len(external_links))) AS i FROM {RICH})) GROUP BY 1 QUALIFY rank <= 30")
+@add("external_domains_topk", f"SELECT domain, CAST(count(*) AS BIGINT) AS links, regexp_matches(domain, '(?i)help|support|zendesk|freshdesk|intercom') AS help_center, CAST(row_number() OVER (ORDER BY count(*) DESC, min(row(page_id, i))) AS BIGINT) AS rank FROM (SELECT page_id, i, regexp_extract(u, '^https?://([^/?#:]+)', 1) AS domain FROM (SELECT page_id, unnest(external_links) AS u, unnest(range(len(external_links))) AS i FROM {RICH})) GROUP BY 1 QUALIFY rank <= 30")
 def external_domains_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.external_domains(analyzed(spark, sf_dir), 30)
 
