@@ -183,25 +183,32 @@ def listing(frame: DataFrame, name: str, amount: str, out: str) -> DataFrame:
     return frame.agg(F.array_join(F.transform(each, lambda x: F.concat(x["name"], F.lit(": "), (-x["down"]).cast("string"))), ", ").alias(out))
 
 
+def narrowed(pages: DataFrame) -> DataFrame:
+    """What ``facts`` and ``components`` read of pages analysed with a selector: numbers and short lists, without the pages themselves. Worth writing once, as the detectors cost more than all that follows."""
+    helping = F.size(F.filter("external_links", lambda u: F.regexp_extract(u, "^https?://([^/?#:]+)", 1).rlike(HELP)))
+    plain = {*report.SUMS, *report.ANY, *KIND_TYPES.values(), *(f"embed_{i}" for i in range(len(P.EMBEDS))), *(f"widget_{w}" for w in P.WIDGETS), *(f"video_{v}" for v in P.VIDEO_HOSTS)}
+    more = ["html5_videos", "breadcrumb_depth", "is_api_reference", "is_doc", "is_homepage", "table_rows", "content_format", "platform", "api_refs", "openapi_specs", "download_extensions", "selector_found"]
+    return pages.select("page_id", "url", *sorted(plain), *more, helping.cast("long").alias("help_links"), F.size("api_endpoints").cast("long").alias("endpoints"))
+
+
 def facts(pages: DataFrame, custom: DataFrame, found: DataFrame, each: DataFrame) -> DataFrame:
-    """One row of all that the report's judgements rest on, from pages analysed with a selector, the list of custom components, content components and the components of each page."""
+    """One row of all that the report's judgements rest on, from ``narrowed`` pages, the list of custom components, content components and the components of each page."""
     some = lambda columns: reduce(lambda x, y: x + y, [F.when(F.sum(c) > 0, 1).otherwise(0) for c in columns]).cast("long")
-    helping = F.size(F.filter("external_links", lambda u: F.regexp_extract(u, "^https?://([^/?#:]+)", 1).rlike(HELP)))
+    embeds, videos = {n: f"embed_{i}" for i, n in enumerate(P.EMBEDS)}, {v: f"video_{v}" for v in P.VIDEO_HOSTS} | {"html5-video": "html5_videos"}
     one = pages.agg(
-        *report.total_columns(), F.sum(helping).cast("long").alias("help_links"), F.count_if(F.col("math") > 0).alias("math_pages"), F.count_if(F.col("diagrams") > 0).alias("diagram_pages"),
-        F.count_if(F.col("code_playgrounds") > 0).alias("playground_pages"), F.sum(F.size("api_endpoints")).cast("long").alias("endpoints"), F.count_if(F.col("content_format") == "mdx").alias("mdx_pages"),
-        some([f"embed_{i}" for i in range(len(P.EMBEDS))]).alias("embed_types"), some([f"widget_{w}" for w in P.WIDGETS]).alias("widget_types"),
-        some([*(f"video_{v}" for v in P.VIDEO_HOSTS), "html5_videos"]).alias("video_types"), F.avg(F.col("selector_found").cast("int")).alias("match_rate"),
+        *report.total_columns(), F.sum("help_links").alias("help_links"), F.count_if(F.col("math") > 0).alias("math_pages"), F.count_if(F.col("diagrams") > 0).alias("diagram_pages"),
+        F.count_if(F.col("code_playgrounds") > 0).alias("playground_pages"), F.sum("endpoints").alias("endpoints"), F.count_if(F.col("content_format") == "mdx").alias("mdx_pages"),
+        some(embeds.values()).alias("embed_types"), some(f"widget_{w}" for w in P.WIDGETS).alias("widget_types"), some(videos.values()).alias("video_types"), F.avg(F.col("selector_found").cast("int")).alias("match_rate"),
     )
-    refs = pages.select(F.explode("api_refs").alias("ref")).groupBy("ref").agg(F.count("*").alias("n"))
+    refs = pages.select(F.explode("api_refs").alias("ref")).distinct()
     rows = [
         custom.agg(F.count("*").alias("custom_types"), F.coalesce(F.sum("total"), F.lit(0)).alias("custom_total")),
         found.agg(F.count_distinct("kind").alias("content_types"), F.coalesce(F.sum("n"), F.lit(0)).alias("content_total")),
         each.groupBy("page_id").agg(F.count("*").alias("t")).agg(F.count("*").alias("component_pages"), F.count_if(F.col("t") >= 3).alias("complex_pages"), F.coalesce(F.max("t"), F.lit(0)).alias("most_types")),
         pages.select(F.explode("openapi_specs").alias("spec")).agg(F.count_distinct("spec").alias("spec_links")),
         refs.agg(F.count("*").alias("api_ref_kinds"), F.array_join(F.array_sort(F.collect_list("ref")), "; ").alias("api_ref_list")),
-        listing(report.melt_totals(pages, dict(zip(P.EMBEDS, [f"embed_{i}" for i in range(len(P.EMBEDS))], strict=True)), "name"), "name", "total", "embed_list"),
-        listing(report.melt_totals(pages, {v: f"video_{v}" for v in P.VIDEO_HOSTS} | {"html5-video": "html5_videos"}, "name"), "name", "total", "video_list"),
+        listing(report.melt_totals(pages, embeds, "name"), "name", "total", "embed_list"),
+        listing(report.melt_totals(pages, videos, "name"), "name", "total", "video_list"),
         listing(pages.select(F.explode("download_extensions").alias("name")).groupBy("name").agg(F.count("*").alias("n")), "name", "n", "download_list"),
     ]
     return reduce(DataFrame.crossJoin, rows, one)  # one row by one row

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import patterns as P
 from ..functions import urls
 from ..functions.dual import quoted
 from ..operators import features, frontier, report, site_report, specs
+from ..sources.shared import cut
 from . import page_queries as pq
 from .site_queries import S as SITE_S
 from .site_queries import pages_specs, sidebar_links
@@ -104,47 +107,56 @@ SELECT * FROM {pq.TOTALS}, a, (SELECT count(*) AS custom_types, {_sum('total')}
  ({_listed('SELECT e, count(*) AS n FROM (SELECT unnest(download_extensions) AS e FROM f) GROUP BY 1', 'e', 'n', 'download_list')}))"""
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site_report.facts(selected(spark, sf_dir), pq.custom(spark, sf_dir), content(spark, sf_dir), components(spark, sf_dir))
+class Site(NamedTuple):
+    """A site's analysis, each part written once, and its facts, one row."""
+
+    pages: DataFrame
+    custom: DataFrame
+    facts: DataFrame
+
+    @property
+    def sides(self) -> DataFrame:
+        embeds = report.melt_totals(self.pages, dict(zip(P.EMBEDS, pq.EMBED_COLUMNS, strict=True)), "name")
+        return site_report.compatibility(self.facts, self.custom, embeds)
+
+    @property
+    def judged(self) -> DataFrame:
+        return site_report.judged(self.facts, cut(self.sides))
+
+
+def site(spark: SparkSession, sf_dir: str) -> Site:
+    html = rich(spark, sf_dir)
+    pages = cut(site_report.narrowed(features.analyze(html, SELECTOR)))
+    semantic, tags = cut(report.top_matches(html, pq.BEM, "kind", 15)), cut(pq.tags_per_page(spark, sf_dir))
+    found = cut(site_report.content(semantic, site_report.data_components(html)))
+    custom = cut(report.custom_components(tags, semantic))
+    return Site(pages, custom, cut(site_report.facts(pages, custom, found, site_report.components(pages, tags, found))))
 
 
 add("attention_rows", f"WITH t AS (SELECT * FROM {FACTS}) " + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS ord, {quoted(k)} AS type, CAST({n} AS BIGINT) AS amount, {d} AS description FROM t WHERE {n} > 0" for i, (k, n, d) in enumerate(site_report.ATTENTION)))(
-    lambda spark, sf_dir: site_report.told(facts(spark, sf_dir), site_report.ATTENTION)
+    lambda spark, sf_dir: site_report.told(site(spark, sf_dir).facts, site_report.ATTENTION)
 )
 _impact = lambda n, w, high, medium: "'low'" if high is None else f"CASE WHEN {w} * {n} > {high} THEN 'high' WHEN {w} * {n} > {medium} THEN 'medium' ELSE 'low' END"
 add("complexity_factors", f"WITH t AS (SELECT * FROM {FACTS}) " + " UNION ALL ".join(f"SELECT {quoted(k)} AS name, CAST({n} AS BIGINT) AS n, {_impact(n, w, h, m)} AS impact, CAST({n} AS VARCHAR) || ' {words}' AS description FROM t WHERE {n} > 0" for k, n, w, h, m, words in site_report.FACTORS))(
-    lambda spark, sf_dir: site_report.factors(facts(spark, sf_dir))
+    lambda spark, sf_dir: site_report.factors(site(spark, sf_dir).facts)
 )
 
 
-def embeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pq.embed_providers(spark, sf_dir).select(F.col("provider").alias("name"), "total")
-
-
-def sides(spark: SparkSession, sf_dir: str, row: DataFrame) -> DataFrame:
-    return site_report.compatibility(row, pq.custom(spark, sf_dir), embeds(spark, sf_dir))
-
-
 _names = ", ".join(map(quoted, site_report.NAMES))
 SIDES = f"""(WITH t AS (SELECT * FROM {FACTS}), h AS ({' UNION ALL '.join(f"SELECT {quoted(n)} AS name, {quoted(d)} AS detected_as, CAST({x} AS BIGINT) AS amount FROM t WHERE {x} > 0" for n, d, x in site_report.SUPPORTED)}),
 c AS (SELECT name, total, [{_names}][list_position(list_transform([{_names}], lambda x: lower(x)), lower(replace(name, '-', '')))] AS known FROM ({pq.CUSTOM_SQL}))
 SELECT TRUE AS supported, name, detected_as, amount FROM h UNION ALL SELECT TRUE, known, '<' || arg_min(name, row(-total, name)) || '>', max(total) FROM c WHERE known IS NOT NULL AND known NOT IN (SELECT name FROM h) GROUP BY known
 UNION ALL SELECT FALSE, name, NULL, total FROM c WHERE known IS NULL UNION ALL SELECT FALSE, 'embed:' || provider, NULL, total FROM ({pq.S['embed_providers']})
 UNION ALL SELECT FALSE, 'math-formulas', NULL, CAST(math AS BIGINT) FROM t WHERE math > 0 UNION ALL SELECT FALSE, 'diagrams', NULL, CAST(diagrams AS BIGINT) FROM t WHERE diagrams > 0)"""
-add("compatibility_rows", f"SELECT * FROM {SIDES}")(lambda spark, sf_dir: sides(spark, sf_dir, facts(spark, sf_dir)))
+add("compatibility_rows", f"SELECT * FROM {SIDES}")(lambda spark, sf_dir: site(spark, sf_dir).sides)
 READY = ["score", "level", "readiness", "supported_share", "custom_share", "clean_pages", "complex_pages", "supported_types", "custom_builds", "compatibility", "structure"]
 _flags = f"list_filter([{', '.join(f'CASE WHEN {when} THEN {words} END' for when, words in site_report.FLAGS)}], lambda x: x IS NOT NULL)"
 JUDGED = f"""(WITH t AS (SELECT *, CAST({site_report.SCORE} AS BIGINT) AS score FROM {FACTS}, (SELECT count(*) FILTER (supported) AS supported_types, count(*) FILTER (NOT supported) AS custom_builds FROM {SIDES})), j AS (SELECT *, {', '.join(f'{x} AS {c}' for c, x in site_report.JUDGED.items())}, {_flags} AS flags FROM t) SELECT *, {site_report.STRUCTURE.format(n='len(flags)')} AS structure FROM j)"""
 
 
-def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = facts(spark, sf_dir)
-    return site_report.judged(row, sides(spark, sf_dir, row))
-
-
 _long = [c for c in READY if c in ("readiness", "clean_pages", "complex_pages", "supported_types", "custom_builds")]
 add("migration_readiness", f"SELECT {', '.join(f'CAST({c} AS BIGINT) AS {c}' if c in _long else f'CAST({c} AS DOUBLE) AS {c}' if c.endswith('share') else c for c in READY)}, array_to_string(flags, '; ') AS flags FROM {JUDGED}")(
-    lambda spark, sf_dir: judged(spark, sf_dir).select(*[F.col(c).cast("long").alias(c) if c in _long else F.col(c).cast("double").alias(c) if c.endswith("share") else F.col(c) for c in READY], F.array_join("flags", "; ").alias("flags"))
+    lambda spark, sf_dir: site(spark, sf_dir).judged.select(*[F.col(c).cast("long").alias(c) if c in _long else F.col(c).cast("double").alias(c) if c.endswith("share") else F.col(c) for c in READY], F.array_join("flags", "; ").alias("flags"))
 )
 _in = lambda names: ", ".join(map(quoted, names))
 add("content_source", f"SELECT platform, CASE WHEN lower(platform) IN ({_in(site_report.MDX_PLATFORMS)}) OR lower(platform) = 'docusaurus' AND mdx > total * 0.3 THEN 'Existing MDX files' WHEN lower(platform) IN ('docusaurus', {_in(site_report.CONVERTED)}) THEN 'HTML/Markdown conversion needed' ELSE 'Needs full scraping' END AS source FROM ({pq.S['platform_majority']}), (SELECT count(*) AS total, count(*) FILTER (content_format = 'mdx') AS mdx FROM {pq.RICH})")(
