@@ -36,14 +36,19 @@ def spliced(text: str, edits: Iterable[tuple[int, int, str]]) -> tuple[str, int]
     return "".join(pieces), n
 
 
-def ranges(docs: DataFrame, pattern: str, put: str) -> DataFrame:
-    """(path, start, end, put): an edit for each match of ``pattern`` in documents (path, content). Places come from the lengths of what lies between matches, added up."""
-    between = F.split("content", pattern, -1)
+def matches(docs: DataFrame, pattern: str) -> DataFrame:
+    """(path, start, end, found): each match of ``pattern`` in documents (path, content). Places come from the lengths of what lies between matches, added up."""
+    between = F.transform(F.split("content", pattern, -1), F.length)
     found = F.regexp_extract_all("content", F.lit(f"({pattern})"), F.lit(1))
-    lengths = docs.select("path", F.posexplode(F.arrays_zip(F.transform(between, F.length).alias("gap"), F.transform(found, F.length).alias("own"))).alias("pos", "l"))
-    before = F.sum(F.col("l.gap") + F.coalesce("l.own", F.lit(0))).over(W.partitionBy("path").orderBy("pos"))
-    placed = lengths.select("path", before.alias("end"), F.col("l.own").alias("own")).filter("own is not null")
-    return placed.select("path", (F.col("end") - F.col("own")).alias("start"), "end", F.lit(put).alias("put"))
+    each = docs.select("path", F.posexplode(F.arrays_zip(between.alias("gap"), found.alias("found"))).alias("pos", "m"))
+    upto = F.sum(F.col("m.gap") + F.coalesce(F.length("m.found"), F.lit(0))).over(W.partitionBy("path").orderBy("pos"))
+    placed = each.select("path", upto.alias("end"), F.col("m.found").alias("found")).filter("found is not null")
+    return placed.select("path", (F.col("end") - F.length("found")).alias("start"), "end", "found")
+
+
+def ranges(docs: DataFrame, pattern: str, put: str) -> DataFrame:
+    """(path, start, end, put): an edit for each match of ``pattern``."""
+    return matches(docs, pattern).select("path", "start", "end", F.lit(put).alias("put"))
 
 
 def apply(docs: DataFrame, edits: DataFrame) -> DataFrame:

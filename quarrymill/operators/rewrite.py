@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
-from functools import partial
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+from . import edits
 from .edits import spliced
 from .mdx_links import blanked
 
@@ -381,14 +383,49 @@ def apply(docs: DataFrame, rule: Callable[[str], tuple[str, int]]) -> DataFrame:
     return mapped(docs, ["path", "content"], "path string, content string, changes long", [pa.string(), pa.string(), pa.int64()], lambda p, t: (p, *rule(t or "")))
 
 
+#: A target in a document: what stands between a quote or bracket and an end, with its fragment.
+TARGET = r"""["'(][^()"'#\s]*(?:#[^()"'\s]*)?(?=[)"'#\s])"""
+
+
+def resolved_targets(targets: DataFrame, table: DataFrame) -> DataFrame:
+    """(target, final, hops) of the targets (target) that redirects (ord, source, destination) lead on.
+
+    A redirect takes a target with its fragment, or without, which then stays. Redirects apply in order, each once, so a chain goes on only to a
+    later one; of two with one source the first counts. Every round joins the targets that still move, and there are as many as the longest chain has links.
+    """
+    rules = cut(table.filter("source is not null and source <> '' and destination is not null").select("ord", "source", "destination"))
+    moving, rounds = targets.select("target", F.col("target").alias("now"), F.lit(None).cast("long").alias("last")).distinct(), []
+    while True:
+        head = F.substring_index("now", "#", 1)
+        keys = F.array_distinct(F.array("now", head))
+        each = moving.select("target", "now", "last", F.explode(keys).alias("source")).join(rules, "source").filter("last is null or ord > last")
+        tail = F.when(F.col("source") == F.col("now"), "").otherwise(F.expr("substring(now, length(source) + 1)"))
+        # By its whole before its head, should one redirect be given twice.
+        step = each.groupBy("target").agg(F.min(F.struct("ord", F.length(tail), F.concat("destination", tail).alias("now"))).alias("s"))
+        moving = cut(step.select("target", "s.now", F.col("s.ord").cast("long").alias("last")))
+        if moving.isEmpty():
+            break
+        rounds.append(moving.select("target", "now", F.lit(len(rounds) + 1).cast("long").alias("hops")))
+    found = reduce(DataFrame.unionByName, rounds, targets.select("target", F.lit("").alias("now"), F.lit(0).cast("long").alias("hops")).limit(0))
+    return found.groupBy("target").agg(F.max_by("now", "hops").alias("final"), F.max("hops").alias("hops"))
+
+
+def redirects_from(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """(path, content, replacements) of documents (path, content) whose targets are led on by redirects (ord, source, destination), a table of any size.
+
+    Sources with quotes, brackets, blanks or a second ``#`` stand in no target and are never met. Null content stays null.
+    """
+    found = edits.matches(docs, TARGET).select("path", (F.col("start") + 1).alias("start"), "end", F.expr("substring(found, 2)").alias("target")).filter("target <> ''")
+    final = resolved_targets(found.select("target").distinct(), table)
+    moved = cut(found.join(final, "target").select("path", "start", "end", F.col("final").alias("put"), "hops"))
+    counts = moved.groupBy("path").agg(F.sum("hops").alias("replacements"))
+    done = edits.apply(docs, moved.select("path", "start", "end", "put"))
+    return done.join(counts, "path", "left").select("path", "content", F.coalesce("replacements", F.lit(0)).cast("long").alias("replacements"))
+
+
 def redirects(docs: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(path, content, replacements): targets that stand between a quote or bracket and an end are rewritten, in order, so chains cascade."""
-    content, n = F.col("content"), F.lit(0).cast("long")
-    for source, destination in pairs:
-        pattern = f"([\"'(]){re.escape(source)}(?=[)\"'#\\s])"
-        n = n + F.regexp_count(content, F.lit(pattern))
-        content = F.regexp_replace(content, pattern, "$1" + destination.replace("\\", "\\\\").replace("$", "\\$"))
-    return docs.select("path", content.alias("content"), n.cast("long").alias("replacements"))
+    """``redirects_from`` of a list of (source, destination), in its order."""
+    return redirects_from(docs, docs.sparkSession.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "ord long, source string, destination string"))
 
 
 def duplicate_h1(docs: DataFrame) -> DataFrame:

@@ -114,6 +114,20 @@ for _, _s, _d in RED:
     _c = f"regexp_replace({_c}, '{_p}', '\\1{_d}\\2', 'g')"
 S["fix_redirects"] = f"SELECT path, {_c} AS content, CAST({' + '.join(_n)} AS BIGINT) AS replacements FROM ({MDX_DOCS})"
 
+
+
+def moved_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A redirect for each German and French document."""
+    at = F.concat(F.lit("/docs/"), (F.col("doc_id") % 7).cast("string"), F.lit("/page-"), F.col("doc_id").cast("string"))
+    return documents(spark, sf_dir).filter(F.col("lang").isin("de", "fr")).select(F.col("doc_id").alias("ord"), at.alias("source"), F.concat_ws("/", F.lit("/moved"), "lang", "doc_id").alias("destination"))
+
+
+Q["fix_redirects_moved"] = lambda spark, sf_dir: rewrite.redirects_from(mdx_docs(spark, sf_dir), moved_documents(spark, sf_dir))
+_next = "'(/docs/' || CAST(n.doc_id % 7 AS VARCHAR) || '/page-' || CAST(n.doc_id AS VARCHAR) || ')'"
+S["fix_redirects_moved"] = f"""WITH m AS ({MDX_DOCS}), d AS (SELECT doc_id, 'docs/' || CAST(doc_id % 7 AS VARCHAR) || '/page-' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 11 = 0 THEN '/index' ELSE '' END || '.mdx' AS path FROM documents)
+SELECT m.path, CASE WHEN n.doc_id IS NULL THEN content ELSE replace(content, {_next}, '(/moved/' || n.lang || '/' || CAST(n.doc_id AS VARCHAR) || ')') END AS content, CAST(CASE WHEN n.doc_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS replacements
+FROM m JOIN d ON d.path = m.path LEFT JOIN documents n ON n.doc_id = d.doc_id + 1 AND n.lang IN ('de', 'fr')"""
+
 H1 = r'(?s)^(---\n.*?\n---\n)(\s*)# ([^\n]+)\n\n?(.*)$'
 Q["fix_h1"] = lambda spark, sf_dir: rewrite.duplicate_h1(mdx_docs(spark, sf_dir))
 S["fix_h1"] = f"SELECT path, CASE WHEN hit THEN regexp_replace(content, {quoted(H1)}, '\\1\\2\\4') ELSE content END AS content, hit AS changed FROM (SELECT path, content, regexp_matches(content, {quoted(H1)}) AND trim(regexp_extract(content, {quoted(H1)}, 3)) = regexp_extract(content, '(?m)^title: \"([^\"]*)\"', 1) AS hit FROM ({MDX_DOCS}))"
