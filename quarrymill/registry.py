@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import doc_queries, more_queries, page_queries, report_queries, site_queries
+from .plans import doc_queries, lookup_queries, more_queries, page_queries, report_queries, site_queries
 
-MODULES = [page_queries, doc_queries, more_queries, site_queries, report_queries]
+MODULES = [page_queries, doc_queries, more_queries, site_queries, report_queries, lookup_queries]
 
 
 def queries() -> dict:
