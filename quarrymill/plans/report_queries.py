@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import urls
 from ..functions.dual import quoted
-from ..operators import features, frontier, report, site_report, specs
+from ..operators import features, frontier, report, report_text, site_report, specs
 from ..sources.shared import cut
 from . import page_queries as pq
 from .site_queries import S as SITE_S
@@ -165,3 +165,10 @@ add("content_source", f"SELECT platform, CASE WHEN lower(platform) IN ({_in(site
 add("site_structure", f"SELECT homepage, CAST(n AS BIGINT) AS sidebar_items, CASE WHEN n > 5 THEN 'Standard sidebar' WHEN n > 0 THEN 'Needs review' ELSE 'Requires custom' END AS structure FROM (SELECT arg_min(url, page_id) FILTER (is_homepage) AS homepage FROM {pq.RICH}), (SELECT count(*) AS n FROM ({SITE_S['sidebar_links']}))")(
     lambda spark, sf_dir: site_report.structure(pq.analyzed(spark, sf_dir), sidebar_links(spark, sf_dir))
 )
+
+
+@add("scoping_report_text", report_text.written_sql(f"""(SELECT * FROM {JUDGED}, (SELECT coalesce(string_agg('  <' || name || '>: ' || total || ' instances', chr(10) ORDER BY total DESC, name), '') AS custom_lines FROM ({pq.CUSTOM_SQL})),
+(SELECT coalesce(string_agg('  ' || domain || ': ' || links || ' links', chr(10) ORDER BY rank), '') AS domain_lines FROM ({pq.S['external_domains_topk']}) WHERE rank <= {report_text.DOMAINS}), (SELECT count(DISTINCT {_host('url')}) AS sites FROM pages))"""))
+def scoping_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = site(spark, sf_dir)
+    return report_text.written(made.judged, made.custom, pq.external_domains_topk(spark, sf_dir), made.pages.select(urls.host().column.alias("site")).distinct())
