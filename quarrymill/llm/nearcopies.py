@@ -1,14 +1,15 @@
 """Near copies by word shingles: all pairs whose Jaccard similarity is 0.8 or more, none missed.
 
+SimHash comes first: op 7's covering masks, over fingerprints of the same shingles and in parts so that they
+reach further, bring texts together, whose links are then confirmed shingle by shingle. This joins nearly every
+group by a few links for each text. A fingerprint can't promise a similarity, so an exact way follows
+for the rest: prefixes are joined for pairs of texts that don't hang together yet.
+
 Shingles have one order over the whole corpus. Two sets that share four fifths must share a
 shingle among the first fifth (and one) of each, and k shingles if these prefixes are longer by
 k - 1. So only prefixes are joined; sizes, places and the number shared rule out most pairs, the
 rest are compared shingle by shingle. Any order is right: a
 sample only tells which shingles are common, and these are put last to keep buckets small.
-
-Large groups of copies would make all their pairs. So first each text is compared with one or two of
-those that share its lowest shingles in one of several orders, which joins nearly every group by as many links as it
-has texts; then only pairs of texts that don't hang together yet are candidates.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .shared import components, cut, few_broadcast, partitions, slices, whole
 
 WIDTH, SHARED, OF = 5, 4, 5
@@ -30,9 +32,8 @@ MORE = 32
 SAMPLED, MANY, COMMON = 16, 3, 100_000
 #: Leaves of a star are dealt into so many groups; buckets of MEET texts more and texts of PART shingles more are dealt into one part more.
 LEAVES, MEET, PART = 1_024, 256, 1_024
-#: Keys of a text that `stars` looks at, and the odd numbers that give the orders behind them.
-OPENING = 8
-ORDERS = [np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) for k in range(2 * OPENING)]
+#: Fingerprints that differ by RADIUS bits or fewer are brought together, by masks over PARTS parts of them; of those a text meets, the STARS nearest and the STARS least are compared with it.
+RADIUS, PARTS, STARS = 9, 2, 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,12 +59,6 @@ def hashes(norm: str, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b]) for a, b in zip(starts_, ends_, strict=True)], np.uint64).view(np.int64))
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    """OPENING keys, each of the lowest shingles of two orders: near copies share such a key as often as the square of their similarity, texts with a common line in them hardly ever."""
-    lowest = np.array([(h.view(np.uint64) * m).min() for m in ORDERS], np.uint64)
-    return (lowest[::2] * ORDERS[1] ^ lowest[1::2] + np.arange(OPENING, dtype=np.uint64)).view(np.int64)
-
-
 def common(keyed: DataFrame, width: int, sampled: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many sampled texts hold, sorted, and how many do."""
 
@@ -79,35 +74,43 @@ def common(keyed: DataFrame, width: int, sampled: int) -> tuple[np.ndarray, np.n
 
 
 def prefixes(keyed: DataFrame, order: tuple[np.ndarray, np.ndarray], width: int = WIDTH) -> DataFrame:
-    """(key, size, firsts, least): the first shingles of each text in the common order, of which any near copy shares one, and its `sketch`."""
+    """(key, size, firsts, fp): the first shingles of each text in the common order, of which any near copy shares one, and the SimHash of all its distinct ones."""
     sent = keyed.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
         known, counts = sent.value
         for batch in slices(batches):
-            sizes, firsts, least = [], [], []
+            sizes, firsts, fps = [], [], []
             for t in batch.column(1).to_pylist():
                 h = hashes(t, width)
-                least.append(sketch(h))
+                fps.append(simhash.majority(h.view(np.uint64)))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     h = h[np.argsort(np.where(known[at] == h, counts[at], 0), kind="stable")]
                 n = len(h)
                 sizes.append(n)
                 firsts.append(h[: n - (SHARED * n + OF - 1) // OF + 1 + n // MORE])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))], names=["key", "size", "firsts", "least"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["key", "size", "firsts", "fp"])
+
+    return keyed.select("key", "norm").mapInArrow(run, "key long, size int, firsts array<long>, fp long")
 
-    return keyed.select("key", "norm").mapInArrow(run, "key long, size int, firsts array<long>, least array<long>")
 
+def covered(first: DataFrame) -> DataFrame:
+    """(a, b, at): pairs of texts whose fingerprints differ by RADIUS bits or fewer, at most 2 * STARS + 1 for a text; ``at`` names the text with the lesser fingerprint and some of those linked to it.
 
-def stars(first: DataFrame) -> DataFrame:
-    """(a, b, at): each text with the smallest and the largest key among those that share a key of its `sketch`, at most 2 * OPENING for a text; ``at`` names the other with some of its leaves."""
-    rows = first.select("key", "size", F.explode("least").alias("h"))
-    ends = rows.groupBy("h").agg(F.min(F.struct("key", "size")).alias("low"), F.max(F.struct("key", "size")).alias("high"), F.count("*").alias("n")).filter("n > 1")
-    each = rows.join(cut(ends.select("h", "low", "high")), "h").select("key", "size", F.explode(F.array("low", "high")).alias("other"))
-    alike = f"key <> other.key and {OF} * least(size, other.size) >= {SHARED} * greatest(size, other.size)"
-    at = F.xxhash64("other.key", F.pmod(F.xxhash64("key"), F.lit(LEAVES)))
-    return each.filter(alike).select(F.least("key", "other.key").alias("a"), F.greatest("key", "other.key").alias("b"), at.alias("at")).groupBy("a", "b").agg(F.min("at").alias("at"))
+    They connect all such texts of small groups; in large ones, where a text meets many, what they leave apart is found by `candidates`.
+    """
+    one = cut(first.groupBy("fp").agg(F.min(F.struct("key", "size")).alias("rep")))
+    # Fingerprints stand for themselves, as their masked parts do, so that little is shuffled.
+    pairs = simhash.links(one.select("fp", F.col("fp").alias("rep")), RADIUS, parts=PARTS, sampled=SAMPLED).distinct()
+    leaf, apart = Window.partitionBy("a"), F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    pairs = pairs.select("a", "b", F.row_number().over(leaf.orderBy(apart, "b")).alias("near"), F.row_number().over(leaf.orderBy("b")).alias("low")).filter(f"near <= {STARS} or low <= {STARS}")
+    ends = [one.select(F.col("fp").alias(x), F.col("rep").alias(f"{x}_")) for x in ("a", "b")]
+    pairs = pairs.join(ends[0], "a").join(ends[1], "b").select(F.col("a_").alias("leaf"), F.col("b_").alias("star"))
+    equal = first.select("fp", F.struct("key", "size").alias("leaf")).join(one, "fp").select("leaf", F.col("rep").alias("star"))
+    alike = f"leaf.key <> star.key and {OF} * least(leaf.size, star.size) >= {SHARED} * greatest(leaf.size, star.size)"
+    at = F.xxhash64("star.key", F.pmod(F.xxhash64("leaf.key"), F.lit(LEAVES)))
+    return pairs.unionByName(equal).filter(alike).select(F.least("leaf.key", "star.key").alias("a"), F.greatest("leaf.key", "star.key").alias("b"), at.alias("at"))
 
 
 def met(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, named: np.ndarray, blocks: np.ndarray | None = None, tile: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -251,12 +254,12 @@ def compared(pairs: DataFrame, keyed: DataFrame, width: int) -> DataFrame:
 def links(keyed: DataFrame, width: int = WIDTH, block: int = 2048, sampled: int = SAMPLED) -> DataFrame:
     """(a, b): keys of distinct texts whose shingles have a Jaccard similarity of 0.8 or more: enough of these pairs to connect all that hang together.
 
-    First the pairs of `stars` are compared, then every candidate pair of texts that don't hang together by these.
+    First the pairs of `covered` are compared, then every candidate pair of texts that don't hang together by these.
     """
     order = common(keyed, width, sampled)
     hot = [(int(h), -(-int(n) * sampled // block)) for h, n in zip(*order, strict=True) if n * sampled > block]
     first = cut(prefixes(keyed, order, width).dropDuplicates(["key"]))
-    found = compared(stars(first), keyed, width)
+    found = compared(covered(first), keyed, width)
     named = few_broadcast(components(found).select(F.col("node").alias("key"), F.col("component").alias("named")))
     left = candidates(first.join(named, "key", "left").withColumn("named", F.coalesce("named", "key")), hot)
     return cut(found.unionByName(compared(left, keyed, width)))

@@ -4,6 +4,7 @@ Each of the 64 positions gets a vector of radius + 1 bits. For each of the 2^(ra
 non-zero vectors there is a table, whose mask keeps the positions at an odd product with it.
 Any ``radius`` differing positions span too little to meet every non-zero vector, so in some
 table all of them are masked out and the two fingerprints fall into one bucket.
+A larger radius is covered in parts: of two parts one has at most half of the differing positions.
 
 Equal fingerprints are first made one. Buckets of many times ``block`` fingerprints are divided by a
 second family of masks, which misses no pair either. What still has more than ``block`` is cut
@@ -35,7 +36,11 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     ends_, starts_ = (ends[width - 1 :] - 1).tolist(), [0, *ends[:-width].tolist()]
-    values = np.array([hashed(joined[a:b], seed) for a, b in zip(starts_, ends_, strict=True)], np.uint64)
+    return majority(np.array([hashed(joined[a:b], seed) for a, b in zip(starts_, ends_, strict=True)], np.uint64))
+
+
+def majority(values: np.ndarray) -> int:
+    """Bits set in over half of the 64-bit ``values``."""
     total = np.zeros(64, np.int64)
     for at in range(0, len(values), 1 << 16):
         part = values[at : at + (1 << 16)]
@@ -50,6 +55,12 @@ def masks(radius: int = 3, bits: int = 64, turn: int = 0) -> list[int]:
     return [sum(1 << i for i in range(bits) if (vectors[i] & v).bit_count() % 2) for v in range(1, 2 << radius)]
 
 
+def covering(radius: int = 3, parts: int = 1, turn: int = 0) -> list[int]:
+    """Masks of 64 positions cut into ``parts``: fingerprints within ``radius`` differ in some part by at most its share, which the masks of that part cover."""
+    bits = 64 // parts
+    return [m << bits * p for p in range(parts) for m in masks(radius // parts, bits, turn)]
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed long."""
 
@@ -93,23 +104,32 @@ def forest(values: np.ndarray, radius: int, tile: int = 1024) -> list[tuple[int,
     return out
 
 
-def links(distinct: DataFrame, radius: int = 3, block: int = 4096, deep: int = 16) -> DataFrame:
-    """From distinct (fp, rep): pairs (a, b) of reps that connect all fingerprints within ``radius``, as links or chains of links."""
+def links(distinct: DataFrame, radius: int = 3, block: int = 4096, deep: int = 16, parts: int = 1, sampled: int = 1) -> DataFrame:
+    """From distinct (fp, rep): pairs (a, b) of reps that connect all fingerprints within ``radius``, as links or chains of links.
+
+    One fingerprint in ``sampled`` is counted to tell which buckets are large; every fingerprint is dealt. Of a pair ``b`` has the lesser fingerprint.
+    """
     spark = distinct.sparkSession
+    each = len(covering(radius, parts))
+    counted = F.pmod(F.xxhash64("fp", F.lit(11)), F.lit(sampled)) == 0
 
     def tables(turn: int) -> Column:
-        signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius, turn=turn)]
+        signed = [m - (1 << 64) if m >> 63 else m for m in covering(radius, parts, turn)]
         return F.array(*[F.struct(F.lit(i).cast("smallint").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
 
     rows = distinct.select("fp", "rep", F.inline(tables(0)))
-    sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
-    hot = cut(sizes.select("t", "key", "n"))
+
+    def large() -> DataFrame:
+        sizes = rows.filter(counted).groupBy("t", "key").agg((F.count("*") * sampled).alias("n"))
+        return cut(sizes.filter(F.col("n") > block).select("t", "key", "n"))
+
+    hot = large()
     crowded = hot.filter(F.col("n") > block * deep).select("t", "key")
     if not crowded.isEmpty():
         again = rows.join(crowded, ["t", "key"], "left_semi").select("fp", "rep", F.col("t").alias("_t"), F.col("key").alias("_key"), F.inline(tables(4)))
-        again = again.select("fp", "rep", (F.lit(len(masks(radius))) + F.col("_t") * len(masks(radius)) + F.col("t")).cast("smallint").alias("t"), F.xxhash64("_t", "_key", "key").alias("key"))
+        again = again.select("fp", "rep", (F.lit(each) + F.col("_t") * each + F.col("t")).cast("smallint").alias("t"), F.xxhash64("_t", "_key", "key").alias("key"))
         rows = rows.join(crowded, ["t", "key"], "left_anti").select("fp", "rep", "t", "key").unionByName(again)
-        hot = cut(rows.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block))
+        hot = large()
     hot = hot.select("t", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     if hot.isEmpty():
         dealt = rows.select("t", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "rep")
@@ -156,7 +176,7 @@ def links(distinct: DataFrame, radius: int = 3, block: int = 4096, deep: int = 1
 
     keys = ["t", "key", "i", "j"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.select(*keys, "fp", "rep").repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return dealt.select(*keys, "fp", "rep").repartition(n, *keys).sortWithinPartitions(*keys, "fp").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, block: int = 4096) -> DataFrame:

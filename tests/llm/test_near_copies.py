@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from quarrymill.llm import nearcopies
+from quarrymill.llm import nearcopies, shared, simhash
 
 from .fixtures import awkward_texts, docs_frame, empty_frame, prose
 
@@ -70,3 +72,36 @@ def test_large_group_makes_few_pairs(spark):
     assert distinct > 400 and made < 9 * distinct
     got = {x["doc_id"]: x["component_id"] for x in nearcopies.near_copies(docs_frame(spark, rows)).collect()}
     assert all(got[i] == (0 if i < 600 else i) for i, _ in rows)
+
+
+def test_masks_in_parts_cover_nine_bits():
+    r = random.Random(5)
+    masks = simhash.covering(9, 2)
+    assert len(masks) == 62 and simhash.covering(3) == simhash.masks(3)
+    for _ in range(5000):
+        apart = sum(1 << i for i in r.sample(range(64), r.randrange(10)))
+        assert any(not apart & m for m in masks)
+
+
+def test_stage_goes_by_covering_fingerprints(spark, monkeypatch):
+    """Op 7's links are what the stage asks first; they connect all texts whose fingerprints differ by up to 9 bits, counted here over all pairs."""
+    asked, links = [], simhash.links
+
+    def told(distinct, radius, **more):
+        asked.append(radius)
+        return links(distinct, radius, **more)
+
+    monkeypatch.setattr(simhash, "links", told)
+    rows = [(i, t) for i, t in copies() if i % 10 < 4]
+    kept = corpus_pipeline.one_of_each(spark, docs_frame(spark, rows), "").collect()
+    assert asked == [9] and len(kept) < len(rows)
+    keyed = docs_frame(spark, rows).select(nearcopies.normal("text").alias("norm")).selectExpr("norm", "xxhash64(norm) as key")
+    none = (np.array([], np.int64), np.array([], np.int64))
+    first = nearcopies.prefixes(keyed, none).select("key", "fp", "size").collect()
+    want = {x["key"]: x["key"] for x in first}
+    near = [(a, b) for a in first for b in first if a["key"] < b["key"] and ((a["fp"] ^ b["fp"]) % (1 << 64)).bit_count() <= 9]
+    for _ in first:
+        for a, b in near:
+            want[a["key"]] = want[b["key"]] = min(want[a["key"]], want[b["key"]])
+    got = {x["node"]: x["component"] for x in shared.components(nearcopies.covered(nearcopies.prefixes(keyed, none))).collect()}
+    assert {k: got.get(k, k) for k in want} == want and 12 <= len(set(want.values())) < len(rows) - 12
