@@ -10,6 +10,9 @@ shingle among the first fifth (and one) of each, and k shingles if these prefixe
 k - 1. So only prefixes are joined; sizes, places and the number shared rule out most pairs, the
 rest are compared shingle by shingle. Any order is right: a
 sample only tells which shingles are common, and these are put last to keep buckets small.
+
+Pairs are rows only where few texts share a shingle. The texts of a larger bucket are dealt into tiles, of
+which every two meet in a task with their shingles: it compares all and makes a spanning forest of the links.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ WIDTH, SHARED, OF = 5, 4, 5
 MORE = 32
 #: One text in SAMPLED is counted for the order; shingles that MANY of these hold are common, and at most COMMON are told apart.
 SAMPLED, MANY, COMMON = 16, 3, 100_000
-#: Leaves of a star are dealt into so many groups; buckets of MEET texts more and texts of PART shingles more are dealt into one part more.
-LEAVES, MEET, PART = 1_024, 256, 1_024
+#: Leaves of a star are dealt into so many groups; pairs of texts of PART shingles more are dealt into one part more.
+LEAVES, PART = 1_024, 1_024
+#: Buckets of more than MEET texts are compared where they meet, in tiles of TILE texts and HELD shingles at most.
+MEET, TILE, HELD = 256, 1_024, 1 << 19
 #: Fingerprints that differ by RADIUS bits or fewer are brought together, by masks over PARTS parts of them; of those a text meets, the STARS nearest and the STARS least are compared with it.
 RADIUS, PARTS, STARS = 9, 2, 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -144,11 +149,13 @@ def meeting(n: int, h: int, deal: int) -> int:
     return ((1 << 20) - 1 - min(n, (1 << 20) - 1) << 43) | (((h * 0x9E3779B97F4A7C15) ^ (deal * 0xFF51AFD7ED558CCD)) & (1 << 64) - 1) >> 21
 
 
-def candidates(first: DataFrame, hot: list[tuple[int, int]]) -> DataFrame:
+def candidates(first: DataFrame, hot: list[tuple[int, int]], meet: int = MEET) -> DataFrame:
     """(a, b, at): pairs of keys of two components that share enough prefix shingles and, by their sizes and places, may be near copies; ``at`` names a part of the largest bucket that they share.
 
     Each prefix shingle is shuffled once. A shingle in ``hot`` (shingle, blocks) has its bucket dealt
-    into blocks, and every two blocks meet in a task of their own.
+    into blocks, and every two blocks meet in a task of their own. A bucket of more than ``meet`` texts makes no
+    pairs but rows without ``b``: those ``a`` of two tiles that any such pair is of, all to be compared; ``at`` names the two tiles.
+    Of a near copy's first ``more`` + 1 shared shingles one has such a bucket, and it is compared there, or all are in smaller ones and counted.
     """
     spark = first.sparkSession
     rows = first.select("key", "size", "named", F.posexplode("firsts").alias("at", "h"))
@@ -174,8 +181,16 @@ def candidates(first: DataFrame, hot: list[tuple[int, int]]) -> DataFrame:
             if (named == named[0]).all():
                 return
             apart = last[1] >> 32 != last[1] & 0xFFFFFFFF
+            sizes, places = (place >> 32).astype(np.int32), (place & 0xFFFFFFFF).astype(np.int32)
+            if len(key) > meet:
+                tile = max(1, min(TILE, HELD // int(sizes[-1])))
+                for k, (a, b, _) in enumerate(met(key, sizes, places, named, own if apart else None, tile)):
+                    both = np.unique(np.concatenate([a, b]))
+                    at = np.full(len(both), xxhash.xxh64_intdigest(f"{last} {k}"), np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(both), pa.nulls(len(both), pa.int64()), pa.array(np.zeros(len(both), np.int64)), pa.array(at)], names=["a", "b", "more", "at"])
+                return
             at = meeting(len(key), *last)
-            for a, b, more in met(key, place >> 32, place & 0xFFFFFFFF, named, own if apart else None):
+            for a, b, more in met(key, sizes, places, named, own if apart else None):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(more.astype(np.int64)), pa.array(np.full(len(a), at, np.int64))], names=["a", "b", "more", "at"])
 
         for batch in batches:
@@ -204,17 +219,43 @@ def candidates(first: DataFrame, hot: list[tuple[int, int]]) -> DataFrame:
 
     n = partitions(spark)
     found = dealt.repartition(n, "h", "deal").sortWithinPartitions("h", "deal", "place").mapInArrow(run, "a long, b long, more long, at long")
-    pairs = found.groupBy("a", "b", "more").agg(F.count("*").alias("k"), F.min("at").alias("at")).filter("k > more")
-    # Large buckets are dealt into parts of MEET texts, which meet part by part; the larger the texts (more is their size by MORE), the fewer.
-    texts = F.lit((1 << 20) - 1) - F.shiftright("at", 43)
-    parts = F.lit(1) + F.call_function("div", texts, F.lit(MEET)) + F.call_function("div", F.col("more"), F.lit(PART // MORE))
-    return pairs.select("a", "b", F.xxhash64("at", F.pmod(F.xxhash64("a"), parts), F.pmod(F.xxhash64("b"), parts)).alias("at"))
+    alone = F.col("b").isNull()
+    pairs = found.groupBy("a", "b", "more", F.when(alone, F.col("at")).alias("tiles")).agg(F.count("*").alias("k"), F.min("at").alias("at")).filter("b is null or k > more")
+    # The larger the texts (more is their size by MORE), the fewer of a bucket meet in one part.
+    parts = F.lit(1) + F.call_function("div", F.col("more"), F.lit(PART // MORE))
+    part = F.xxhash64("at", F.pmod(F.xxhash64("a"), parts), F.pmod(F.xxhash64("b"), parts))
+    return pairs.select("a", "b", F.when(alone, F.col("at")).otherwise(part).alias("at"))
+
+
+def forest(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Pairs of places whose sets have a Jaccard similarity of 0.8 or more: enough of them to connect all that hang together."""
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    starts, comp = ends - sizes, np.arange(len(sets))
+    held, word = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(held), np.uint8)
+    for i in range(len(sets) - 1):
+        n, m = sizes[i], sizes[i + 1 :]
+        j = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (OF * np.minimum(n, m) >= SHARED * np.maximum(n, m)))
+        if not len(j):
+            continue
+        own = word[starts[i] : ends[i]]
+        mark[own] = 1
+        upto = np.cumsum(sizes[j])
+        begin = upto - sizes[j]
+        shared = np.add.reduceat(mark[word[np.arange(upto[-1]) + np.repeat(starts[j] - begin, sizes[j])]], begin, dtype=np.int64)
+        mark[own] = 0
+        j = j[OF * shared >= SHARED * (n + sizes[j] - shared)]
+        joined, once = np.unique(comp[j], return_index=True)
+        yield from ((i, k) for k in j[once].tolist())
+        comp[np.isin(comp, joined)] = comp[i]
 
 
 def compared(pairs: DataFrame, keyed: DataFrame, width: int) -> DataFrame:
     """Those of the pairs (a, b, at) whose texts have a Jaccard similarity of 0.8 or more, counted over all their shingles.
 
     Pairs with one ``at`` are compared in one task, which gets each of their texts' shingles once and not once for each pair.
+    Of the rows without ``b`` all with one ``at`` are compared with each other; a spanning forest of the links is told.
     """
 
     def sets(batches):
@@ -223,12 +264,21 @@ def compared(pairs: DataFrame, keyed: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         held: dict[int, np.ndarray] = {}
-        group = None
+        group = (False, None)
+
+        def linked():
+            keys = list(held) if group[0] else []
+            return [(keys[i], keys[j]) for i, j in forest(list(held.values()))] if len(keys) > 1 else []
+
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
         for batch in slices(batches, 1024):
             found: list[tuple[int, int]] = []
-            for at, key, other, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != group:
-                    group, held = at, {}
+            for every, at, key, other, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (every, at) != group:
+                    found += linked()
+                    group, held = (every, at), {}
                 if own is not None:
                     held[key] = np.frombuffer(own, np.int64)
                     continue
@@ -238,20 +288,24 @@ def compared(pairs: DataFrame, keyed: DataFrame, width: int) -> DataFrame:
                 shared = int((both[1:] == both[:-1]).sum())
                 if OF * shared >= SHARED * (len(both) - shared):
                     found.append((key, other))
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            yield out(found)
+        yield out(linked())
 
-    pairs = cut(pairs)
-    members = cut(pairs.select("at", F.col("a").alias("key")).unionByName(pairs.select("at", F.col("b").alias("key"))).distinct())
+    rows = cut(pairs)
+    pairs = rows.filter("b is not null")
+    ends = pairs.select(F.lit(False).alias("every"), "at", F.explode(F.array("a", "b")).alias("key")).distinct()
+    members = cut(ends.unionByName(rows.filter("b is null").select(F.lit(True).alias("every"), "at", F.col("a").alias("key"))))
     ends = cut(members.select("key").distinct())
     texts = keyed.join(few_broadcast(ends), "key", "left_semi").select("key", "norm").mapInArrow(sets, "key long, set binary")
     texts = cut(texts.groupBy("key").agg(F.min("set").alias("set")))
     none = F.lit(None).cast("long").alias("other")
-    rows = members.join(texts, "key").select("at", "key", none, "set").unionByName(pairs.select("at", F.col("a").alias("key"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("set")))
-    dealt = rows.repartition(partitions(keyed.sparkSession), "at").sortWithinPartitions("at", F.col("other").isNotNull(), "key")
+    rows = members.join(texts, "key").select("every", "at", "key", none, "set")
+    rows = rows.unionByName(pairs.select(F.lit(False).alias("every"), "at", F.col("a").alias("key"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("set")))
+    dealt = rows.repartition(partitions(keyed.sparkSession), "every", "at").sortWithinPartitions("every", "at", F.col("other").isNotNull(), "key")
     return cut(dealt.mapInArrow(run, "a long, b long"))
 
 
-def links(keyed: DataFrame, width: int = WIDTH, block: int = 2048, sampled: int = SAMPLED) -> DataFrame:
+def links(keyed: DataFrame, width: int = WIDTH, block: int = 2048, sampled: int = SAMPLED, meet: int = MEET) -> DataFrame:
     """(a, b): keys of distinct texts whose shingles have a Jaccard similarity of 0.8 or more: enough of these pairs to connect all that hang together.
 
     First the pairs of `covered` are compared, then every candidate pair of texts that don't hang together by these.
@@ -261,17 +315,17 @@ def links(keyed: DataFrame, width: int = WIDTH, block: int = 2048, sampled: int
     first = cut(prefixes(keyed, order, width).dropDuplicates(["key"]))
     found = compared(covered(first), keyed, width)
     named = few_broadcast(components(found).select(F.col("node").alias("key"), F.col("component").alias("named")))
-    left = candidates(first.join(named, "key", "left").withColumn("named", F.coalesce("named", "key")), hot)
+    left = candidates(first.join(named, "key", "left").withColumn("named", F.coalesce("named", "key")), hot, meet)
     return cut(found.unionByName(compared(left, keyed, width)))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, block: int = 2048, sampled: int = SAMPLED) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, block: int = 2048, sampled: int = SAMPLED, meet: int = MEET) -> DataFrame:
     """(doc_id, key, component, component_id), a row for each row of ``docs``; ``component_id`` is the smallest id among the near copies reachable, null if none has an id.
 
     ``key`` is the XXH64 of the words, ``component`` the smallest key reachable; texts with equal words are one. Null and empty texts are copies of each other.
     """
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), normal(text_col).alias("norm")).withColumn("key", F.xxhash64("norm"))
-    named = components(links(keyed, width, block, sampled)).select(F.col("node").alias("key"), "component")
+    named = components(links(keyed, width, block, sampled, meet)).select(F.col("node").alias("key"), "component")
     marked = cut(keyed.select("doc_id", "key").join(named, "key", "left").select("doc_id", "key", F.coalesce("component", "key").alias("component")))
     least = marked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return marked.join(least, "component").select("doc_id", "key", "component", "component_id")

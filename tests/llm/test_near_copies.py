@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarrymill.llm import nearcopies, shared, simhash
@@ -105,3 +106,77 @@ def test_stage_goes_by_covering_fingerprints(spark, monkeypatch):
             want[a["key"]] = want[b["key"]] = min(want[a["key"]], want[b["key"]])
     got = {x["node"]: x["component"] for x in shared.components(nearcopies.covered(nearcopies.prefixes(keyed, none))).collect()}
     assert {k: got.get(k, k) for k in want} == want and 12 <= len(set(want.values())) < len(rows) - 12
+
+
+def family(n):
+    """Copies of one text that differ from each other by too much, and pairs of them that don't."""
+    r = random.Random(31)
+    words, rows = prose(88, 150).split(), []
+    for i in range(n):
+        changed = list(words)
+        for at in r.sample(range(len(words)), 3):
+            changed[at] = f"v{i}x{at}"
+        rows.append((i, " ".join(changed)))
+        if i % 20 == 0:
+            changed[r.choice((5, 75, 145))] = "other"
+            rows.append((10_000 + i, " ".join(changed)))
+    return rows
+
+
+def keyed_prefixes(spark, rows):
+    keyed = docs_frame(spark, rows).select(nearcopies.normal("text").alias("norm")).selectExpr("norm", "xxhash64(norm) as key")
+    order = nearcopies.common(keyed, 5, 1)
+    return keyed, shared.cut(nearcopies.prefixes(keyed, order).withColumn("named", F.col("key")))
+
+
+def test_large_group_without_links_makes_no_square(spark):
+    """Texts of one bucket that are alike but no near copies: rows as many as their prefixes, not as their pairs; and the links among them are all found."""
+    rows = family(600)
+    keyed, first = keyed_prefixes(spark, rows)
+    made = nearcopies.candidates(first, []).count()
+    assert made <= first.select(F.sum(F.size("firsts"))).first()[0] < len(rows) * (len(rows) - 1) // 4
+    own = {i: sets(t) for i, t in rows}
+    want = {i: i for i, _ in rows}
+    near = [(a, b) for a, s in own.items() for b, t in own.items() if a < b and 5 * len(s & t) >= 4 * len(s | t)]
+    for _ in range(len(rows)):
+        last = dict(want)
+        for a, b in near:
+            want[a] = want[b] = min(want[a], want[b])
+        if last == want:
+            break
+    assert 30 <= len(near) and len(set(want.values())) > 400
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(docs_frame(spark, rows), sampled=1, block=128).collect()}
+    assert got == want
+
+
+def test_buckets_compared_whole_find_the_same(spark, monkeypatch):
+    """Every bucket of more than two texts is compared where it meets, in tiles of few texts: the links of all pairs, none by SimHash before."""
+    monkeypatch.setattr(nearcopies, "covered", lambda first: first.sparkSession.createDataFrame([], "a long, b long, at long"))
+    rows = copies()
+    near = [(a, b) for a, s in rows for b, t in rows if a < b and 5 * len(sets(s) & sets(t)) >= 4 * len(sets(s) | sets(t))]
+    want = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, b in near:
+            want[a] = want[b] = min(want[a], want[b])
+    for block in (3, 2048):
+        got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(docs_frame(spark, rows), sampled=1, block=block, meet=2).collect()}
+        assert got == want and len(set(want.values())) < len(rows) - 20
+
+
+def test_forest_joins_what_all_pairs_join():
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 60, 90)
+    made = [np.unique(np.concatenate([r.choice(base, 80 + int(r.integers(10)), replace=False), r.integers(0, 1 << 60, int(r.integers(14)))])) for _ in range(70)]
+    made += [np.array([k]) for k in (1, 2, 2)]
+    near = [(a, b) for a in range(len(made)) for b in range(a) if 5 * len(np.intersect1d(made[a], made[b])) >= 4 * len(np.union1d(made[a], made[b]))]
+
+    def named(pairs):
+        out = list(range(len(made)))
+        for _ in made:
+            for a, b in pairs:
+                out[a] = out[b] = min(out[a], out[b])
+        return out
+
+    found = list(nearcopies.forest(made))
+    assert named(found) == named(near) and len(found) == len(made) - len(set(named(near))) and {(max(p), min(p)) for p in found} <= set(near)
+    assert 3 < len(set(named(near))) < 60
